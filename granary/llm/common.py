@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,15 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def windows(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """text in pieces of about size characters, cut at spaces only."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
