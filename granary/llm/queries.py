@@ -16,6 +16,7 @@ from granary.llm.exact_dedup import exact_dedup
 from granary.llm.language_id import fit_languages, with_language
 from granary.llm.mixing import mix_plan
 from granary.llm.sharding import assign_shards
+from granary.llm.toxicity import fit_toxicity, with_toxicity
 from granary.llm.url_filters import filter_urls
 
 
@@ -91,6 +92,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_documents(encoded, path).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = held_out(F.col("doc_id"))
+    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels").filter(~held))
+    score = F.col("toxic_score")
+    return with_toxicity(docs, model).select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sampled_splitters": op2_sampled_splitters,
     "op3_language_id": op3_language_id,
@@ -98,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLE = {"op4_url_filters": OP4_SQL, "op7_exact_dedup": OP7_SQL}
