@@ -15,6 +15,7 @@ from granary.llm.common import held_out, read_table
 from granary.llm.exact_dedup import exact_dedup
 from granary.llm.language_id import fit_languages, with_language
 from granary.llm.mixing import mix_plan
+from granary.llm.order_minhash import near_duplicates
 from granary.llm.sharding import assign_shards
 from granary.llm.toxicity import fit_toxicity, with_toxicity
 from granary.llm.url_filters import filter_urls
@@ -100,6 +101,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_toxicity(docs, model).select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sampled_splitters": op2_sampled_splitters,
     "op3_language_id": op3_language_id,
@@ -108,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_order_minhash": op10_order_minhash,
 }
 ORACLE = {"op4_url_filters": OP4_SQL, "op7_exact_dedup": OP7_SQL}
