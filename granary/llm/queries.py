@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.anisotropic import nearest
 from granary.llm.bpe import decode_documents, encode_documents
 from granary.llm.common import held_out, read_table
 from granary.llm.exact_dedup import exact_dedup
@@ -65,6 +66,10 @@ FROM r
 """
 
 
+def op5_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vec_id % 20 = 0", k=20)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sampled_splitters": op2_sampled_splitters,
     "op3_language_id": op3_language_id,
     "op4_url_filters": op4_url_filters,
+    "op5_anisotropic_search": op5_anisotropic_search,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
