@@ -1,4 +1,69 @@
-"""The corpus pipeline."""
-STAGES: list = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""The corpus pipeline: language ID, exact dedup, near dedup, mixing, BPE.
+
+Each stage takes what its predecessor kept and, but for the last, returns the columns of documents.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm.bpe import encode_documents
+from granary.llm.common import held_out
+from granary.llm.exact_dedup import keep_first_copies
+from granary.llm.language_id import UNKNOWN, fit_languages, with_language
+from granary.llm.mixing import mix
+from granary.llm.order_minhash import keep_one_of_each
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; those without a letter go."""
+    model = fit_languages(docs.filter(~held_out(F.col("doc_id"))))
+    return with_language(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one of largest id."""
+    return keep_first_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near copies, the document of least id."""
+    return keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's share of the mix takes them, up to twice."""
+    return mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as ids of the word-level BPE vocabulary."""
+    encoded = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+#: SQL expresses neither the language model nor the sketches.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each returns is written to the shared folder and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-pipeline-")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
