@@ -158,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
         return ToxicityModel()
     counts = counts[counts["token"] != ""].reset_index(drop=True)
     scores, default, clean = log_odds(counts, docs_by, prior, gap)
-    values, weights = np.array([*scores.values(), default]), np.array([*(clean[t] for t in scores), 1.0])
+    values, weights = np.array([*scores.values(), default]), np.array([*(clean[t] + 0.5 for t in scores), 1.0])
     model = ToxicityModel(scores, default, _rate(values, weights))
     if not model.rate:
         return model

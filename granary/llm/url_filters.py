@@ -115,10 +115,10 @@ def filter_urls(urls: DataFrame, url_col: str = "url", rules: list[Rule] | None
         spark = urls.sparkSession
         listed = spark.createDataFrame([(k, not r.pattern, len(r.name), r.verdict == ALLOW, r.name, r.regex) for k, v in index.items() for r in v], "token string, on_host boolean, size int, allows boolean, name string, regex string")
         base = base.withColumn(row, F.monotonically_increasing_id())
-        probes = base.select(F.col(row).alias("_row"), "host", "path", url.alias("_url"), F.explode(F.array_distinct(t)).alias("token"))
+        probes = base.select(F.col(row).alias("_found"), "host", "path", url.alias("_url"), F.explode(F.array_distinct(t)).alias("token"))
         hits = probes.join(listed, "token").filter(F.rlike(F.when(F.col("on_host"), F.concat("host", "path")).otherwise(F.col("_url")), F.col("regex")))
-        hits = hits.groupBy("_row").agg(F.collect_list(F.struct("on_host", "size", "allows", "name", "regex")).alias("_hits"))
-        judged = base.join(hits, F.col(row) == F.col("_row"), "left").withColumn(c, F.coalesce("_hits", F.expr("cast(array() as array<struct<on_host:boolean,size:int,allows:boolean,name:string,regex:string>>)")))
+        hits = hits.groupBy("_found").agg(F.collect_list(F.struct("on_host", "size", "allows", "name", "regex")).alias("_hits"))
+        judged = base.join(hits, F.col(row) == F.col("_found"), "left").withColumn(c, F.coalesce("_hits", F.expr("cast(array() as array<struct<on_host:boolean,size:int,allows:boolean,name:string,regex:string>>)")))
     best = F.array_max(F.transform(F.filter(F.col(c), lambda r: r["on_host"]), lambda r: F.struct(r["size"], r["name"], r["allows"])))
     patterns = F.filter(F.col(c), lambda r: ~r["on_host"])
     own = F.when((F.size(patterns) == 0) | F.exists(patterns, lambda r: r["allows"]), ALLOW).otherwise(BLOCK)
