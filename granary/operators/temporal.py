@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.core import rules
 from granary.core.islands import gap_tolerant_runs, longest_runs, with_islands
-from granary.core.numbers import py_round, safe_ratio
+from granary.core.numbers import py_round
 
 def by_person():
     return Window.partitionBy("person")
@@ -32,15 +32,13 @@ class TemporalConfig:
 CONFIG = TemporalConfig()
 
 
-def _median(column: str) -> Column:
-    return F.expr(py_round(f"percentile({column}, 0.5)", 3))
-
-
 def thresholds(frames: DataFrame, c: TemporalConfig = CONFIG) -> DataFrame:
     """Each person's motion thresholds from the medians of their own frames; the minimum where all are null."""
     absolute = lambda b: F.coalesce(F.greatest(b * c.motion_factor, b + c.motion_delta, F.lit(c.motion_min)), F.lit(c.motion_min))
     relative = lambda b, least: F.coalesce(F.greatest(b * 1.8, b + least / 2, F.lit(least)), F.lit(least))
-    medians = frames.groupBy("person").agg(*[_median(x).alias(f"m_{x}") for x in ("global_motion", "near_motion", "hand_motion", "pose_motion")])
+    measures = ("global_motion", "near_motion", "hand_motion", "pose_motion")
+    medians = frames.groupBy("person").agg(*[F.percentile(x, 0.5).alias(x) for x in measures])
+    medians = medians.select("person", *[F.expr(py_round(x, 3)).alias(f"m_{x}") for x in measures])
     return medians.select(
         "person", absolute(F.col("m_global_motion")).alias("t_global"), absolute(F.col("m_near_motion")).alias("t_near"), relative(F.col("m_hand_motion"), c.hand_min).alias("t_hand"), relative(F.col("m_pose_motion"), c.pose_min).alias("t_pose")
     )
@@ -102,7 +100,8 @@ def quality(frames: DataFrame) -> DataFrame:
     df = flags(frames)
     stable = F.expr("device_visible AND quality_usable AND coalesce(global_motion <= t_global, true) AND (face_context OR hand_near)")
     runs = longest_runs(df, ["person"], "ord", {"longest_stable": stable})
-    shares = df.groupBy("person").agg(F.expr(safe_ratio("count_if(quality_usable)", "count(1)")).alias("valid_ratio"), F.expr(safe_ratio("count_if(device_visible)", "count(1)")).alias("device_ratio"))
+    shares = df.groupBy("person").agg((F.count_if("quality_usable") / F.count(F.lit(1))).alias("_valid"), (F.count_if("device_visible") / F.count(F.lit(1))).alias("_device"))
+    shares = shares.select("person", F.expr(py_round("_valid", 3)).alias("valid_ratio"), F.expr(py_round("_device", 3)).alias("device_ratio"))
     return shares.join(runs, "person").withColumn("quality", F.expr(rules.FRAME_QUALITY("valid_ratio"))).withColumn("longest_stable_bin", F.expr(rules.count_bin("longest_stable")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.core import rules
 from granary.core.islands import first_seen_mode, longest_runs, with_islands
-from granary.core.numbers import SPARK_RINT, py_round, safe_ratio
+from granary.core.numbers import SPARK_RINT, py_round
 from granary.operators.sampling import even_indices
 
 def by_person():
@@ -29,21 +29,21 @@ def covered_windows(frames: DataFrame, most: int = MOST_WINDOWS) -> DataFrame:
 def window_summary(frames: DataFrame) -> DataFrame:
     """First-generation summary of each window: visibility, quality, motion, status, intensity, confidence."""
     df = covered_windows(frames)
-    ratio = lambda c: F.expr(safe_ratio(f"count_if({c})", "count(1)"))
     base = df.groupBy(*KEYS).agg(
         F.first("window_order").alias("window_order"), F.first("position").alias("position"), F.count(F.lit(1)).alias("n_frames"),
-        ratio("device_visible").alias("device_ratio"), ratio("face_visible").alias("face_ratio"), ratio("mesh_visible").alias("mesh_ratio"), ratio("hand_visible").alias("hand_ratio"),
+        *[(F.count_if(f"{x}_visible") / F.count(F.lit(1))).alias(f"{x}_share") for x in ("device", "face", "mesh", "hand")],
         F.coalesce(F.max("local_motion"), F.lit(0.0)).alias("local_peak"), F.coalesce(F.max("global_motion"), F.lit(0.0)).alias("global_peak"),
         F.count_if(F.col("local_motion") >= rules.LOCAL_THRESHOLD).alias("local_bursts"), F.count_if(F.col("global_motion") >= rules.GLOBAL_THRESHOLD).alias("global_bursts"),
         F.coalesce(F.max(F.greatest(F.col("local_motion") - F.col("global_motion") * 0.6, F.lit(0.0))), F.lit(0.0)).alias("localized_peak"),
         F.count_if(F.greatest(F.col("local_motion") - F.col("global_motion") * 0.6, F.lit(0.0)) >= LOCALIZED_THRESHOLD).alias("localized_bursts"),
         F.count_if(F.col("hand_region").isin("lower_frame", "middle_frame")).alias("near_hands"), F.count_if(F.col("hand_region") == "lower_frame").alias("lower_hands"),
-        F.count("eye_openness").alias("n_eyes"), F.count_if("eye_closed").alias("n_closed"), F.expr(py_round("avg(eye_openness)", 6)).alias("mean_eyes"),
+        F.count("eye_openness").alias("n_eyes"), F.count_if("eye_closed").alias("n_closed"), F.avg("eye_openness").alias("eyes_share"),
         F.count_if("face_close").alias("n_close_faces"), F.count_if("several_faces").alias("n_several"), F.count_if("face_visible").alias("n_faces"),
     )
     for quality in ("lighting", "blur"):
         base = base.join(first_seen_mode(df, KEYS, quality, "ord", quality), KEYS)
     layers = [
+        {f"{x}_ratio": py_round(f"{x}_share", 3) for x in ("device", "face", "mesh", "hand")} | {"mean_eyes": py_round("eyes_share", 6)},
         {f"{x}_level": rules.ratio_bin(f"{x}_ratio") for x in ("device", "face", "mesh", "hand")}
         | {"local_level": rules.motion_level("local_peak", "cast(0.035 as double)"), "global_level": rules.motion_level("global_peak", "cast(0.05 as double)"), "blink": rules.BLINK_WINDOW, "eye_level": rules.eye_openness("mean_eyes")}
         | {"posture_state": "CASE WHEN n_faces = 0 THEN 'not_computed' WHEN n_close_faces > 0 THEN 'close_to_screen' ELSE 'visible_not_close' END", "several": "n_several > 0"},
@@ -171,7 +171,7 @@ def session_summary(windows: DataFrame) -> DataFrame:
         }
     )
     estimated = F.col("orientation_v0") == "estimated_from_visible_face_and_device"
-    df = df.withColumn("gaze_ratio", F.when(estimated, F.expr(safe_ratio("n_gaze", "n_observable")))).withColumn("gaze_minutes", F.when(estimated, F.col("longest_gaze") * 5))
+    df = df.withColumn("_gaze", F.col("n_gaze") / F.nullif(F.col("n_observable"), F.lit(0))).withColumn("gaze_ratio", F.when(estimated, F.expr(py_round("_gaze", 3)))).withColumn("gaze_minutes", F.when(estimated, F.col("longest_gaze") * 5))
     return df.withColumns({"gaze_bin": F.when(estimated, F.expr(rules.ratio_bin("gaze_ratio"))), "gaze_duration": F.expr(rules.continuous_duration("gaze_minutes"))})
 
 

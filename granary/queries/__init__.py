@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("evidence", "records")
+MODULES = ("evidence", "records", "packages")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
