@@ -113,7 +113,8 @@ def read_sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for content in b["content"]:
-                yield pd.DataFrame(sheet_rows(content), dtype=object).reindex(columns=[*columns, "_label_row_index"])
+                rows = sheet_rows(content)
+                yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [*columns, "_label_row_index"]})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
