@@ -335,7 +335,6 @@ BLINK_V0 = case(("n_values = 0", "'not_computed'"), ("n_closed >= greatest(2, fl
 BLINK_V1 = lambda rint: case(("n_values = 0", "'not_computed'"), (f"n_closed >= greatest(3, {rint.format('n_values * cast(0.4 as double)')})", "'frequent_eye_closure'"), (f"n_reduced >= greatest(3, {rint.format('n_values * cast(0.4 as double)')})", "'frequent_reduced_eye_openness'"), ("n_closed + n_reduced > 0", "'occasional_eye_openness_change'"), default="'mostly_stable'")
 ORIENTATION_STATUS = lambda bad, share, rint: case(("n_observable = 0", "'insufficient_face_or_device_visibility'"), (f"{safe_ratio(bad, 'n_observable', rint)} >= {share}", "'motion_confounded'"), default="'estimated_from_visible_face_and_device'")
 POSTURE_TREND = case(("n_posture = 0", "'not_computed'"), ("n_close >= greatest(2, floor(n_windows / 2))", "'frequent_close_to_screen'"), default="'mostly_visible_not_close'")
-percent_text = lambda n, d, rint=SPARK_RINT: f"concat(cast(cast({rint.format(f'100 * cast({n} as double) / {d}')} as bigint) as {{string}}), '%')"
 
 # labels
 RISK_LABELS = ("none", "mild", "moderate", "high", "insufficient_evidence")
