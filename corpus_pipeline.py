@@ -5,7 +5,6 @@ Each stage takes what its predecessor kept and, but for the last, returns the co
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.bpe import encode_documents
-from granary.llm.common import held_out
+from granary.llm.common import held_out, shared_folder
 from granary.llm.exact_dedup import keep_first_copies
 from granary.llm.language_id import UNKNOWN, fit_languages, with_language
 from granary.llm.mixing import mix
@@ -60,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the shared folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-pipeline-")
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
