@@ -67,6 +67,13 @@ class Shingler:
         return _mixed(value + nth * MIX)
 
 
+def halves(labelled: np.ndarray) -> np.ndarray:
+    """The upper 32 bits of each k-mer; of the few that then agree, the first."""
+    x = (labelled >> np.uint64(32)).astype(np.uint32)
+    _, first = np.unique(x, return_index=True)
+    return x if len(first) == len(x) else x[np.sort(first)]
+
+
 def sketches(labelled: np.ndarray, bands: int, mins: int) -> np.ndarray:
     """Order MinHash: for each band, the `mins` least k-mers under its own hash, in text order, as one number."""
     n = len(labelled)
@@ -160,7 +167,7 @@ def links_among(comps: np.ndarray, rows: list[np.ndarray], side: np.ndarray) ->
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, bands: int = 20, mins: int = 4, block_kmers: int = 400_000, block_rows: int = 1000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, bands: int = 34, mins: int = 6, block_kmers: int = 2_000_000, block_rows: int = 4000) -> DataFrame:
     """For every row of docs: _place, id_col, class_id, class_size. Near copies share a class.
 
     Words are runs of letters, digits and _ in lower case. Texts of equal words are copies; texts without words are
@@ -176,14 +183,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     2. Every text of a bucket is compared with the bucket's least one; links give components. However many near
        copies a bucket holds, that is one comparison each.
     3. Buckets left with several components are compared pair by pair across components, in blocks of about
-       block_kmers k-mers and block_rows rows at most: those outside the bucket's largest component against all.
+       block_kmers k-mers and block_rows rows: those outside the bucket's largest component against all. Half of each
+       k-mer's bits do for this; the links found are verified with all of them.
     4. Components of all links.
 
     Only k-mers of texts that share a bucket with another text are moved. docs must yield the same rows in the same
     order when read again.
     """
     place = F.monotonically_increasing_id()
-    rows = docs.select(place.alias("place"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(place.alias("place"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
@@ -196,8 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append((digest, len(x), sketches(x, bands, mins) if words else np.zeros(0, np.int64)))
             yield pd.DataFrame({"place": b["place"], "id": b["id"], "digest": [o[0] for o in out], "n": [o[1] for o in out], "keys": [o[2] for o in out]})
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    marked = cut(rows.mapInPandas(sketch, f"place long, id {id_type}, digest binary, n int, keys array<long>"))
+    marked = cut(rows.mapInPandas(sketch, "place long, id string, digest binary, n int, keys array<long>").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)))
     first = marked.groupBy("digest").agg(F.min("place").alias("first"))
     members = cut(marked.join(first, "digest").select("place", "id", "first", F.when(F.col("place") == F.col("first"), F.struct("n", "keys")).alias("own")))
     texts = members.filter("own IS NOT NULL").select("place", "own.n", "own.keys")
@@ -210,10 +217,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def kmers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
         for b in batches:
-            yield pd.DataFrame({"place": b["place"], "kmers": [shingler.labelled(shingler.words(t)).tobytes() for t in b["text"]]})
+            found = [shingler.labelled(shingler.words(t)) for t in b["text"]]
+            yield pd.DataFrame({"place": b["place"], "kmers": [x.tobytes() for x in found], "halves": [halves(x).tobytes() for x in found]})
 
     involved = filled.select("place").distinct()
-    content = cut(rows.select("place", "text").join(involved, "place", "left_semi").mapInPandas(kmers, "place long, kmers binary"))
+    content = cut(rows.select("place", "text").join(involved, "place", "left_semi").mapInPandas(kmers, "place long, kmers binary, halves binary"))
     of = lambda name: content.select(F.col("place").alias(name), F.col("kmers").alias(f"kmers_{name}"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,7 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             fit = [alignment(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) > 0 for x, y in zip(b["kmers_a"], b["kmers_b"], strict=True)]
             yield b.loc[fit, ["a", "b"]]
 
-    links = cut(star.join(of("a"), "a").join(of("b"), "b").mapInPandas(verify, "a long, b long"))
+    verified = lambda pairs: cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(verify, "a long, b long"))
+    links = verified(star)
 
     roots = connected(links)
     labelled = filled.join(roots, filled["place"] == roots["node"], "left").select("place", "n", "bucket", F.coalesce("root", "place").alias("comp"))
@@ -238,16 +247,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: pair(o, F.col("others") + own(F.greatest("mains", F.lit(1)))))
     is_main = F.col("comp") == F.col("main")
     tasks = F.when(F.col("mains") == 0, F.array(pair(F.lit(0), F.lit(0)))).when(is_main, from_main).otherwise(F.array_distinct(F.concat(with_others, with_mains)))
-    dealt = labelled.join(by_bucket, "bucket").select("bucket", "place", "comp", is_main.cast("int").alias("side"), F.explode(tasks).alias("task")).join(content, "place")
+    dealt = labelled.join(by_bucket, "bucket").select("bucket", "place", "comp", is_main.cast("int").alias("side"), F.explode(tasks).alias("task")).join(content.select("place", "halves"), "place")
 
     def across(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("place", ignore_index=True)
-        found = links_among(b["comp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in b["kmers"]], b["side"].to_numpy())
+        found = links_among(b["comp"].to_numpy(), [np.frombuffer(x, np.uint32) for x in b["halves"]], b["side"].to_numpy())
         at = b["place"].to_numpy()
         return pd.DataFrame([(at[i], at[j]) for i, j in found], columns=["a", "b"])
 
     more = dealt.groupBy("bucket", "task").applyInPandas(across, "a long, b long")
-    roots = connected(cut(links.unionByName(more)))
+    roots = connected(links.unionByName(verified(more.distinct())))
     known = members.join(roots, members["first"] == roots["node"], "left").select("place", "id", F.coalesce("root", "first").alias("root"))
     classes = known.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return known.join(classes, "root").select(F.col("place").alias("_place"), F.col("id").alias(id_col), "class_id", "class_size")
