@@ -85,19 +85,11 @@ class WindowNetwork:
         z /= z.sum(axis=1, keepdims=True)
         return z
 
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
     def log_likelihood(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, h = self._hidden(context)
-        group, within = np.divmod(target, self.per_group)
-        z = self._softmax(h @ self.p["group"] + self.p["group_bias"])
-        out = np.log(z[np.arange(len(target)), group] + 1e-12)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.groups + 1))
-        for g in range(self.groups):
-            at = order[bounds[g] : bounds[g + 1]]
-            if len(at):
-                z = self._softmax(h[at] @ self.p["word"][g] + self.p["word_bias"][g])
-                out[at] += np.log(z[np.arange(len(at)), within[at]] + 1e-12)
-        return out
+        return self.scorer().log_likelihood(context, target)
 
     def step(self, context: np.ndarray, target: np.ndarray, speed: float, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step on a batch; seen holds the sums of squares."""
@@ -148,6 +140,55 @@ class WindowNetwork:
             at += size
 
 
+class Scorer:
+    """A network made ready to score: embeddings already mixed for each position, and bounds on the logits.
+
+    Hidden units lie within 1, so a logit lies within its bias plus the absolute sum of its weights; where these
+    bounds are far from overflow, sums of exponentials need no maximum taken off.
+    """
+
+    def __init__(self, network: WindowNetwork):
+        p, width = network.p, network.p["embed"].shape[1]
+        self.groups, self.per_group = network.groups, network.per_group
+        self.by_place = [p["embed"] @ p["mix"][k * width : (k + 1) * width] for k in range(len(network.offsets))]
+        self.bias = p["mix_bias"]
+        self.group = self._layer(p["group"], p["group_bias"])
+        self.word = [self._layer(p["word"][g], p["word_bias"][g]) for g in range(self.groups)]
+
+    @staticmethod
+    def _layer(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        return w, b, bool((np.abs(w).sum(axis=0) + np.abs(b)).max() < 60)
+
+    @staticmethod
+    def _log_p(h: np.ndarray, layer: tuple[np.ndarray, np.ndarray, bool], target: np.ndarray) -> np.ndarray:
+        w, b, bounded = layer
+        z = h @ w
+        z += b
+        own = z[np.arange(len(z)), target]
+        if bounded:
+            np.exp(z, out=z)
+            return own - np.log(z.sum(axis=1))
+        top = z.max(axis=1)
+        return own - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
+
+    def log_likelihood(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        h = self.by_place[0][context[:, 0]]
+        for k in range(1, len(self.by_place)):
+            h += self.by_place[k][context[:, k]]
+        h += self.bias
+        np.tanh(h, out=h)
+        group, within = np.divmod(target, self.per_group)
+        out = self._log_p(h, self.group, group)
+        order = np.argsort(group.astype(np.uint8) if self.groups <= 256 else group, kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(self.groups + 1))
+        h, within = h[order], within[order]
+        for g in range(self.groups):
+            lo, hi = bounds[g], bounds[g + 1]
+            if lo < hi:
+                out[order[lo:hi]] += self._log_p(h[lo:hi], self.word[g], within[lo:hi])
+        return out
+
+
 def count_words(docs: DataFrame, text_col: str = "text", groups: int = 64, per_group: int = 96, bins: int = 256) -> Vocabulary:
     """Vocabulary of groups times per_group tokens from the counts of all words of all documents."""
 
@@ -170,9 +211,11 @@ def count_words(docs: DataFrame, text_col: str = "text", groups: int = 64, per_g
     return Vocabulary({r["word"]: k for k, r in enumerate(rows)}, np.concatenate([known, tail]), groups, per_group)
 
 
-def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 2, rate: float = 0.02, batch: int = 2048, speed: float = 0.05, fan_in: int = 64) -> WindowNetwork:
-    """Network trained on the share `rate` of the tokens of every document, which grows with the input.
+def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 2, rate: float = 0.02, batch: int = 2048, speed: float = 0.05, fan_in: int = 64, block: int = 400) -> WindowNetwork:
+    """Network trained on the share `rate` of all text, which grows with the input.
 
+    Every document is seen as blocks of `block` characters, from its start to its end, and each block is drawn with
+    probability `rate`; only drawn blocks, with the words around them, are cut into tokens. A shorter text is one block.
     In each round every input partition trains a copy of the network on its own documents; the copies, weighted
     by their tokens, are averaged in groups of up to about fan_in on executors, and the few averages on the driver.
     """
@@ -191,9 +234,7 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
             numbers, held, n, used = words.numbers(), [], 0, 0
             for b in batches:
                 for text in b["text"]:
-                    tokens = numbers.tokens(text)
-                    if len(tokens):
-                        at = np.flatnonzero(rng.random(len(tokens)) < rate)
+                    for tokens, at in _drawn(text or "", rng, rate, block, numbers, own.side):
                         held.append((own.contexts(tokens, at, words.padding), tokens[at]))
                         n += len(at)
                     if n >= 8 * batch:
@@ -219,6 +260,19 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
     return network
 
 
+def _drawn(text: str, rng: np.random.Generator, rate: float, block: int, numbers: Numbers, side: int, margin: int = 40) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens of each drawn block and its surroundings, and the places whose neighbours are all among them."""
+    for k in np.flatnonzero(rng.random(-(-len(text) // block)) < rate).tolist():
+        lo, hi = max(0, k * block - margin), min(len(text), (k + 1) * block + margin)
+        piece = text[lo:hi]
+        if hi < len(text):
+            piece = piece[: piece.rfind(" ") + 1]
+        if lo:
+            piece = piece[piece.find(" ") + 1 :]
+        tokens = numbers.tokens(piece)
+        yield tokens, np.arange(side if lo else 0, len(tokens) - (side if hi < len(text) else 0))
+
+
 def _train_on(network: WindowNetwork, held: list, batch: int, speed: float, seen: dict, rng: np.random.Generator) -> int:
     if not held:
         return 0
@@ -242,11 +296,11 @@ def with_pseudo_likelihood(docs: DataFrame, network: WindowNetwork, vocabulary:
     @F.pandas_udf("n long, pll double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net, words = sent.value
-        numbers = words.numbers()
+        numbers, scorer = words.numbers(), net.scorer()
         for texts in batches:
             rows = []
             for k in range(0, len(texts), 64):
-                rows += _scores(net, words, numbers, texts.iloc[k : k + 64])
+                rows += _scores(net, scorer, words, numbers, texts.iloc[k : k + 64])
             yield pd.DataFrame(rows, columns=["n", "pll"])
 
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("n_tokens", "pll", "pll_per_token")]
@@ -254,7 +308,7 @@ def with_pseudo_likelihood(docs: DataFrame, network: WindowNetwork, vocabulary:
     return docs.select(*kept, score(F.col(text_col).cast("string")).alias("_score_")).select(*kept, n.alias("n_tokens"), pll.alias("pll"), F.when(n > 0, pll / n).otherwise(0.0).alias("pll_per_token"))
 
 
-def _scores(network: WindowNetwork, vocabulary: Vocabulary, numbers: Numbers, texts: Iterator[str | None], slice_size: int = 8192) -> list[tuple[int, float]]:
+def _scores(network: WindowNetwork, scorer: Scorer, vocabulary: Vocabulary, numbers: Numbers, texts: Iterator[str | None], slice_size: int = 8192) -> list[tuple[int, float]]:
     """Tokens and summed log-probabilities of each text; texts lie in one row with padding between."""
     found = [numbers.tokens(t) for t in texts]
     gap = np.full(network.side, vocabulary.padding, np.int32)
@@ -265,6 +319,6 @@ def _scores(network: WindowNetwork, vocabulary: Vocabulary, numbers: Numbers, te
         places = at[k : k + slice_size]
         lo, hi = places[0], places[-1] + 1
         lo, hi = max(0, lo - network.side), min(len(row), hi + network.side)
-        value[k : k + slice_size] = network.log_likelihood(network.contexts(row[lo:hi], places - lo, vocabulary.padding), row[places])
+        value[k : k + slice_size] = scorer.log_likelihood(network.contexts(row[lo:hi], places - lo, vocabulary.padding), row[places])
     ends = np.cumsum([len(t) for t in found])
     return [(len(t), float(value[e - len(t) : e].sum())) for t, e in zip(found, ends, strict=True)]
