@@ -5,7 +5,7 @@ import numpy as np
 
 from granary.llm.anisotropic import Quantiser, nearest
 from granary.llm.components import connected
-from granary.llm.order_minhash import Shingler, aligned, alignment, keep_one_of_each, links_among, near_duplicates, sketches
+from granary.llm.order_minhash import Shingler, aligned, alignment, bucket_keys, keep_one_of_each, links_among, near_duplicates, sketches
 from granary.llm.pseudo_likelihood import Vocabulary, WindowNetwork, _scores, count_words, fit_network, with_pseudo_likelihood
 
 
@@ -99,6 +99,38 @@ def test_near_classes_match_brute_force(spark):
     assert near_duplicates(df.limit(0)).collect() == [] and keep_one_of_each(df.limit(0)).collect() == []
 
 
+def short_pairs(seed=4):
+    """Texts of 8 to 20 words with a copy that has a word more or less at an end, and of 9 to 60 with one changed at an end."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    texts = []
+    for size in list(range(8, 21)) * 4:
+        base = [word() for _ in range(size)]
+        texts += [base, base + [word()]] if size % 2 else [base, [word(), *base]]
+    for size in range(9, 73, 3):
+        base = [word() for _ in range(size)]
+        texts += [base, [word(), *base[1:]], base[: size - 2 * (size // 24)]]
+    return [" ".join(t) for t in texts]
+
+
+def test_short_near_pairs_match_brute_force(spark):
+    texts = short_pairs()
+    want = brute_classes(texts)
+    assert sum(w != k for k, w in enumerate(want)) > 60
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_near_pairs_of_all_sizes_share_a_bucket():
+    rng = np.random.default_rng(5)
+    for n in range(4, 80):
+        x = rng.integers(0, 2**63, n + n // 4).astype(np.uint64)
+        for a, b in ((x, x[n // 4 :]), (x[:n], x[:-1][n // 8 : n + n // 8])):
+            if alignment(a, b):
+                assert len(np.intersect1d(bucket_keys(a, 34, 6), bucket_keys(b, 34, 6))), (len(a), len(b))
+
+
 def test_repeated_ids_and_null_ids_keep_one_row(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g"), (2, "h i j k l m n")], "doc_id long, text string")
     assert sorted(r.doc_id for r in keep_one_of_each(df).collect()) == [1, 2]
