@@ -180,13 +180,14 @@ def links_among(comps: np.ndarray, rows: list[np.ndarray], side: np.ndarray) ->
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, bands: int = 34, mins: int = 6, block_kmers: int = 2_000_000, block_rows: int = 4000) -> DataFrame:
-    """For every row of docs: _place, id_col, class_id, class_size. Near copies share a class.
+    """For every row of docs: _place, _class, id_col, class_id, class_size. Near copies share a class.
 
     Words are runs of letters, digits and _ in lower case. Texts of equal words are copies; texts without words are
     copies where they are equal; null counts as empty. Different texts are near copies when, of their k-mers of
     words, each labelled by its occurrence in its text, the aligned ones (equal and in the same order in both)
     make up 4/5 or more of all. Fewer than k words make one k-mer. Classes are the components of these links;
-    class_id is the least id in them (null ids last), class_size their rows. An empty table gives an empty result.
+    _class is the place of one of their rows, and tells classes apart however ids repeat or lack; class_id is the
+    least id in them (null if all are null), class_size their rows. An empty table gives an empty result.
 
     Candidates: in each of `bands` bands, the `mins` least k-mers under its hash, in text order, are the key of a
     bucket; the 3 least in texts of under 60 k-mers, and both kinds from 48 to 59. A pair of m aligned k-mers and n in
@@ -274,7 +275,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = connected(links.unionByName(verified(more.distinct())))
     known = members.join(roots, members["first"] == roots["node"], "left").select("place", "id", F.coalesce("root", "first").alias("root"))
     classes = known.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return known.join(classes, "root").select(F.col("place").alias("_place"), F.col("id").alias(id_col), "class_id", "class_size")
+    return known.join(classes, "root").select(F.col("place").alias("_place"), F.col("root").alias("_class"), F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -284,7 +285,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     place = free_name(docs, "_place")
     found = near_duplicates(docs, id_col, text_col, **how)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select("_place", "class_id", "class_size")
+    first = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select("_place", "_class", "class_size")
     single = first.filter("class_size = 1").select(F.col("_place").alias(place))
-    several = first.filter("class_size > 1").groupBy("class_id", "class_size").agg(F.min("_place").alias(place)).select(place)
+    several = first.filter("class_size > 1").groupBy("_class").agg(F.min("_place").alias(place)).select(place)
     return docs.withColumn(place, F.monotonically_increasing_id()).join(single.unionByName(several), place, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -136,6 +136,16 @@ def test_repeated_ids_and_null_ids_keep_one_row(spark):
     assert sorted(r.doc_id for r in keep_one_of_each(df).collect()) == [1, 2]
 
 
+def test_classes_of_null_or_repeated_ids_each_keep_a_row(spark):
+    same = ["a b c d e f g", "h i j k l m n", "o p q r s t u", "v w x y z a b"]
+    rows = [(None, same[0])] * 2 + [(None, same[1])] * 2 + [(5, same[2]), (6, same[2]), (5, same[3]), (7, same[3])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    kept = keep_one_of_each(df).collect()
+    assert sorted(r.text for r in kept) == sorted(same)
+    assert sorted(str(r.doc_id) for r in kept) == ["5", "5", "None", "None"]
+    assert len({r._class for r in near_duplicates(df).collect()}) == 4
+
+
 def test_alignment_counts_equal_kmers_in_order():
     a = np.array([1, 2, 3, 4, 5, 6], np.uint64)
     assert aligned(a, a) == 6 and aligned(a, a[::-1]) == 1 and aligned(a, a[[0, 2, 1, 3, 4, 5]]) == 5
