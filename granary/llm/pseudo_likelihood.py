@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import cut
 from granary.llm.language_id import words_of
 
 #: Names of the parameters, in the order in which they are sent.
@@ -46,9 +47,12 @@ class Numbers(dict):
         if len(self) >= self.most:
             self.clear()
             self.update(self.vocabulary)
-        self[word] = at = len(self.vocabulary) + crc32(word.encode("utf-8", "surrogatepass")) % self.bins
+        self[word] = at = len(self.vocabulary) + self.bin_of(word)
         return at
 
+    def bin_of(self, word: str) -> int:
+        return crc32(word.encode("utf-8", "surrogatepass")) % self.bins
+
     def tokens(self, text: str | None) -> np.ndarray:
         parts = [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in words_of(text or "")]
         return np.concatenate(parts) if parts else np.zeros(0, np.int32)
@@ -190,7 +194,10 @@ class Scorer:
 
 
 def count_words(docs: DataFrame, text_col: str = "text", groups: int = 64, per_group: int = 96, bins: int = 256) -> Vocabulary:
-    """Vocabulary of groups times per_group tokens from the counts of all words of all documents."""
+    """Vocabulary of groups times per_group tokens from the counts of all words of all documents.
+
+    A bin's count is the sum over all words outside the vocabulary that hash into it.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter[str] = Counter()
@@ -204,11 +211,16 @@ def count_words(docs: DataFrame, text_col: str = "text", groups: int = 64, per_g
                     found.clear()
         yield out()
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = cut(docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     rows = counts.orderBy(F.desc("n"), "word").limit(groups * per_group - bins).collect()
     known = np.array([r["n"] for r in rows], np.float64)
-    tail = np.full(groups * per_group - len(rows), known[-1] if len(known) else 1.0)
-    return Vocabulary({r["word"]: k for k, r in enumerate(rows)}, np.concatenate([known, tail]), groups, per_group)
+    vocabulary = Vocabulary({r["word"]: k for k, r in enumerate(rows)}, np.concatenate([known, np.zeros(groups * per_group - len(rows))]), groups, per_group)
+    numbers = vocabulary.numbers()
+    for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % numbers.bins).alias("bin")).agg(F.sum("n").alias("n")).collect():
+        vocabulary.counts[len(rows) + r["bin"]] = r["n"]
+    for r in rows:
+        vocabulary.counts[len(rows) + numbers.bin_of(r["word"])] -= r["n"]
+    return vocabulary
 
 
 def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 2, rate: float = 0.02, batch: int = 2048, speed: float = 0.05, fan_in: int = 64, block: int = 400) -> WindowNetwork:

@@ -218,3 +218,12 @@ def test_scores_cover_whole_texts_and_learn_order(spark):
     assert abs(_scores(net, net.scorer(), v, v.numbers(), [rows[0].text], slice_size=7)[0][1] - rows[0].pll) < 1e-5 * rows[0].n_tokens
     assert with_pseudo_likelihood(df.limit(0), net, v).collect() == []
     assert count_words(df.limit(0), groups=2, per_group=8, bins=8).words == {}
+
+
+def test_bins_start_at_the_counts_of_the_words_in_them(spark):
+    texts = ["aa bb " * 50 + " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" * (1 + k % 3) for k in range(500)), "aa É é É", None]
+    v = count_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), groups=2, per_group=8, bins=14)
+    numbers, want = v.numbers(), np.zeros(16)
+    assert len(v.words) == 2
+    np.add.at(want, np.concatenate([numbers.tokens(t) for t in texts]), 1)
+    assert v.counts.tolist() == want.tolist() and v.counts[2:].sum() == 503
