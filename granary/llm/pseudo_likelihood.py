@@ -223,11 +223,11 @@ def count_words(docs: DataFrame, text_col: str = "text", groups: int = 64, per_g
     return vocabulary
 
 
-def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 2, rate: float = 0.02, batch: int = 2048, speed: float = 0.05, fan_in: int = 64, block: int = 400) -> WindowNetwork:
-    """Network trained on the share `rate` of all text, which grows with the input.
+def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 2, rate: float = 1.0, batch: int = 2048, speed: float = 0.05, fan_in: int = 64, block: int = 64) -> WindowNetwork:
+    """Network trained on all tokens of all documents in each round, or on the share `rate` of them.
 
-    Every document is seen as blocks of `block` characters, from its start to its end, and each block is drawn with
-    probability `rate`; only drawn blocks, with the words around them, are cut into tokens. A shorter text is one block.
+    Below rate 1 every document is seen as blocks of `block` tokens, from its first to its last, and each block is
+    drawn with probability `rate`; what lies around a block is its context all the same.
     In each round every input partition trains a copy of the network on its own documents; the copies, weighted
     by their tokens, are averaged in groups of up to about fan_in on executors, and the few averages on the driver.
     """
@@ -246,7 +246,9 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
             numbers, held, n, used = words.numbers(), [], 0, 0
             for b in batches:
                 for text in b["text"]:
-                    for tokens, at in _drawn(text or "", rng, rate, block, numbers, own.side):
+                    tokens = numbers.tokens(text)
+                    at = _drawn(len(tokens), rng, rate, block)
+                    if len(at):
                         held.append((own.contexts(tokens, at, words.padding), tokens[at]))
                         n += len(at)
                     if n >= 8 * batch:
@@ -272,17 +274,9 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
     return network
 
 
-def _drawn(text: str, rng: np.random.Generator, rate: float, block: int, numbers: Numbers, side: int, margin: int = 40) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Tokens of each drawn block and its surroundings, and the places whose neighbours are all among them."""
-    for k in np.flatnonzero(rng.random(-(-len(text) // block)) < rate).tolist():
-        lo, hi = max(0, k * block - margin), min(len(text), (k + 1) * block + margin)
-        piece = text[lo:hi]
-        if hi < len(text):
-            piece = piece[: piece.rfind(" ") + 1]
-        if lo:
-            piece = piece[piece.find(" ") + 1 :]
-        tokens = numbers.tokens(piece)
-        yield tokens, np.arange(side if lo else 0, len(tokens) - (side if hi < len(text) else 0))
+def _drawn(n: int, rng: np.random.Generator, rate: float, block: int) -> np.ndarray:
+    """The places of n tokens that lie in drawn blocks; all of them at rate 1."""
+    return np.flatnonzero(np.repeat(rng.random(-(-n // block)) < rate, block)[:n])
 
 
 def _train_on(network: WindowNetwork, held: list, batch: int, speed: float, seen: dict, rng: np.random.Generator) -> int:

@@ -227,3 +227,17 @@ def test_bins_start_at_the_counts_of_the_words_in_them(spark):
     assert len(v.words) == 2
     np.add.at(want, np.concatenate([numbers.tokens(t) for t in texts]), 1)
     assert v.counts.tolist() == want.tolist() and v.counts[2:].sum() == 503
+
+
+def test_all_tokens_train_whatever_stands_between_them(spark):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    texts = [[rnd.choice(words) for _ in range(400)] for _ in range(10)]
+    by = {sep: spark.createDataFrame([(sep.join(t),) for t in texts], "text string").coalesce(1) for sep in " \t\n"}
+    v = count_words(by[" "], groups=8, per_group=48, bins=16)
+    nets = {sep: fit_network(df, v) for sep, df in by.items()}
+    known = len(v.words)
+    assert known >= 290 and (nets[" "].p["embed"][:known] != WindowNetwork(v).p["embed"][:known]).any(axis=1).all()
+    assert all(np.array_equal(nets[" "].p[k], nets[sep].p[k]) for sep in "\t\n" for k in nets[" "].p)
+    a, b = (fit_network(by[sep], v, rate=0.5) for sep in " \t")
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
