@@ -55,7 +55,7 @@ PATTERN_RULES = [
     Rule(BLOCK, pattern=r"://([^/?#]*\.)?spam-farm\.", literals=("spam", "farm")),
     Rule(BLOCK, pattern=r"://([^/?#]*\.)?(ads|adserver|doubleclick)\.", literals=()),
     Rule(BLOCK, pattern=r"[?&]utm_source=(spam|casino)\b", literals=("utm", "source")),
-    Rule(BLOCK, pattern=r"/(wp-login|xmlrpc)\.php", literals=("php",)),
+    Rule(BLOCK, pattern=r"/(wp-login|xmlrpc)\.php", literals=()),
     Rule(ALLOW, pattern=r"/robots\.txt$", literals=("robots", "txt")),
 ]
 

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from granary.llm.exact_dedup import exact_dedup, keep_first_copies
 from granary.llm.url_filters import ALLOW, BLOCK, HOST_RULES, PATTERN_RULES, Rule, filter_urls
@@ -59,6 +60,18 @@ def test_host_rules_by_hand_and_both_indexes_agree(spark):
     assert own["http://q.com/robots.txt"] == own[None] == own[""] == ALLOW
 
 
+def test_no_url_that_an_expression_fits_is_lost_by_the_index(spark):
+    parts = ["spam-farm.", "xspam-farm.x", "ads.", "adserver.q", "xads.", "?utm_source=spam", "&utm_source=casino", "?utm_source=spammy", "/wp-login.php", "/wp-login.php5", "/xmlrpc.phpx?a", "/WP-LOGIN.php", "/robots.txt", "/robots.txtx"]
+    urls = [f"{scheme}{a}{b}" for scheme in ("http://", "http://q.com/x", "") for a in ["", *parts] for b in ["", *parts]]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    for how in ({}, {"max_inline": 0}):
+        for rules in [[r] for r in PATTERN_RULES] + [PATTERN_RULES]:
+            got = {r.url: r.verdict for r in filter_urls(df, rules=rules, **how).collect()}
+            for u in urls:
+                fits = {r.verdict for r in rules if re.search(r.pattern, u)}
+                assert got[u] == (BLOCK if fits == {BLOCK} else ALLOW), (u, rules)
+
+
 def test_no_rules_no_rows_and_tokens(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/1")], "page_id int, url string")
     assert filter_urls(df, rules=[]).first().verdict == ALLOW
