@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import windows
+from granary.llm.common import cut, windows
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -112,14 +112,20 @@ class Predictor:
 def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 20_000, max_words: int = 100_000) -> LanguageModel:
     """Model from the labelled rows: null languages do not count.
 
-    max_docs bounds the sample: where there are more labelled rows, those stay whose hashed id lies below the share
-    that gives max_docs of them on average. The max_words most frequent pairs of language and word of these rows, of
-    all their text, are the model's words, and give its n-grams; they are all that comes to the driver.
+    Its languages are those of all labelled rows with a word. max_docs bounds the sample, in equal parts by language; what
+    languages of few rows leave of theirs goes to the others. Of a language with more rows than its part, those stay
+    whose hashed id lies below the share that gives the part on average. Likewise max_words: the most frequent words of
+    each language in these rows, of all their text, as many as its part, are the model's words, and give its n-grams;
+    they, and a count for each language, are all that comes to the driver.
     """
-    rows = rows.filter(F.col(lang_col).isNotNull())
-    n = rows.count()
-    bound = int(min(1.0, max_docs / max(n, 1)) * (1 << 40))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit(3), id_col), F.lit(1 << 40)) < bound).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not held:
+        return LanguageModel.fit([])
+    drawn = parts(held, max_docs)
+    of = lambda table: F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v).cast("long"))])[F.col("lang")]
+    bounds = {k: int(min(1.0, drawn[k] / n) * (1 << 40)) for k, n in held.items()}
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 40)) < of(bounds)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter[tuple[str, str]] = Counter()
@@ -132,8 +138,21 @@ def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang
                     found.clear()
         yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["lang", "word", "n"])
 
-    counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return LanguageModel.fit([(r.lang, r.word, r.n) for r in counts.orderBy(F.desc("n"), "lang", "word").limit(max_words).collect()])
+    counts = cut(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = parts({r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}, max_words)
+    if not words:
+        return LanguageModel.fit([])
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= of(words))
+    return LanguageModel.fit([(r.lang, r.word, r.n) for r in ranked.orderBy(F.desc("n"), "lang", "word").collect()])
+
+
+def parts(held: dict[str, int], most: int) -> dict[str, int]:
+    """most dealt to the keys in equal parts, none more than it holds and, where it holds any, none less than one."""
+    out, left = {}, most
+    for k, n in enumerate(sorted(held, key=lambda x: (held[x], x))):
+        out[n] = min(held[n], max(1, left // (len(held) - k)))
+        left -= out[n]
+    return out
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

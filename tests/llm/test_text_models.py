@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from granary.llm.bpe import BpeCodec, decode_documents, encode_documents, load
-from granary.llm.language_id import UNKNOWN, LanguageModel, Predictor, fit_languages, with_language
+from granary.llm.language_id import UNKNOWN, LanguageModel, Predictor, fit_languages, parts, with_language
 from granary.llm.toxicity import ToxicityModel, fit_toxicity, maximal_segments, with_toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +54,19 @@ def test_language_of_words_backoff_and_texts_without_letters(spark):
     assert with_language(df, empty).first().lang_pred == UNKNOWN and with_language(df.limit(0), model).collect() == []
 
 
+def test_a_rare_language_stays_beside_a_frequent_one(spark):
+    rnd = random.Random(12)
+    word = lambda letters: "".join(rnd.choice(letters) for _ in range(5))
+    hot = [word("abcdefgh") for _ in range(400)]
+    rows = [(k, " ".join(rnd.choice(hot) for _ in range(30)), "hot") for k in range(600)] + [(1000, "qrstu vwxyz qxyzu", "rare"), (1001, "rstuv", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for how in ({"max_words": 40}, {"max_docs": 20}, {"max_docs": 20, "max_words": 40}):
+        model = fit_languages(df, **how)
+        assert model.langs == ["hot", "rare"] and len(model.words) <= how.get("max_words", 1000)
+        assert Predictor(model).predict("vwxyz qrstu")[0] == "rare" and Predictor(model).predict(rows[0][1])[0] == "hot"
+    assert parts({"a": 1, "b": 50, "c": 7}, 20) == {"a": 1, "b": 12, "c": 7} and parts({"a": 3}, 20) == {"a": 3}
+
+
 def test_unseen_words_fall_back_to_the_longest_known_grams():
     model = LanguageModel.fit([("a", "abcde", 5), ("b", "xyz", 5)])
     assert model.score("abcd").argmax() == 0 and model.score("xyzz").argmax() == 1
