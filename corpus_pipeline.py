@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from granary.llm.bpe import encode_documents
 from granary.llm.common import held_out, shared_folder
 from granary.llm.exact_dedup import keep_first_copies
-from granary.llm.language_id import UNKNOWN, fit_languages, with_language
+from granary.llm.language_id import UNKNOWN, fit_languages, with_language, with_letters
 from granary.llm.mixing import mix
 from granary.llm.order_minhash import keep_one_of_each
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; those without a letter go."""
+    """Documents whose text has a language; those without a letter go, and only those where no language is known."""
     model = fit_languages(docs.filter(~held_out(F.col("doc_id"))))
+    if not model.langs:
+        return with_letters(docs)
     return with_language(docs, model).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

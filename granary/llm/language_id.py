@@ -174,3 +174,13 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
     got: Column = predict(F.col(text_col).cast("string"))
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return docs.select(*kept, got.alias("_language_")).select(*kept, F.col("_language_.lang").alias("lang_pred"), F.col("_language_.score").alias("score"))
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter, which are those to which a model of any language gives one."""
+
+    @F.pandas_udf("boolean")
+    def lettered(texts: pd.Series) -> pd.Series:
+        return pd.Series([any(c.isalpha() for words in words_of(t or "") for w in words for c in w) for t in texts], dtype=bool)
+
+    return docs.filter(lettered(F.col(text_col).cast("string")))

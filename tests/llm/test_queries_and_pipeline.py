@@ -41,3 +41,10 @@ def test_pipeline_stages_keep_columns_and_effects(spark, tmp_path):
             assert docs.select("text").distinct().count() == docs.count()
     assert seen["language_id"] == 200 and seen["exact_dedup"] >= seen["near_dedup"] and seen["mixing"] == seen["bpe"]
     assert docs.filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_documents_stay_where_no_language_is_known(spark):
+    rows = [(k, t, None, "s", 1) for k, t in enumerate(["a text", "12 ... _ ²", None, "", "日本語", "3 x"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_language(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5] and kept.columns == docs.columns
