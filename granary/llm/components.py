@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut
+from granary.llm.common import join_groups, settled
+
+
+ROWS = 100_000
 
 
 def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -13,10 +16,10 @@ def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Large and small stars by turns: every node ties its larger neighbours to the least node that it sees, then ties
     its smaller ones to it, until nothing changes; the number of rounds grows with the logarithm of the longest path.
-    Only minima are taken for each node, never lists, so a node with many links is no burden to one task.
+    Only minima are taken for each node, never lists, and the links of a node with many are dealt to all tasks.
     Null ends and loops do not count.
     """
-    edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges, n = settled(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), ROWS)
     seen = None
     for _ in range(most_rounds):
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -24,11 +27,15 @@ def connected(links: DataFrame, most_rounds: int = 50) -> DataFrame:
             break
         seen = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        large, n = settled(_tied(both, 2 * n, F.least("u", F.min("v")), F.col("v") > F.col("u")), ROWS, n)
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        edges, n = settled(_tied(large, n, F.min("v")).filter("u <> v").unionByName(least).distinct(), ROWS, 2 * n)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+
+
+def _tied(edges: DataFrame, total: int, least: Column, which: Column | None = None) -> DataFrame:
+    """(v, the least of u's links) for the links (u, v) that `which` picks, or all."""
+    stars = edges.groupBy("u").agg(least.alias("m"), F.count(F.lit(1)).alias("n"))
+    return join_groups(edges if which is None else edges.filter(which), stars, "u", F.col("n"), total).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.components import connected
-from granary.llm.common import cut, free_name
+from granary.llm.common import free_name, join_groups, likely_in, settled
 
 WORD = re.compile(r"\w+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,13 +67,6 @@ class Shingler:
         return _mixed(value + nth * MIX)
 
 
-def halves(labelled: np.ndarray) -> np.ndarray:
-    """The upper 32 bits of each k-mer; of the few that then agree, the first."""
-    x = (labelled >> np.uint64(32)).astype(np.uint32)
-    _, first = np.unique(x, return_index=True)
-    return x if len(first) == len(x) else x[np.sort(first)]
-
-
 def sketches(labelled: np.ndarray, bands: int, mins: int) -> np.ndarray:
     """Order MinHash: for each band, the `mins` least k-mers under its own hash, in text order, as one number."""
     n = len(labelled)
@@ -179,7 +172,7 @@ def links_among(comps: np.ndarray, rows: list[np.ndarray], side: np.ndarray) ->
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, bands: int = 34, mins: int = 6, block_kmers: int = 2_000_000, block_rows: int = 4000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, bands: int = 34, mins: int = 6, block_kmers: int = 1_500_000, block_rows: int = 4000) -> DataFrame:
     """For every row of docs: _place, _class, id_col, class_id, class_size. Near copies share a class.
 
     Words are runs of letters, digits and _ in lower case. Texts of equal words are copies; texts without words are
@@ -187,7 +180,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words, each labelled by its occurrence in its text, the aligned ones (equal and in the same order in both)
     make up 4/5 or more of all. Fewer than k words make one k-mer. Classes are the components of these links;
     _class is the place of one of their rows, and tells classes apart however ids repeat or lack; class_id is the
-    least id in them (null if all are null), class_size their rows. An empty table gives an empty result.
+    least id in them (null if all are null), class_size their rows. Repeated rows are copies. An empty table gives an
+    empty result. Of a very long text all words count; its k-mers, 8 bytes each, are what a task holds of it.
 
     Candidates: in each of `bands` bands, the `mins` least k-mers under its hash, in text order, are the key of a
     bucket; the 3 least in texts of under 60 k-mers, and both kinds from 48 to 59. A pair of m aligned k-mers and n in
@@ -196,15 +190,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket is capped.
 
     1. Copies shrink to one row by the digest of their words.
-    2. Every text of a bucket is compared with the bucket's least one; links give components. However many near
-       copies a bucket holds, that is one comparison each.
+    2. Every text of a bucket is aligned with the bucket's least one, unless their lengths alone keep them apart; links
+       give components. However many near copies a bucket holds, that is one comparison each.
     3. Buckets left with several components are compared pair by pair across components, in blocks of about
-       block_kmers k-mers and block_rows rows: those outside the bucket's largest component against all. Half of each
-       k-mer's bits do for this; the links found are verified with all of them.
+       block_kmers k-mers and block_rows rows: those outside the bucket's largest component against all. Of buckets
+       with the same texts one is compared.
     4. Components of all links.
 
-    Only k-mers of texts that share a bucket with another text are moved. docs must yield the same rows in the same
-    order when read again.
+    Only texts that share a bucket with another one of fit length are read again, and only their k-mers are moved. Keys
+    that hold more than a thousandth of the rows (a large group of copies, a common passage) are joined without
+    a shuffle. docs must yield the same rows in the same order when read again.
     """
     place = F.monotonically_increasing_id()
     rows = docs.select(place.alias("place"), F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -220,41 +215,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out.append((digest, len(x), bucket_keys(x, bands, mins) if words else np.zeros(0, np.int64)))
             yield pd.DataFrame({"place": b["place"], "id": b["id"], "digest": [o[0] for o in out], "n": [o[1] for o in out], "keys": [o[2] for o in out]})
 
-    marked = cut(rows.mapInPandas(sketch, "place long, id string, digest binary, n int, keys array<long>").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)))
-    first = marked.groupBy("digest").agg(F.min("place").alias("first"))
-    members = cut(marked.join(first, "digest").select("place", "id", "first", F.when(F.col("place") == F.col("first"), F.struct("n", "keys")).alias("own")))
-    texts = members.filter("own IS NOT NULL").select("place", "own.n", "own.keys")
+    marked, n_rows = settled(rows.mapInPandas(sketch, "place long, id string, digest binary, n int, keys array<long>").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)))
+    first = marked.groupBy("digest").agg(F.min("place").alias("place"), F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
+    texts, n_texts = settled(first.join(marked.select("place", "n", "keys"), "place"), at_most=n_rows)
 
     entries = texts.select("place", "n", F.explode("keys").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(F.min("place").alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket", "head")
-    filled = cut(entries.join(heads, "bucket"))
-    star = filled.filter("place <> head").select(F.col("place").alias("a"), F.col("head").alias("b")).distinct()
+    heads, n_heads = settled(entries.groupBy("bucket").agg(F.min(F.struct("place", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"), 100_000)
+    shared = likely_in(entries, heads, n_heads, "bucket")
+    filled, n_filled = settled(join_groups(shared, heads, "bucket", F.col("size"), n_texts * bands), 100_000)
+
+    fit = lambda n, m: F.least(n, m) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR
+    star = filled.filter((F.col("place") != F.col("head.place")) & fit(F.col("n"), F.col("head.n")))
+    star, n_star = settled(star.select(F.col("place").alias("a"), F.col("head.place").alias("b")).distinct(), 100_000, n_filled)
 
     def kmers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)
         for b in batches:
-            found = [shingler.labelled(shingler.words(t)) for t in b["text"]]
-            yield pd.DataFrame({"place": b["place"], "kmers": [x.tobytes() for x in found], "halves": [halves(x).tobytes() for x in found]})
+            yield pd.DataFrame({"place": b["place"], "kmers": [shingler.labelled(shingler.words(t)).tobytes() for t in b["text"]]})
 
-    involved = filled.select("place").distinct()
-    content = cut(rows.select("place", "text").join(involved, "place", "left_semi").mapInPandas(kmers, "place long, kmers binary, halves binary"))
-    of = lambda name: content.select(F.col("place").alias(name), F.col("kmers").alias(f"kmers_{name}"))
+    involved, n_involved = settled(filled.select("place").distinct(), 100_000, n_filled)
+    found = likely_in(rows.select("place", "text"), involved, n_involved, "place").join(involved, "place", "left_semi")
+    content, _ = settled(found.mapInPandas(kmers, "place long, kmers binary"), 2000)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fit = [alignment(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) > 0 for x, y in zip(b["kmers_a"], b["kmers_b"], strict=True)]
-            yield b.loc[fit, ["a", "b"]]
-
-    verified = lambda pairs: cut(pairs.join(of("a"), "a").join(of("b"), "b").mapInPandas(verify, "a long, b long"))
-    links = verified(star)
+            same = [alignment(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) > 0 for x, y in zip(b["kmers_a"], b["kmers_b"], strict=True)]
+            yield b.loc[same, ["a", "b"]]
+
+    # a head with many texts stands once for each thousand of them, and each copy takes its own share
+    crowds, _ = settled(star.groupBy("b").agg(F.count(F.lit(1)).alias("texts")), 100_000, n_star)
+    share = F.pmod(F.xxhash64("a"), F.ceil(F.col("texts") / 1000)).alias("share")
+    asked = join_groups(star, crowds, "b", F.col("texts"), n_star).select("a", "b", share)
+    ours = crowds.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("texts") / 1000) - 1)).alias("share"))
+    of = lambda name: content.select(F.col("place").alias(name), F.col("kmers").alias(f"kmers_{name}"))
+    links, n_links = settled(asked.join(of("a"), "a").join(ours.join(of("b"), "b"), ["b", "share"]).mapInPandas(verify, "a long, b long"), 100_000)
 
-    roots = connected(links)
-    labelled = filled.join(roots, filled["place"] == roots["node"], "left").select("place", "n", "bucket", F.coalesce("root", "place").alias("comp"))
-    parts = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("kmers"))
-    by_bucket = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.sum("kmers").alias("kmers"), F.max("rows").alias("main_rows"), F.max_by("kmers", F.struct("rows", "comp")).alias("main_kmers")).filter("parts > 1")
+    roots, _ = settled(connected(links), 100_000, 2 * n_links)
+    labelled, _ = settled(filled.select("place", "n", "bucket").join(roots, F.col("place") == F.col("node"), "left").select("place", "n", "bucket", F.coalesce("root", "place").alias("comp")), 100_000, n_filled)
+    parts = labelled.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("kmers"), F.bit_xor(F.xxhash64("place")).alias("x"), F.sum(F.xxhash64("place", F.lit(3)).cast("decimal(38,0)")).alias("y"))
+    by_bucket = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.sum("kmers").alias("kmers"), F.max("rows").alias("main_rows"), F.max_by("kmers", F.struct("rows", "comp")).alias("main_kmers"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).filter("parts > 1")
+    once = by_bucket.groupBy("rows", "kmers", "x", "y").agg(F.min(F.struct("bucket", "main", "main_rows", "main_kmers")).alias("own")).select("own.*", "rows", "kmers")
     blocks = lambda n, m: F.greatest(F.ceil(n / block_rows), F.ceil(m / block_kmers), F.lit(1)).cast("int")
     alone = (F.col("rows") <= block_rows) & (F.col("kmers") <= block_kmers)
-    by_bucket = by_bucket.select("bucket", "main", F.when(alone, 0).otherwise(blocks(F.col("main_rows"), F.col("main_kmers"))).alias("mains"), F.when(alone, 1).otherwise(blocks(F.col("rows") - F.col("main_rows"), F.col("kmers") - F.col("main_kmers"))).alias("others"))
+    once, _ = settled(once.select("bucket", "main", "rows", F.when(alone, 0).otherwise(blocks(F.col("main_rows"), F.col("main_kmers"))).alias("mains"), F.when(alone, 1).otherwise(blocks(F.col("rows") - F.col("main_rows"), F.col("kmers") - F.col("main_kmers"))).alias("others")), 100_000, n_heads)
     own = lambda n: F.pmod(F.xxhash64("place", F.lit(7)), n).cast("int")
     pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     mine = own(F.col("others"))
@@ -263,19 +266,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from_main = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: pair(o, F.col("others") + own(F.greatest("mains", F.lit(1)))))
     is_main = F.col("comp") == F.col("main")
     tasks = F.when(F.col("mains") == 0, F.array(pair(F.lit(0), F.lit(0)))).when(is_main, from_main).otherwise(F.array_distinct(F.concat(with_others, with_mains)))
-    dealt = labelled.join(by_bucket, "bucket").select("bucket", "place", "comp", is_main.cast("int").alias("side"), F.explode(tasks).alias("task")).join(content.select("place", "halves"), "place")
+    dealt = join_groups(labelled, once, "bucket", F.col("rows"), n_filled).select("bucket", "place", "comp", is_main.cast("int").alias("side"), F.explode(tasks).alias("task")).join(content, "place")
 
     def across(b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values("place", ignore_index=True)
-        found = links_among(b["comp"].to_numpy(), [np.frombuffer(x, np.uint32) for x in b["halves"]], b["side"].to_numpy())
+        found = links_among(b["comp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in b["kmers"]], b["side"].to_numpy())
         at = b["place"].to_numpy()
         return pd.DataFrame([(at[i], at[j]) for i, j in found], columns=["a", "b"])
 
-    more = dealt.groupBy("bucket", "task").applyInPandas(across, "a long, b long")
-    roots = connected(links.unionByName(verified(more.distinct())))
-    known = members.join(roots, members["first"] == roots["node"], "left").select("place", "id", F.coalesce("root", "first").alias("root"))
-    classes = known.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return known.join(classes, "root").select(F.col("place").alias("_place"), F.col("root").alias("_class"), F.col("id").alias(id_col), "class_id", "class_size")
+    more, n_more = settled(dealt.groupBy("bucket", "task").applyInPandas(across, "a long, b long"), 100_000)
+    if n_more:
+        roots, _ = settled(connected(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))), 100_000, 2 * (n_links + n_more))
+    joined = texts.select("place", "digest", "id", "copies").join(roots, F.col("place") == F.col("node"), "left")
+    known, _ = settled(joined.select("digest", "id", "copies", F.coalesce("root", "place").alias("root")), at_most=n_texts)
+    classes, _ = settled(known.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts")), at_most=n_texts)
+    by_text, _ = settled(join_groups(known.select("digest", "copies", "root"), classes, "root", F.col("texts"), n_texts).select("digest", "copies", "root", "class_id", "class_size"), at_most=n_texts)
+    return join_groups(marked.select("place", "id", "digest"), by_text, "digest", F.col("copies"), n_rows).select(F.col("place").alias("_place"), F.col("root").alias("_class"), F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
