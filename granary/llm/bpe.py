@@ -11,13 +11,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
 
 from granary.llm.common import free_name, windows
 
 NEVER = np.iinfo(np.int32).max
+#: Bytes that a kept chunk takes besides its letters and ids.
+ENTRY = 200
 #: A vocabulary file beyond this size is refused, as it is sent to every executor.
 MAX_FILE_BYTES = 64 << 20
 
@@ -35,10 +39,10 @@ class BpeCodec:
     Texts of a batch are cut into chunks at white space; chunks not met before are cut into words, and the words not
     met before are encoded together: their symbols lie in one flat array, and each round merges the lowest-ranked
     pair of every word that has one, found by binary search over the sorted keys of pairs. What has been met is
-    kept up to `most` chunks, then forgotten, which bounds memory.
+    kept up to about `most` bytes, then forgotten, which bounds memory.
     """
 
-    def __init__(self, file_text: str, most: int = 200_000):
+    def __init__(self, file_text: str, most: int = 48 << 20):
         spec = json.loads(file_text)
         model = spec["model"]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or spec["decoder"]:
@@ -59,7 +63,7 @@ class BpeCodec:
         self.keys, self.rank_of = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, NEVER).astype(np.int32)
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.most, self.known = most, {}
+        self.most, self.known, self.held = most, {}, 0
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 20 | right
@@ -120,7 +124,8 @@ class BpeCodec:
         ids, bounds = self.encode_words(list(words)) if words else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
         raw, b = ids.tobytes(), (bounds * 4).tolist()
         for c, p in zip(chunks, parts, strict=True):
-            self.known[c] = b"".join([raw[b[i] : b[i + 1]] for i in map(words.__getitem__, p)])
+            self.known[c] = x = b"".join([raw[b[i] : b[i + 1]] for i in map(words.__getitem__, p)])
+            self.held += ENTRY + len(c) + len(x)
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -155,8 +160,8 @@ class BpeCodec:
     def _encode_segments(self, held: list[tuple[int, list[str] | int]], out: list[list[bytes]]) -> None:
         met = set().union(*(s for _, s in held if not isinstance(s, int)))
         new = [c for c in met if c not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list(met)
+        if self.held > self.most:
+            self.known, self.held, new = {}, 0, list(met)
         if new:
             self._learn(new)
         for k, s in held:
@@ -182,42 +187,59 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+def small(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `most` bytes in a column, or of one row that is longer."""
     for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
-def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with ids, the tokens of the whole text as array<int> (a column of that name is replaced).
-
-    Null and empty texts have none. Special tokens' strings in a text become their ids. Nothing is shuffled; each
-    row stands alone. The file at path is read by the driver and sent to the executors; its size is checked.
+        size = pa.compute.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // most
+        at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(at, at[1:]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)
+
+
+def encode_documents(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, packed: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """docs with ids, the tokens of the whole text, and with decoded_col the text that they give back, made in one pass.
+
+    ids are array<int>, or with packed binary: little-endian unsigned 32-bit integers. Columns of these names are
+    replaced; all others, of whatever names, stay, or with keep only those that it names. Null and empty texts have no ids and decode to an empty text.
+    Special tokens' strings in a text become their ids. Nothing is shuffled and each row stands alone, so repeated
+    rows give equal results and an empty table an empty one; a very long text is encoded piece by piece. The file at
+    path is read by the driver and sent to the executors; its size is checked.
     """
     file = docs.sparkSession.sparkContext.broadcast(load(path))
-    kept = [c for c in docs.columns if c.lower() != ids_col.lower()]
-    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(ids_col, ArrayType(IntegerType()))
+    added = [ids_col, *([decoded_col] if decoded_col else [])]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in [x.lower() for x in added]]
+    schema = docs.select(*[f"`{c}`" for c in kept]).schema.add(ids_col, BinaryType() if packed else ArrayType(IntegerType()))
+    schema = schema.add(decoded_col, StringType()) if decoded_col else schema
+    plain = text_col in kept and docs.schema[text_col].dataType == StringType()
+    text = text_col if plain else free_name(docs, "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file.value)
-        for b in small(batches):
-            ids = codec.encode(texts_of(b.column(text_col)))
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), column], names=[*kept, ids_col])
+        for b in small(batches, text):
+            ids = codec.encode(texts_of(b.column(text)))
+            if packed:
+                columns = [pa.array([x.tobytes() for x in ids], pa.binary())]
+            else:
+                bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                columns = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*ids, np.zeros(0, "<u4")]).astype(np.int32)))]
+            if decoded_col:
+                columns.append(pa.array(codec.decode(ids), pa.string()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *columns], names=[*kept, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in kept], *([] if plain else [F.col(text_col).cast("string").alias(text)])).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """encoded with decoded, the tokens of ids with spaces between; null ids count as empty."""
+    """encoded with decoded, the tokens of ids (array<int>) with spaces between; null ids count as empty."""
     file = encoded.sparkSession.sparkContext.broadcast(load(path))
     kept = [c for c in encoded.columns if c.lower() != decoded_col.lower()]
     schema = encoded.select(*[f"`{c}`" for c in kept]).schema.add(decoded_col, StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(file.value)
-        for b in small(batches):
+        for b in batches:
             ids = [np.array(x or [], np.int64) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(codec.decode(ids), pa.string())], names=[*kept, decoded_col])
 

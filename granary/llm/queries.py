@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.anisotropic import nearest
-from granary.llm.bpe import decode_documents, encode_documents
+from granary.llm.bpe import encode_documents
 from granary.llm.common import held_out, read_table
 from granary.llm.exact_dedup import exact_dedup
 from granary.llm.language_id import fit_languages, with_language
@@ -91,18 +89,12 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
-def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("word_bpe_49k.json")
-    encoded = encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = [x.values.to_numpy().astype("<u4").tobytes() for x in b.column("ids")]
-            texts = b.column("decoded").to_pylist()
-            columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts])]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decode_documents(encoded, path).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), decoded_col="decoded", packed=True, keep=["doc_id"])
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
