@@ -62,7 +62,8 @@ def likely_in(rows: DataFrame, members: DataFrame, n: int, key: str, most_bits:
     """The rows whose key is among the n of members, and few others: as many as share a bit with them by chance.
 
     Hashed keys set bits, 16 for each member but most_bits at most; their words of 64 bits, 2 ** 20 rows at most, go to
-    every task. So most rows without a partner are left out before they are shuffled to be joined.
+    every task. So most rows without a partner are left out before they are shuffled to be joined (by an inner join: a
+    left semi join would be moved below this one).
     """
     bits = min(most_bits, 1 << max(10, (16 * n).bit_length()))
     word, bit, mask = (free_name(rows, x) for x in ("_word", "_bit", "_mask"))

@@ -9,10 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut, windows
+from granary.llm.common import free_name, windows
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -30,53 +30,70 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _numbered(items: Iterator[str]) -> tuple[dict[str, int], list[int]]:
+    """A number for each item in order of first sight, and the numbers of all items."""
+    known: dict[str, int] = {}
+    return known, [known.setdefault(x, len(known)) for x in items]
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: of words, and of n-grams of each length."""
+    """Log frequencies by language: rows of `logs` for words and, after them, for n-grams of each length."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    floor: np.ndarray
+    words: dict[str, int]
+    grams: dict[str, int]
+    logs: np.ndarray
 
     @classmethod
     def fit(cls, counts: list[tuple[str, str, int]], alpha: float = 0.5) -> LanguageModel:
         """From rows (lang, word, count)."""
         langs = sorted({lang for lang, _, _ in counts})
         place = {lang: k for k, lang in enumerate(langs)}
-        by_word: dict[str, np.ndarray] = {}
-        by_gram: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for lang, word, n in counts:
-            by_word.setdefault(word, np.zeros(len(langs)))[place[lang]] += n
-            for size in range(1, LONGEST + 1):
-                for g in grams(word, size):
-                    by_gram[size].setdefault(g, np.zeros(len(langs)))[place[lang]] += n
-
-        def logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-            if not table:
-                return {}
-            x = np.array(list(table.values())) + alpha
-            x = np.log(x / x.sum(axis=0)).astype(np.float32)
-            return dict(zip(table, x, strict=True))
-
-        joined: dict[str, np.ndarray] = {}
+        lang = np.array([place[x] for x, _, _ in counts], np.int64)
+        n = np.array([c for _, _, c in counts], np.float64)
+        words, number = _numbered(w for _, w, _ in counts)
+        tables = [cls._logs(np.array(number, np.int64), lang, n, len(words), len(langs), alpha)]
+        joined: dict[str, int] = {}
         for size in range(1, LONGEST + 1):
-            joined |= logs(by_gram[size])
-        return cls(langs, logs(by_word), joined, np.full(len(langs), -20.0, np.float32))
-
-    def score(self, word: str) -> np.ndarray:
-        """Log frequency of a word, or of what n-grams it has: at each place the longest one known."""
+            each = [grams(w, size) for _, w, _ in counts]
+            lengths = [len(x) for x in each]
+            known, number = _numbered(g for x in each for g in x)
+            tables.append(cls._logs(np.array(number, np.int64), np.repeat(lang, lengths), np.repeat(n, lengths), len(known), len(langs), alpha))
+            at = len(words) + sum(len(t) for t in tables[1:-1])
+            joined |= {g: at + k for g, k in known.items()}
+        return cls(langs, words, joined, np.concatenate(tables))
+
+    @staticmethod
+    def _logs(row: np.ndarray, lang: np.ndarray, n: np.ndarray, rows: int, langs: int, alpha: float) -> np.ndarray:
+        x = np.bincount(row * langs + lang, n, rows * langs).reshape(rows, langs) + alpha
+        return np.log(x / x.sum(axis=0)).astype(np.float32) if rows else np.zeros((0, langs), np.float32)
+
+    def parts(self, word: str) -> list[int]:
+        """The row of a word, or the rows of what n-grams it has: at each place that of the longest one known."""
         if (known := self.words.get(word)) is not None:
-            return known
-        marked, total, n, at = f"<{word}>", self.floor * 0, 0, 0
+            return [known]
+        marked, found, at = f"<{word}>", [], 0
         while at < len(marked):
             for size in range(min(LONGEST, len(marked) - at), 0, -1):
                 if (g := self.grams.get(marked[at : at + size])) is not None:
-                    total, n, at = total + g, n + 1, at + size
+                    found.append(g)
+                    at += size
                     break
             else:
                 at += 1
-        return total / max(n, 1)
+        return found
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """For each word its log frequencies, or the mean of those of its n-grams; zeros where it has none."""
+        parts = [self.parts(w) for w in words]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        rows = self.logs[[k for p in parts for k in p]]
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        some = sizes > 0
+        if some.any():
+            out[some] = np.add.reduceat(rows, (np.cumsum(sizes) - sizes)[some], axis=0) / sizes[some][:, None]
+        return out
 
 
 class Predictor:
@@ -87,21 +104,30 @@ class Predictor:
         self.forget()
 
     def forget(self) -> None:
-        self.place, self.rows, self.table = {}, [], np.zeros((0, len(self.model.langs)), np.float32)
+        """A row for each word met: its scores by language, and 1 if it has a letter (other numerals are no evidence)."""
+        self.place, self.table, self.used = {}, np.zeros((4096, len(self.model.langs) + 1), np.float32), 0
+
+    def _meet(self, words: list[str]) -> None:
+        end = self.used + len(words)
+        if end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(end, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
+        self.place |= {w: k for k, w in enumerate(words, self.used)}
+        self.table[self.used : end, :-1] = self.model.scores(words)
+        self.table[self.used : end, -1] = [w.isalpha() or any(map(str.isalpha, w)) for w in words]
+        self.used = end
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        total, n = np.zeros(len(self.model.langs)), 0
+        total = np.zeros(len(self.model.langs) + 1)
         for words in words_of(text or ""):
             new = [w for w in set(words) if w not in self.place]
-            if len(self.place) + len(new) > self.most:
+            if self.used + len(new) > self.most:
                 self.forget()
                 new = list(set(words))
             if new:
-                self.place |= {w: k for k, w in enumerate(new, len(self.place))}
-                self.table = np.concatenate([self.table, np.array([self.model.score(w) for w in new], np.float32)])
+                self._meet(new)
             if words:
                 total += self.table[list(map(self.place.__getitem__, words))].sum(axis=0, dtype=np.float64)
-                n += sum(any(c.isalpha() for c in w) for w in words) if n == 0 else len(words)
+        n, total = total[-1], total[:-1]
         if not n or not self.model.langs:
             return UNKNOWN, 0.0
         x = np.exp((total - total.max()) / np.sqrt(n))
@@ -109,14 +135,14 @@ class Predictor:
         return self.model.langs[best], float(x[best] / x.sum())
 
 
-def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 20_000, max_words: int = 100_000) -> LanguageModel:
+def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 10_000) -> LanguageModel:
     """Model from the labelled rows: null languages do not count.
 
     Its languages are those of all labelled rows with a word. max_docs bounds the sample, in equal parts by language; what
     languages of few rows leave of theirs goes to the others. Of a language with more rows than its part, those stay
-    whose hashed id lies below the share that gives the part on average. Likewise max_words: the most frequent words of
-    each language in these rows, of all their text, as many as its part, are the model's words, and give its n-grams;
-    they, and a count for each language, are all that comes to the driver.
+    whose hashed id lies below the share that gives the part on average. All words of these rows, of all their text,
+    are the model's, and give its n-grams; their counts, and one for each language, come to the driver. Repeated rows
+    count as often as they occur; an empty table gives a model that knows no language.
     """
     rows = rows.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     held = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -138,12 +164,8 @@ def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang
                     found.clear()
         yield pd.DataFrame([(*k, v) for k, v in found.items()], columns=["lang", "word", "n"])
 
-    counts = cut(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    words = parts({r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}, max_words)
-    if not words:
-        return LanguageModel.fit([])
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= of(words))
-    return LanguageModel.fit([(r.lang, r.word, r.n) for r in ranked.orderBy(F.desc("n"), "lang", "word").collect()])
+    counts = sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    return LanguageModel.fit(sorted(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True)))
 
 
 def parts(held: dict[str, int], most: int) -> dict[str, int]:
@@ -160,7 +182,8 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
 
     lang_pred: the language whose words make the whole text likeliest (ties: the first by name); `und` with score 0
     where text is null or has no letter, or where the model has no language. score: its share of the likelihoods,
-    each tempered by the root of the number of words. The model, whose size is bounded, is sent to the executors;
+    each tempered by the root of the number of words. Repeated rows get equal answers, an empty table gives an empty
+    result, and very long texts are read piece by piece. The model, whose size is bounded, is sent to the executors;
     nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -173,7 +196,8 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text")
 
     got: Column = predict(F.col(text_col).cast("string"))
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("lang_pred", "score")]
-    return docs.select(*kept, got.alias("_language_")).select(*kept, F.col("_language_.lang").alias("lang_pred"), F.col("_language_.score").alias("score"))
+    found = free_name(docs, "_language_")
+    return docs.select(*kept, got.alias(found)).select(*kept, F.col(f"{found}.lang").alias("lang_pred"), F.col(f"{found}.score").alias("score"))
 
 
 def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:

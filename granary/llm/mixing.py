@@ -38,10 +38,11 @@ def apportion(weights: Column, caps: Column, seats: Column, steps: int = 128) ->
         return let(F.transform(parties, lambda p: F.struct(p["w"].alias("w"), p["c"].alias("c"), above(value, p).alias("a"))), from_base)
 
     def from_base(held: Column) -> Column:
-        left = seats - F.aggregate(held, F.lit(0.0), lambda n, p: n + p["a"])
-        tied = F.filter(F.transform(held, lambda p, i: F.struct((-p["w"] / (2 * p["a"] + 1)).alias("q"), i.alias("i"), (p["a"] < p["c"]).alias("free"))), lambda t: t["free"] & (t["q"] < 0))
-        more = F.transform(F.slice(F.array_sort(tied), 1, F.greatest(left, F.lit(0.0)).cast("int")), lambda t: t["i"])
-        return let(more, lambda m: F.transform(held, lambda p, i: (p["a"] + F.array_contains(m, i).cast("double")).cast("long")))
+        left = (seats - F.aggregate(held, F.lit(0.0), lambda n, p: n + p["a"])).cast("int")
+        tied = F.filter(F.transform(held, lambda p, i: F.struct(F.when((p["a"] < p["c"]) & (p["w"] > 0), -p["w"] / (2 * p["a"] + 1)).alias("q"), i.alias("i"))), lambda t: t["q"].isNotNull())
+        last = let(F.array_sort(tied), lambda t: F.when(left > 0, F.get(t, F.least(left, F.size(t)) - 1)))
+        more = lambda p, i, x: (x.isNotNull() & (p["a"] < p["c"]) & (p["w"] > 0) & (F.struct((-p["w"] / (2 * p["a"] + 1)).alias("q"), i.alias("i")) <= x)).cast("double")
+        return let(last, lambda x: F.transform(held, lambda p, i: (p["a"] + F.coalesce(more(p, i, x), F.lit(0.0))).cast("long")))
 
     top = F.aggregate(weights, F.lit(1.0), lambda n, w: n + w) * 2
     bisected = lambda parties: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0.0).alias("lo"), top.alias("hi")), lambda s, _: halve(parties, s))["hi"]
@@ -81,7 +82,8 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     source's shards by size, each block `most` times at most. A shard takes a run of its blocks, as many as its
     quota, around the end from a seeded start, so that only documents at the ends of the run are cut; taken counts
     the words of a document in taken blocks, with repeats. Sources without words have target 0. Rows of one id
-    and text share out what they take in either order. An empty table gives an empty result.
+    and text share out what they take in either order. A very long text counts with all its words and may make up
+    a shard of its own. An empty table gives an empty result.
 
     The text is read once; all later steps use a narrow table in the checkpoint folder. No task holds more than a
     shard, however large a source is; quotas are one row for each source. docs must yield the same rows in the same
@@ -102,12 +104,13 @@ def mix_plan(docs: DataFrame, text_col: str = "text", source_col: str = "source"
     per_shard = max(shard_words, total // max_shards)
 
     blocks = lambda words: F.ceil(words / block_words).cast("long")
-    everyone = Window.partitionBy()
-    listed = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("place", x.alias("x"))).over(everyone)), lambda s: s["x"])
-    quota = apportion(listed(F.col("target")), listed(most * blocks(F.col("source_size"))), F.round(F.sum("target").over(everyone) / block_words))
+    targets = cut(source_targets(sizes, list(weights), budget, most))
+    everyone = targets.agg(F.array_sort(F.collect_list(F.struct("place", "target", "source_size"))).alias("each"), F.round(F.sum("target") / block_words).alias("seats"))
+    quota = apportion(F.col("each.target"), F.transform("each.source_size", lambda n: most * blocks(n)), F.col("seats"))
+    quotas = everyone.select(F.posexplode(quota).alias("_at", "_blocks"))
     sources = cut(
-        source_targets(sizes, list(weights), budget, most).select(
-            F.col("source").alias("_source"), "place", "source_size", "target", F.get(quota, F.col("place")).alias("_blocks"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard)).cast("int").alias("_shards")
+        targets.join(quotas, F.col("place") == F.col("_at")).select(
+            F.col("source").alias("_source"), "place", "source_size", "target", "_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_shard)).cast("int").alias("_shards")
         )
     )
     sent = F.broadcast(sources) if n_sources <= MAX_BROADCAST_SOURCES else sources

@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"place": b["place"], "kmers": [shingler.labelled(shingler.words(t)).tobytes() for t in b["text"]]})
 
     involved, n_involved = settled(filled.select("place").distinct(), 100_000, n_filled)
-    found = likely_in(rows.select("place", "text"), involved, n_involved, "place").join(involved, "place", "left_semi")
+    found = likely_in(rows.select("place", "text"), involved, n_involved, "place").join(involved, "place")
     content, _ = settled(found.mapInPandas(kmers, "place long, kmers binary"), 2000)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,11 +12,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import cut
+from granary.llm.common import cut, free_name
 from granary.llm.language_id import words_of
 
-#: Names of the parameters, in the order in which they are sent.
-PARTS = ("embed", "mix", "mix_bias", "group", "group_bias", "word", "word_bias")
+#: Names of the parameters, in the order in which they are sent; the tables of the neighbours come first.
+PARTS = ("context", "bias", "group", "group_bias", "word", "word_bias")
 
 
 @dataclass
@@ -54,84 +54,120 @@ class Numbers(dict):
         return crc32(word.encode("utf-8", "surrogatepass")) % self.bins
 
     def tokens(self, text: str | None) -> np.ndarray:
-        parts = [np.fromiter(map(self.__getitem__, words), np.int32, len(words)) for words in words_of(text or "")]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        parts = [np.fromiter(map(self.__getitem__, words), "<u2", len(words)) for words in words_of(text or "")]
+        return np.concatenate(parts) if parts else np.zeros(0, "<u2")
 
 
 class WindowNetwork:
     """log P(token | `side` tokens on each side): the group of the token, then the token within its group.
 
-    A hidden layer mixes the neighbours' embeddings by position. Groups hold tokens of like frequency; the biases
-    start at the corpus frequencies, so that an untrained network is the unigram model.
+    The hidden layer is the tanh of a sum of vectors, one for each neighbour, from a table for each of their places.
+    Groups hold tokens of like frequency; the biases start at the corpus frequencies, so that an untrained
+    network is the unigram model.
     """
 
-    def __init__(self, vocabulary: Vocabulary, side: int = 2, dims: int = 24, hidden: int = 32, seed: int = 41):
+    def __init__(self, vocabulary: Vocabulary, side: int = 2, hidden: int = 32, seed: int = 41):
         rng = np.random.default_rng(seed)
         v, self.side, self.groups, self.per_group = vocabulary.padding, side, vocabulary.groups, vocabulary.per_group
         p = ((vocabulary.counts + 0.5) / (vocabulary.counts + 0.5).sum()).reshape(self.groups, self.per_group)
         self.offsets = np.array([*range(-side, 0), *range(1, side + 1)])
         self.p = {
-            "embed": rng.normal(0, 0.1, (v + 1, dims)), "mix": rng.normal(0, (2 * side * dims) ** -0.5, (2 * side * dims, hidden)), "mix_bias": np.zeros(hidden),
+            "context": rng.normal(0, 0.1, (2 * side, v + 1, hidden)), "bias": np.zeros(hidden),
             "group": np.zeros((hidden, self.groups)), "group_bias": np.log(p.sum(axis=1)), "word": np.zeros((self.groups, hidden, self.per_group)), "word_bias": np.log(p / p.sum(axis=1, keepdims=True)),
         }
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
 
-    def _hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = self.p["embed"][context].reshape(len(context), -1)
-        return x, np.tanh(x @ self.p["mix"] + self.p["mix_bias"])
+    def _hidden(self, context: np.ndarray) -> np.ndarray:
+        h = self.p["context"][0][context[:, 0]]
+        for k in range(1, len(self.offsets)):
+            h += self.p["context"][k][context[:, k]]
+        h += self.p["bias"]
+        return np.tanh(h, out=h)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        """Probabilities of the rows, in place of z."""
-        top = z.max(axis=1, keepdims=True)
-        z -= top
+    def _bounded(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether no logit can come near overflow: hidden units lie within 1, so the weights' sums bound them."""
+        return (np.abs(w).sum(axis=-2) + np.abs(b)).max(axis=-1) < 60
+
+    @staticmethod
+    def _exp(z: np.ndarray, bounded: bool) -> np.ndarray:
+        """Sums of the exponentials of the rows, which take the place of z."""
+        if not bounded:
+            z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+        return z.sum(axis=1)
 
-    def scorer(self) -> Scorer:
-        return Scorer(self)
+    def _bounds(self, target: np.ndarray) -> list[int]:
+        """Where each group begins among rising targets, and the end."""
+        return np.searchsorted(target, np.arange(self.groups + 1) * self.per_group).tolist()
 
     def log_likelihood(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        return self.scorer().log_likelihood(context, target)
+        """The log-probability of each target; context has a row of neighbours for each."""
+        order = np.argsort(target, kind="stable")
+        target = target[order]
+        h, (group, within) = self._hidden(context[order]), np.divmod(target, self.per_group)
+        z = h @ self.p["group"] + self.p["group_bias"]
+        top = z.max(axis=1)
+        own = z[np.arange(len(z)), group] - top
+        own -= np.log(self._exp(z, False))
+        bounds, bounded = self._bounds(target), self._bounded(self.p["word"], self.p["word_bias"])
+        for g in range(self.groups):
+            lo, hi = bounds[g], bounds[g + 1]
+            if lo < hi:
+                z = h[lo:hi] @ self.p["word"][g]
+                z += self.p["word_bias"][g]
+                if not bounded[g]:
+                    z -= z.max(axis=1, keepdims=True)
+                own[lo:hi] += z[np.arange(hi - lo), within[lo:hi]]
+                own[lo:hi] -= np.log(self._exp(z, True))
+        out = np.empty(len(own))
+        out[order] = own
+        return out
 
     def step(self, context: np.ndarray, target: np.ndarray, speed: float, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step on a batch; seen holds the sums of squares."""
-        x, h = self._hidden(context)
-        n = len(target)
-        group, within = np.divmod(target, self.per_group)
-        z = self._softmax(h @ self.p["group"] + self.p["group_bias"])
-        z[np.arange(n), group] -= 1
+        order, n = np.argsort(target, kind="stable"), len(target)
+        context, target = context[order], target[order]
+        h, (group, within) = self._hidden(context), np.divmod(target, self.per_group)
+        at = np.arange(n)
+        z = h @ self.p["group"] + self.p["group_bias"]
+        z /= self._exp(z, bool(self._bounded(self.p["group"], self.p["group_bias"])))[:, None]
+        z[at, group] -= 1
         back = z @ self.p["group"].T
-        self._update("group", h.T @ z / n, speed, seen)
-        self._update("group_bias", z.mean(axis=0), speed, seen)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.groups + 1))
+        slopes = {k: np.zeros_like(self.p[k]) for k in ("word", "word_bias")}
+        slopes |= {"group": h.T @ z, "group_bias": z.sum(axis=0)}
+        bounds, bounded = self._bounds(target), self._bounded(self.p["word"], self.p["word_bias"])
         for g in range(self.groups):
-            at = order[bounds[g] : bounds[g + 1]]
-            if len(at):
-                z = self._softmax(h[at] @ self.p["word"][g] + self.p["word_bias"][g])
-                z[np.arange(len(at)), within[at]] -= 1
-                back[at] += z @ self.p["word"][g].T
-                self._update("word", h[at].T @ z / n, speed, seen, g)
-                self._update("word_bias", z.sum(axis=0) / n, speed, seen, g)
+            lo, hi = bounds[g], bounds[g + 1]
+            if lo < hi:
+                w = self.p["word"][g]
+                z = h[lo:hi] @ w
+                z += self.p["word_bias"][g]
+                z /= self._exp(z, bool(bounded[g]))[:, None]
+                z[at[: hi - lo], within[lo:hi]] -= 1
+                back[lo:hi] += z @ w.T
+                np.matmul(h[lo:hi].T, z, out=slopes["word"][g])
+                slopes["word_bias"][g] = z.sum(axis=0)
         back *= 1 - h * h
-        into = (back @ self.p["mix"].T).reshape(-1, self.p["embed"].shape[1]) / n
-        self._update("mix", x.T @ back / n, speed, seen)
-        self._update("mix_bias", back.mean(axis=0), speed, seen)
-        flat = context.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        rows, starts = np.unique(flat[order], return_index=True)
-        self._update("embed", np.add.reduceat(into[order], starts, axis=0), speed, seen, rows)
-
-    def _update(self, name: str, gradient: np.ndarray, speed: float, seen: dict[str, np.ndarray], at=slice(None)) -> None:
-        seen[name][at] += gradient**2
-        self.p[name][at] -= speed * gradient / (np.sqrt(seen[name][at]) + 1e-5)
-
-    def contexts(self, tokens: np.ndarray, at: np.ndarray, padding: int) -> np.ndarray:
-        """Neighbours of the places at; those beyond the ends are padding."""
-        padded = np.concatenate([np.full(self.side, padding), tokens, np.full(self.side, padding)]).astype(np.int32)
-        return padded[at[:, None] + self.side + self.offsets]
+        slopes["bias"] = back.sum(axis=0)
+        for k, slope in slopes.items():
+            slope /= n
+            self._update(self.p[k], seen[k], slice(None), slope, speed)
+        back /= n
+        for k in range(len(self.offsets)):
+            order = np.argsort(context[:, k], kind="stable")
+            rows = context[order, k]
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            self._update(self.p["context"][k], seen["context"][k], rows[starts], np.add.reduceat(back[order], starts, axis=0), speed)
+
+    @staticmethod
+    def _update(p: np.ndarray, seen: np.ndarray, at, slope: np.ndarray, speed: float) -> None:
+        seen[at] += slope * slope
+        p[at] -= speed * slope / (np.sqrt(seen[at]) + 1e-5)
+
+    def contexts(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Neighbours of the places at of a row of texts with padding around each."""
+        return row[at[:, None] + self.offsets]
 
     def pack(self) -> bytes:
         return b"".join(self.p[k].tobytes() for k in PARTS)
@@ -144,55 +180,6 @@ class WindowNetwork:
             at += size
 
 
-class Scorer:
-    """A network made ready to score: embeddings already mixed for each position, and bounds on the logits.
-
-    Hidden units lie within 1, so a logit lies within its bias plus the absolute sum of its weights; where these
-    bounds are far from overflow, sums of exponentials need no maximum taken off.
-    """
-
-    def __init__(self, network: WindowNetwork):
-        p, width = network.p, network.p["embed"].shape[1]
-        self.groups, self.per_group = network.groups, network.per_group
-        self.by_place = [p["embed"] @ p["mix"][k * width : (k + 1) * width] for k in range(len(network.offsets))]
-        self.bias = p["mix_bias"]
-        self.group = self._layer(p["group"], p["group_bias"])
-        self.word = [self._layer(p["word"][g], p["word_bias"][g]) for g in range(self.groups)]
-
-    @staticmethod
-    def _layer(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
-        return w, b, bool((np.abs(w).sum(axis=0) + np.abs(b)).max() < 60)
-
-    @staticmethod
-    def _log_p(h: np.ndarray, layer: tuple[np.ndarray, np.ndarray, bool], target: np.ndarray) -> np.ndarray:
-        w, b, bounded = layer
-        z = h @ w
-        z += b
-        own = z[np.arange(len(z)), target]
-        if bounded:
-            np.exp(z, out=z)
-            return own - np.log(z.sum(axis=1))
-        top = z.max(axis=1)
-        return own - top - np.log(np.exp(z - top[:, None]).sum(axis=1))
-
-    def log_likelihood(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        h = self.by_place[0][context[:, 0]]
-        for k in range(1, len(self.by_place)):
-            h += self.by_place[k][context[:, k]]
-        h += self.bias
-        np.tanh(h, out=h)
-        group, within = np.divmod(target, self.per_group)
-        out = self._log_p(h, self.group, group)
-        order = np.argsort(group.astype(np.uint8) if self.groups <= 256 else group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.groups + 1))
-        h, within = h[order], within[order]
-        for g in range(self.groups):
-            lo, hi = bounds[g], bounds[g + 1]
-            if lo < hi:
-                out[order[lo:hi]] += self._log_p(h[lo:hi], self.word[g], within[lo:hi])
-        return out
-
-
 def count_words(docs: DataFrame, text_col: str = "text", groups: int = 64, per_group: int = 96, bins: int = 256) -> Vocabulary:
     """Vocabulary of groups times per_group tokens from the counts of all words of all documents.
 
@@ -223,19 +210,60 @@ def count_words(docs: DataFrame, text_col: str = "text", groups: int = 64, per_g
     return vocabulary
 
 
-def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", rounds: int = 2, rate: float = 1.0, batch: int = 2048, speed: float = 0.05, fan_in: int = 64, block: int = 64) -> WindowNetwork:
-    """Network trained on all tokens of all documents in each round, or on the share `rate` of them.
+def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
+    """docs with the tokens of the whole text in place of it: little-endian unsigned 16-bit integers as binary."""
+    if vocabulary.padding >= 1 << 16:
+        raise ValueError("the vocabulary has more tokens than 16 bits can number")
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        numbers = sent.value.numbers()
+        for texts in batches:
+            yield pd.Series([numbers.tokens(t).tobytes() for t in texts], dtype=object)
+
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in (text_col.lower(), tokens_col.lower())]
+    return docs.select(*kept, encode(F.col(text_col).cast("string")).alias(tokens_col))
+
+
+def _laid_out(texts: list[bytes], vocabulary: Vocabulary, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one row with padding around each, the places of their tokens, and each text's number of tokens."""
+    gap = np.full(side, vocabulary.padding, "<u2")
+    found = [np.frombuffer(t, "<u2") for t in texts]
+    row = np.concatenate([gap, *(x for t in found for x in (t, gap))])
+    return row, np.flatnonzero(row != vocabulary.padding), np.fromiter(map(len, found), np.int64, len(found))
+
 
-    Below rate 1 every document is seen as blocks of `block` tokens, from its first to its last, and each block is
-    drawn with probability `rate`; what lies around a block is its context all the same.
-    In each round every input partition trains a copy of the network on its own documents; the copies, weighted
-    by their tokens, are averaged in groups of up to about fan_in on executors, and the few averages on the driver.
+def _averaged(copies: Iterator[tuple[int, bytes, bytes]], rows: int, width: int, head: int, places: int) -> tuple[int, bytes, bytes]:
+    """One network of several (tokens, count of each token, parameters), weighted by tokens; a neighbour's vector is
+    weighted by how often each copy met that token."""
+    total, weight, n = np.zeros(width), np.zeros(rows), 0
+    for m, counts, flat in copies:
+        own, x = np.frombuffer(counts, np.float32) + 1e-3, np.frombuffer(flat, np.float32)
+        total[:head] += (x[:head].reshape(-1, rows, head // rows // places) * own[None, :, None]).reshape(-1)
+        total[head:] += m * x[head:].astype(np.float64)
+        weight += own
+        n += m
+    total[:head] = (total[:head].reshape(-1, rows, head // rows // places) / weight[None, :, None]).reshape(-1)
+    total[head:] /= max(n, 1)
+    return n, weight.astype(np.float32).tobytes(), total.astype(np.float32).tobytes()
+
+
+def fit_network(tokens: DataFrame, vocabulary: Vocabulary, tokens_col: str = "tokens", rounds: int = 1, batch: int = 4096, speed: float = 0.1, per_copy: int = 1_000_000, fan_in: int = 8) -> WindowNetwork:
+    """Network trained on every token of every text (tokens as with_tokens makes them) in each round.
+
+    In each round every partition trains a copy of the network on its own texts; partitions are joined, without
+    a shuffle, while they hold less than per_copy tokens on average. Copies are averaged on executors fan_in by
+    fan_in, and again, until fan_in of them at most come to the driver.
     """
     network = WindowNetwork(vocabulary)
-    text = docs.select(F.col(text_col).cast("string").alias("text"))
-    width = sum(network.p[k].size for k in PARTS)
+    rows, head, width = vocabulary.padding + 1, network.p["context"].size, sum(network.p[k].size for k in PARTS)
+    places = len(network.offsets)
+    copies = min(tokens.rdd.getNumPartitions(), max(1, int(vocabulary.counts.sum()) // per_copy))
+    tokens = tokens.select(F.col(tokens_col).alias("tokens")).coalesce(copies)
+    schema = "part int, n long, counts binary, network binary"
     for k in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((network, vocabulary, k))
+        sent = tokens.sparkSession.sparkContext.broadcast((network, vocabulary, k))
 
         def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start, words, turn = sent.value
@@ -243,88 +271,92 @@ def fit_network(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text",
             own.p = {name: x.copy() for name, x in start.p.items()}
             seen = {name: np.zeros_like(x) for name, x in own.p.items()}
             rng = np.random.default_rng(turn)
-            numbers, held, n, used = words.numbers(), [], 0, 0
+            counts, held, size, used = np.zeros(words.padding + 1, np.float32), [], 0, 0
             for b in batches:
-                for text in b["text"]:
-                    tokens = numbers.tokens(text)
-                    at = _drawn(len(tokens), rng, rate, block)
-                    if len(at):
-                        held.append((own.contexts(tokens, at, words.padding), tokens[at]))
-                        n += len(at)
-                    if n >= 8 * batch:
-                        used += _train_on(own, held, batch, speed, seen, rng)
-                        held, n = [], 0
-            used += _train_on(own, held, batch, speed, seen, rng)
+                for text in b["tokens"]:
+                    held.append(text)
+                    size += len(text) // 2
+                    if size >= 16 * batch:
+                        used += _train_on(own, held, words, batch, speed, seen, rng, counts)
+                        held, size = [], 0
+            used += _train_on(own, held, words, batch, speed, seen, rng, counts)
             if used:
-                yield pd.DataFrame({"n": [used], "network": [own.pack()]})
-
-        copies = text.mapInPandas(train, "n long, network binary").withColumn("part", F.spark_partition_id())
+                yield pd.DataFrame({"part": [0], "n": [used], "counts": [counts.tobytes()], "network": [own.pack()]})
 
         def average(group: pd.DataFrame) -> pd.DataFrame:
-            total, n = np.zeros(width, np.float64), 0
-            for m, x in zip(group["n"], group["network"], strict=True):
-                total += m * np.frombuffer(x, np.float32)
-                n += m
-            return pd.DataFrame({"n": [n], "network": [(total / n).astype(np.float32).tobytes()]})
-
-        averaged = copies.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(average, "n long, network binary").collect()
-        if averaged:
-            total = sum(r["n"] for r in averaged)
-            network.unpack(sum(r["n"] / total * np.frombuffer(r["network"], np.float32) for r in averaged))
+            n, counts, flat = _averaged(zip(group["n"], group["counts"], group["network"], strict=True), rows, width, head, places)
+            return pd.DataFrame({"part": [int(group["part"].iloc[0]) // fan_in], "n": [n], "counts": [counts], "network": [flat]})
+
+        found, left = tokens.mapInPandas(train, schema).withColumn("part", F.spark_partition_id()), copies
+        while left > fan_in:
+            found, left = found.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(average, schema), -(-left // fan_in)
+        trained = sorted(tuple(r) for r in found.collect())
+        if trained:
+            network.unpack(np.frombuffer(_averaged([r[1:] for r in trained], rows, width, head, places)[2], np.float32))
+        sent.unpersist()
     return network
 
 
-def _drawn(n: int, rng: np.random.Generator, rate: float, block: int) -> np.ndarray:
-    """The places of n tokens that lie in drawn blocks; all of them at rate 1."""
-    return np.flatnonzero(np.repeat(rng.random(-(-n // block)) < rate, block)[:n])
-
-
-def _train_on(network: WindowNetwork, held: list, batch: int, speed: float, seen: dict, rng: np.random.Generator) -> int:
-    if not held:
+def _train_on(network: WindowNetwork, texts: list[bytes], vocabulary: Vocabulary, batch: int, speed: float, seen: dict, rng: np.random.Generator, counts: np.ndarray) -> int:
+    """Steps over all tokens of the texts in random order; counts gets how often each token occurs."""
+    if not texts:
         return 0
-    context, target = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = rng.permutation(len(target))
-    for k in range(0, len(order), batch):
-        at = order[k : k + batch]
-        network.step(context[at], target[at], speed, seen)
-    return len(order)
+    row, places, _ = _laid_out(texts, vocabulary, network.side)
+    counts += np.bincount(row[places], minlength=len(counts))
+    places = rng.permutation(places)
+    for k in range(0, len(places), batch):
+        at = places[k : k + batch]
+        network.step(network.contexts(row, at), row[at], speed, seen)
+    return len(places)
 
 
-def with_pseudo_likelihood(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
+def with_pseudo_likelihood(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
     """docs with n_tokens, pll and pll_per_token (columns of these names are replaced).
 
     pll: the sum over all tokens of the whole text of log P(token | its neighbours on both sides); pll_per_token its
     mean. Texts without words (null and empty ones too) have 0 tokens and 0.0 for both. Words are runs of letters.
-    The network, of fixed size, is sent to the executors; nothing is shuffled.
+    Repeated rows score alike; an empty table gives an empty result; very long texts are scored a few thousand tokens
+    at a time. With tokens_col, docs has the tokens of with_tokens, and text_col is not read. The network, of fixed
+    size, is sent to the executors; nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast((network, vocabulary))
 
     @F.pandas_udf("n long, pll double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net, words = sent.value
-        numbers, scorer = words.numbers(), net.scorer()
-        for texts in batches:
+        numbers = words.numbers() if tokens_col is None else None
+        for given in batches:
             rows = []
-            for k in range(0, len(texts), 64):
-                rows += _scores(net, scorer, words, numbers, texts.iloc[k : k + 64])
+            for k in range(0, len(given), 64):
+                texts = given.iloc[k : k + 64]
+                rows += _scores(net, words, [numbers.tokens(t).tobytes() for t in texts] if numbers is not None else [t or b"" for t in texts])
             yield pd.DataFrame(rows, columns=["n", "pll"])
 
+    scored = free_name(docs, "_score_")
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("n_tokens", "pll", "pll_per_token")]
-    n, pll = F.col("_score_.n"), F.col("_score_.pll")
-    return docs.select(*kept, score(F.col(text_col).cast("string")).alias("_score_")).select(*kept, n.alias("n_tokens"), pll.alias("pll"), F.when(n > 0, pll / n).otherwise(0.0).alias("pll_per_token"))
+    n, pll = F.col(f"{scored}.n"), F.col(f"{scored}.pll")
+    given = F.col(text_col).cast("string") if tokens_col is None else F.col(tokens_col)
+    return docs.select(*kept, score(given).alias(scored)).select(*kept, n.alias("n_tokens"), pll.alias("pll"), F.when(n > 0, pll / n).otherwise(0.0).alias("pll_per_token"))
 
 
-def _scores(network: WindowNetwork, scorer: Scorer, vocabulary: Vocabulary, numbers: Numbers, texts: Iterator[str | None], slice_size: int = 8192) -> list[tuple[int, float]]:
-    """Tokens and summed log-probabilities of each text; texts lie in one row with padding between."""
-    found = [numbers.tokens(t) for t in texts]
-    gap = np.full(network.side, vocabulary.padding, np.int32)
-    row = np.concatenate([x for t in found for x in (t, gap)])
-    at = np.flatnonzero(row != vocabulary.padding)
+def _scores(network: WindowNetwork, vocabulary: Vocabulary, texts: list[bytes], slice_size: int = 4096) -> list[tuple[int, float]]:
+    """Tokens and summed log-probabilities of each text."""
+    row, at, sizes = _laid_out(texts, vocabulary, network.side)
     value = np.empty(len(at))
     for k in range(0, len(at), slice_size):
         places = at[k : k + slice_size]
-        lo, hi = places[0], places[-1] + 1
-        lo, hi = max(0, lo - network.side), min(len(row), hi + network.side)
-        value[k : k + slice_size] = scorer.log_likelihood(network.contexts(row[lo:hi], places - lo, vocabulary.padding), row[places])
-    ends = np.cumsum([len(t) for t in found])
-    return [(len(t), float(value[e - len(t) : e].sum())) for t, e in zip(found, ends, strict=True)]
+        value[k : k + slice_size] = network.log_likelihood(network.contexts(row, places), row[places])
+    ends = np.cumsum(sizes).tolist()
+    return [(n, float(value[e - n : e].sum())) for n, e in zip(sizes.tolist(), ends, strict=True)]
+
+
+def score_corpus(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """docs, with n_tokens, pll and pll_per_token in place of text, by a network trained on all of docs.
+
+    The text is read twice: to count all words, and to write its tokens to the checkpoint folder, from which the
+    network learns and scores.
+    """
+    words = count_words(docs, text_col)
+    name = free_name(docs, "_tokens")
+    tokens = cut(with_tokens(docs, words, text_col, name))
+    return with_pseudo_likelihood(tokens, fit_network(tokens, words, name, **how), words, tokens_col=name).drop(name)

@@ -15,16 +15,14 @@ from granary.llm.exact_dedup import exact_dedup
 from granary.llm.language_id import fit_languages, with_language
 from granary.llm.mixing import mix_plan
 from granary.llm.order_minhash import near_duplicates
-from granary.llm.pseudo_likelihood import count_words, fit_network, with_pseudo_likelihood
+from granary.llm.pseudo_likelihood import score_corpus
 from granary.llm.sharding import assign_shards
 from granary.llm.toxicity import fit_toxicity, with_toxicity
 from granary.llm.url_filters import filter_urls
 
 
 def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = count_words(docs)
-    return with_pseudo_likelihood(docs, fit_network(docs, words), words).drop("text")
+    return score_corpus(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import cut, free_name
 from granary.llm.language_id import WORD, words_of
 
 EULER = 0.5772156649015329
@@ -19,10 +20,13 @@ EULER = 0.5772156649015329
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, end, score) of a sequence, in linear time.
 
-    Candidates are kept as (first, end, sum before, sum after). A new one is joined to the last candidate that began
-    lower, as long as that one also ended lower; what lies between is absorbed.
+    Candidates are kept as (first, end, sum before, sum after, the last earlier candidate that began lower). A new
+    one is joined to the last candidate that began lower, as long as that one also ended lower; what lies between is
+    absorbed. Links lead past candidates that began higher, so none of those is looked at again; where no candidate
+    began lower, all are final.
     """
-    held: list[tuple[int, int, float, float]] = []
+    done: list[tuple[int, int, float]] = []
+    held: list[tuple[int, int, float, float, int]] = []
     total = 0.0
     for k, s in enumerate(scores):
         if s <= 0:
@@ -30,16 +34,20 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
             continue
         first, before, after = k, total, total + s
         total = after
+        j = len(held) - 1
         while True:
-            j = len(held) - 1
             while j >= 0 and held[j][2] >= before:
-                j -= 1
+                j = held[j][4]
             if j < 0 or held[j][3] >= after:
                 break
-            first, before = held[j][0], held[j][2]
+            first, before, link = held[j][0], held[j][2], held[j][4]
             del held[j:]
-        held.append((first, k + 1, before, after))
-    return [(a, b, after - before) for a, b, before, after in held]
+            j = link
+        if j < 0:
+            done += [(a, b, end - start) for a, b, start, end, _ in held]
+            held = []
+        held.append((first, k + 1, before, after, j))
+    return done + [(a, b, end - start) for a, b, start, end, _ in held]
 
 
 @dataclass
@@ -125,18 +133,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_docs: int = 20_000, max_tokens: int = 200_000, prior: float = 50.0, gap: float = 0.3) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_docs: int = 20_000, prior: float = 50.0, gap: float = 0.3) -> ToxicityModel:
     """Model from labels (id, label 0 or 1; null labels and ids do not count) of documents.
 
     max_docs bounds the sample: where there are more labels, those whose hashed id lies below the share that gives
-    max_docs of them on average. The sample, ids and labels only, is sent to the documents. To the driver come
-    the max_tokens tokens that most of the sampled toxic documents hold, and two figures for each sampled document.
+    max_docs of them on average. The sample, ids and labels only, is sent to the documents, which are read once for
+    their texts. To the driver come the counts of all tokens of the sampled texts, and five figures for each of these.
+    Repeated labels count once, repeated documents as often as they occur. Without documents of both labels, as in
+    empty tables, the model knows nothing and scores every text alike.
     """
     labels = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_toxic")).filter("_id IS NOT NULL AND _toxic IN (0, 1)").dropDuplicates(["_id"])
     n = labels.count()
     bound = int(min(1.0, max_docs / max(n, 1)) * (1 << 40))
     sample = labels.filter(F.pmod(F.xxhash64(F.lit(5), "_id"), F.lit(1 << 40)) < bound)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id").select("text", "_toxic")  # max_docs rows of 12 bytes
+    rows = cut(docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "_id").select("text", "_toxic"))  # max_docs rows of 12 bytes
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
@@ -151,7 +161,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
         yield out()
 
     counted = rows.mapInPandas(count, "token string, toxic int, n long").groupBy("token").agg(F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("clean"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("toxic"))
-    counts = pd.DataFrame(counted.orderBy(F.desc("toxic"), F.desc("clean"), "token").limit(max_tokens + 1).collect(), columns=["token", "clean", "toxic"])
+    counts = counted.toArrow().to_pandas().sort_values("token", ignore_index=True)
     of_all = counts[counts["token"] == ""]
     docs_by = (int(of_all["clean"].sum()), int(of_all["toxic"].sum()))
     if not all(docs_by):
@@ -159,7 +169,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_
     counts = counts[counts["token"] != ""].reset_index(drop=True)
     scores, default, clean = log_odds(counts, docs_by, prior, gap)
     values, weights = np.array([*scores.values(), default]), np.array([*(clean[t] + 0.5 for t in scores), 1.0])
-    model = ToxicityModel(scores, default, _rate(values, weights))
+    model = ToxicityModel({t: x for t, x in scores.items() if x != default}, default, _rate(values, weights))
     if not model.rate:
         return model
 
@@ -186,8 +196,9 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
     """docs with toxic_score (0 to 1) and toxic_spans (columns of these names are replaced).
 
     toxic_spans: every maximal segment whose expected number by chance in a text of this length is below 1, as
-    characters begin and end, score and that number e_value. Null and empty texts have no evidence. The model, of
-    bounded size, is sent to the executors; nothing is shuffled.
+    characters begin and end, score and that number e_value. Null and empty texts have no evidence. Repeated rows
+    score alike, an empty table gives an empty result, and very long texts take time in proportion to their length.
+    The model, of bounded size, is sent to the executors; nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     span = "array<struct<begin:int,end:int,score:double,e_value:double>>"
@@ -207,7 +218,8 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
             yield pd.DataFrame(rows, columns=["score", "spans"])
 
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("toxic_score", "toxic_spans")]
-    return docs.select(*kept, judge(F.col(text_col).cast("string")).alias("_toxicity_")).select(*kept, F.col("_toxicity_.score").alias("toxic_score"), F.col("_toxicity_.spans").alias("toxic_spans"))
+    judged = free_name(docs, "_toxicity_")
+    return docs.select(*kept, judge(F.col(text_col).cast("string")).alias(judged)).select(*kept, F.col(f"{judged}.score").alias("toxic_score"), F.col(f"{judged}.spans").alias("toxic_spans"))
 
 
 def _spans(text: str | None, found: list[tuple[int, int, float, float]]) -> list[dict]:
