@@ -66,7 +66,7 @@ class WindowNetwork:
     network is the unigram model.
     """
 
-    def __init__(self, vocabulary: Vocabulary, side: int = 2, hidden: int = 32, seed: int = 41):
+    def __init__(self, vocabulary: Vocabulary, side: int = 2, hidden: int = 16, seed: int = 41):
         rng = np.random.default_rng(seed)
         v, self.side, self.groups, self.per_group = vocabulary.padding, side, vocabulary.groups, vocabulary.per_group
         p = ((vocabulary.counts + 0.5) / (vocabulary.counts + 0.5).sum()).reshape(self.groups, self.per_group)
@@ -76,11 +76,12 @@ class WindowNetwork:
             "group": np.zeros((hidden, self.groups)), "group_bias": np.log(p.sum(axis=1)), "word": np.zeros((self.groups, hidden, self.per_group)), "word_bias": np.log(p / p.sum(axis=1, keepdims=True)),
         }
         self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
+        self.ones = np.ones(max(self.groups, self.per_group), np.float32)
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.p["context"][0][context[:, 0]]
+        h = np.take(self.p["context"][0], context[0], axis=0)
         for k in range(1, len(self.offsets)):
-            h += self.p["context"][k][context[:, k]]
+            h += np.take(self.p["context"][k], context[k], axis=0)
         h += self.p["bias"]
         return np.tanh(h, out=h)
 
@@ -89,28 +90,30 @@ class WindowNetwork:
         """Whether no logit can come near overflow: hidden units lie within 1, so the weights' sums bound them."""
         return (np.abs(w).sum(axis=-2) + np.abs(b)).max(axis=-1) < 60
 
-    @staticmethod
-    def _exp(z: np.ndarray, bounded: bool) -> np.ndarray:
+    def _exp(self, z: np.ndarray, bounded: bool) -> np.ndarray:
         """Sums of the exponentials of the rows, which take the place of z."""
         if not bounded:
             z -= z.max(axis=1, keepdims=True)
         np.exp(z, out=z)
-        return z.sum(axis=1)
+        return z @ self.ones[: z.shape[1]]
 
     def _bounds(self, target: np.ndarray) -> list[int]:
         """Where each group begins among rising targets, and the end."""
         return np.searchsorted(target, np.arange(self.groups + 1) * self.per_group).tolist()
 
     def log_likelihood(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """The log-probability of each target; context has a row of neighbours for each."""
+        """The log-probability of each target; context has a row for each place around it."""
         order = np.argsort(target, kind="stable")
         target = target[order]
-        h, (group, within) = self._hidden(context[order]), np.divmod(target, self.per_group)
-        z = h @ self.p["group"] + self.p["group_bias"]
-        top = z.max(axis=1)
-        own = z[np.arange(len(z)), group] - top
-        own -= np.log(self._exp(z, False))
-        bounds, bounded = self._bounds(target), self._bounded(self.p["word"], self.p["word_bias"])
+        h, (group, within) = self._hidden(context[:, order]), np.divmod(target, self.per_group)
+        at, own, sums = np.arange(len(target)), np.empty(len(target), np.float32), np.empty(len(target), np.float32)
+        z = h @ self.p["group"]
+        z += self.p["group_bias"]
+        if not self._bounded(self.p["group"], self.p["group_bias"]):
+            z -= z.max(axis=1, keepdims=True)
+        first = z[at, group]
+        total = self._exp(z, True)
+        bounds, bounded = self._bounds(target), self._bounded(self.p["word"], self.p["word_bias"]).tolist()
         for g in range(self.groups):
             lo, hi = bounds[g], bounds[g + 1]
             if lo < hi:
@@ -118,18 +121,18 @@ class WindowNetwork:
                 z += self.p["word_bias"][g]
                 if not bounded[g]:
                     z -= z.max(axis=1, keepdims=True)
-                own[lo:hi] += z[np.arange(hi - lo), within[lo:hi]]
-                own[lo:hi] -= np.log(self._exp(z, True))
+                own[lo:hi] = z[at[: hi - lo], within[lo:hi]]
+                sums[lo:hi] = self._exp(z, True)
         out = np.empty(len(own))
-        out[order] = own
+        out[order] = own + first - np.log(sums) - np.log(total)
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, speed: float, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step on a batch; seen holds the sums of squares."""
         order, n = np.argsort(target, kind="stable"), len(target)
-        context, target = context[order], target[order]
+        context, target = context[:, order], target[order]
         h, (group, within) = self._hidden(context), np.divmod(target, self.per_group)
-        at = np.arange(n)
+        at, ones = np.arange(n), np.ones(n, np.float32)
         z = h @ self.p["group"] + self.p["group_bias"]
         z /= self._exp(z, bool(self._bounded(self.p["group"], self.p["group_bias"])))[:, None]
         z[at, group] -= 1
@@ -147,27 +150,37 @@ class WindowNetwork:
                 z[at[: hi - lo], within[lo:hi]] -= 1
                 back[lo:hi] += z @ w.T
                 np.matmul(h[lo:hi].T, z, out=slopes["word"][g])
-                slopes["word_bias"][g] = z.sum(axis=0)
+                slopes["word_bias"][g] = ones[: hi - lo] @ z
         back *= 1 - h * h
         slopes["bias"] = back.sum(axis=0)
         for k, slope in slopes.items():
             slope /= n
-            self._update(self.p[k], seen[k], slice(None), slope, speed)
+            self.p[k] -= self._step(seen[k], slope, speed)
         back /= n
         for k in range(len(self.offsets)):
-            order = np.argsort(context[:, k], kind="stable")
-            rows = context[order, k]
+            order = np.argsort(context[k], kind="stable")
+            rows = context[k][order]
             starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-            self._update(self.p["context"][k], seen["context"][k], rows[starts], np.add.reduceat(back[order], starts, axis=0), speed)
+            rows = rows[starts]
+            squares = np.take(seen["context"][k], rows, axis=0)
+            change = self._step(squares, np.add.reduceat(np.take(back, order, axis=0), starts, axis=0), speed)
+            seen["context"][k][rows] = squares
+            self.p["context"][k][rows] -= change
 
     @staticmethod
-    def _update(p: np.ndarray, seen: np.ndarray, at, slope: np.ndarray, speed: float) -> None:
-        seen[at] += slope * slope
-        p[at] -= speed * slope / (np.sqrt(seen[at]) + 1e-5)
+    def _step(squares: np.ndarray, slope: np.ndarray, speed: float) -> np.ndarray:
+        """What to take off; squares gets those of slope added."""
+        root = slope * slope
+        squares += root
+        np.sqrt(squares, out=root)
+        root += 1e-5
+        slope *= speed
+        slope /= root
+        return slope
 
     def contexts(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Neighbours of the places at of a row of texts with padding around each."""
-        return row[at[:, None] + self.offsets]
+        """Neighbours of the places at of a row of texts with padding around each, a row for each offset."""
+        return row[at[None, :] + self.offsets[:, None]]
 
     def pack(self) -> bytes:
         return b"".join(self.p[k].tobytes() for k in PARTS)
@@ -249,7 +262,7 @@ def _averaged(copies: Iterator[tuple[int, bytes, bytes]], rows: int, width: int,
     return n, weight.astype(np.float32).tobytes(), total.astype(np.float32).tobytes()
 
 
-def fit_network(tokens: DataFrame, vocabulary: Vocabulary, tokens_col: str = "tokens", rounds: int = 1, batch: int = 4096, speed: float = 0.1, per_copy: int = 1_000_000, fan_in: int = 8) -> WindowNetwork:
+def fit_network(tokens: DataFrame, vocabulary: Vocabulary, tokens_col: str = "tokens", rounds: int = 1, batch: int = 4096, speed: float = 0.15, per_copy: int = 1_000_000, fan_in: int = 8) -> WindowNetwork:
     """Network trained on every token of every text (tokens as with_tokens makes them) in each round.
 
     In each round every partition trains a copy of the network on its own texts; partitions are joined, without
