@@ -290,6 +290,7 @@ EVENTS_V0 = [
     ("device_region_motion_proxy", 1, f"status = 'not_reliable' AND region_level IN {ACTIVE}"),
     ("sustained_screen_oriented_proxy", 2, "gaze"),
     ("blink_rate_change", 3, "blink <> 'not_computed'"),
+    ("facial_au_trend", 4, "n_codes > 0"),
     ("stable_screen_context", 5, "stable_screen"),
     ("quality_drop", 6, "lighting = 'low' OR blur = 'low'"),
     ("motion_confounding", 7, f"global_level IN {ACTIVE}"),
@@ -306,6 +307,7 @@ SCORES_V1 = {
     "score_region": case((f"region_level IN {ACTIVE} AND device_level IN {HIGH_UP}", f"{_d(1.3)} + {_bonus('device_level', VISIBILITY)} + {BURST_BONUS} + {CONFIDENCE_BONUS} - {PENALTY} * {_d(1.5)}"), default=_d(0)),
     "score_screen": case(("stable_screen OR gaze", f"{_d(1.8)} + {_bonus('device_level', VISIBILITY)} + {_bonus('face_level', VISIBILITY)} + CASE WHEN gaze THEN {_d(0.8)} ELSE {_d(0)} END - {PENALTY}"), default=_d(0)),
     "score_blink": case((f"blink IN ('elevated_eye_closure', 'reduced_eye_openness') AND mesh_level IN {HIGH_UP}", f"{_d(1.4)} + CASE WHEN eye_level = 'low' THEN {_d(0.8)} ELSE {_d(0)} END + {_bonus('mesh_level', VISIBILITY)} + {CONFIDENCE_BONUS} - {PENALTY} * {_d(0.5)}"), default=_d(0)),
+    "score_facial": case((f"n_codes > 0 AND mesh_level IN {HIGH_UP}", f"{_d(1.2)} + {_d(0.4)} * least(n_codes, 3) + {_bonus('mesh_level', VISIBILITY)} + {CONFIDENCE_BONUS} - {PENALTY} * {_d(0.5)}"), default=_d(0)),
     "score_quality": f"CASE WHEN lighting IN {POOR} THEN {_d(1.5)} ELSE {_d(0)} END + CASE WHEN blur IN {POOR} THEN {_d(1.5)} ELSE {_d(0)} END + CASE WHEN face_level = 'none' AND device_level = 'none' THEN {_d(0.8)} ELSE {_d(0)} END",
 }
 EVENTS_V1 = [
@@ -314,6 +316,7 @@ EVENTS_V1 = [
     ("sustained_screen_oriented_proxy", 2, "gaze AND score_screen >= 3.2", "score_screen"),
     ("stable_screen_context", 5, "NOT (gaze AND score_screen >= 3.2) AND stable_screen AND score_screen >= 3.0", "score_screen"),
     ("blink_rate_change", 3, "score_blink >= 2.8", "score_blink"),
+    ("facial_au_trend", 4, "score_facial >= 2.8", "score_facial"),
     ("quality_drop", 6, "score_quality >= 2.5", "score_quality"),
 ]
 SCORE_STRENGTH = labels("score", [(">= 4.5", "high"), (">= 3.2", "medium")], "low")

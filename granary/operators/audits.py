@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from granary.core import rules
 from granary.core.numbers import py_round
 
-#: Names and patterns of text that must not be published.
+#: Names and patterns of text that must not be published, and flags that must be false.
 BLOCKED = {
-    "local_path": r"(/(data|home|mnt|root)/|\\\\[A-Za-z0-9])", "segment_name": r"[0-9]{6}_VID_", "clip_file": r"clip_[0-9]+\.mp4", "image_file": r"(?i)\.(jpg|jpeg|png|gif|bmp)",
-}
+    "raw_data_path": r"data/[^\s\"']+|/home/|\\\\",
+    "video_directory_id": r"\b\d{6}_VID_\d{4}_\d{2}_\d{2}_",
+    "raw_clip_filename": r"\bclip_\d+\.mp4\b",
+    "image_filename": r"(?i)\.(png|jpg|jpeg|bmp)\b",
+}
+MUST_BE_FALSE = (
+    "raw_video_included", "raw_images_included", "raw_audio_included", "ocr_text_included", "asr_text_included", "exact_timestamps_included", "high_frequency_coordinates_included",
+    "face_embeddings_included", "screen_content_included", "questionnaire_answers_included", "exact_heart_rate_values_included", "app_names_included", "raw_paths_included",
+)
 
 
 def nearest_rank(values: Column, share: float) -> Column:

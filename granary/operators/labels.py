@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"([0-9A-Za-z]+_VID_\d{4}_\d{2}_\d{2}_\d{2}_\d{2}_\d{2}_\d+)"
+#: Fixed: a segment name begins after a slash, backslash or white space.
+TOKEN = r"([^/\\\s]+_VID_\d{4}_\d{2}_\d{2}_\d{2}_\d{2}_\d{2}_\d+)"
 
 
 def token_index(sheet: DataFrame, columns: list[str], row: str = "row_index") -> DataFrame:

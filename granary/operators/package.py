@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.core import rules
+from granary.operators.audits import MUST_BE_FALSE, pseudonym
 
 VERSION = "granary_evidence.v1"
 #: Sections of a package and the fields that each must have.
@@ -16,7 +17,7 @@ SECTIONS = {
     "session_metadata": ("session_id", "duration_bin", "n_windows", "n_events"),
     "global_features": ("interaction_intensity", "repetition", "confounding", "orientation", "blink", "posture_trend", "trajectory"),
     "quality_summary": ("sufficiency", "confounding"),
-    "privacy": ("raw_video_included", "raw_images_included", "exact_timestamps_included", "raw_paths_included"),
+    "privacy": MUST_BE_FALSE,
 }
 RULES = (
     "Judge by this text alone.",
@@ -42,24 +43,28 @@ def fact_lists(summary: DataFrame, detectors: DataFrame, events: DataFrame) -> D
     return df.select("person", *[c.alias(n) for n, c in lists.items()])
 
 
-def evidence_records(session: DataFrame, interaction: DataFrame, summary: DataFrame, facts: DataFrame, events: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """One nested public record for each person; the target label, where known, stays beside it, never inside."""
+def evidence_records(session: DataFrame, interaction: DataFrame, summary: DataFrame, facts: DataFrame, events: DataFrame, targets: DataFrame | None = None, salt: str = "granary") -> DataFrame:
+    """One nested public record for each person; the target label, where known, stays beside it, never inside.
+
+    Persons go by a salted pseudonym, in sample_id and in the record; who is to publish records chooses a secret salt.
+    """
+    alias = lambda: pseudonym(F.lit(salt), F.col("person").cast("string"))
     picked = events.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("window_order", "trigger", "event_id"))).alias("events"))
     df = session.join(interaction.select("person", "intensity", "repetition"), "person").join(summary.select("person", "trajectory", "interaction_pattern", "session_state", "n_limited"), "person").join(facts, "person").join(picked, "person", "left")
     none = F.lit(False)
     evidence = F.struct(
         F.lit(VERSION).alias("schema_version"),
-        F.struct(F.format_string("ANON_%06d", "person").alias("session_id"), F.expr(rules.duration_minutes("n_windows * 300")).alias("duration_bin"), F.col("n_windows").alias("n_windows"), F.coalesce(F.size("events"), F.lit(0)).alias("n_events")).alias("session_metadata"),
+        F.struct(alias().alias("session_id"), F.expr(rules.duration_minutes("n_windows * 300")).alias("duration_bin"), F.col("n_windows").alias("n_windows"), F.coalesce(F.size("events"), F.lit(0)).alias("n_events")).alias("session_metadata"),
         F.struct(F.col("intensity").alias("interaction_intensity"), "repetition", "confounding", F.col("orientation_v1").alias("orientation"), F.col("blink_v1").alias("blink"), "posture_trend", "trajectory", "interaction_pattern", "session_state").alias("global_features"),
         F.coalesce("events", F.array().cast("array<struct<window_order:bigint,trigger:string,event_id:string>>")).alias("events"),
         F.struct(F.expr(rules.sufficiency("n_windows", "(cast(n_windows - n_limited as double) / n_windows)")).alias("sufficiency"), "confounding").alias("quality_summary"),
         F.struct("positive", "weak", "counter", "limits").alias("facts"),
         F.struct(*[none.alias(f) for f in SECTIONS["privacy"]]).alias("privacy"),
     )
-    df = df.select(F.col("person").cast("string").alias("sample_id"), evidence.alias("evidence"))
+    df = df.select(alias().alias("sample_id"), evidence.alias("evidence"))
     if targets is None:
         return df
-    known = targets.select(F.col("person").cast("string").alias("sample_id"), F.struct(F.col("majority").alias("risk_level"), F.col("majority").isNotNull().alias("available")).alias("target_label"))
+    known = targets.select(alias().alias("sample_id"), F.struct(F.col("majority").alias("risk_level"), F.col("majority").isNotNull().alias("available")).alias("target_label"))
     return df.join(known, "sample_id", "left")
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from granary.core import rules
 from granary.core.islands import first_seen_mode, longest_runs, with_islands
 from granary.core.numbers import SPARK_RINT, py_round
+from granary.operators.readings import action_proxies
 from granary.operators.sampling import even_indices
 
+
+
 def by_person():
     return Window.partitionBy("person")
 
@@ -42,6 +45,8 @@ def window_summary(frames: DataFrame) -> DataFrame:
     )
     for quality in ("lighting", "blur"):
         base = base.join(first_seen_mode(df, KEYS, quality, "ord", quality), KEYS)
+    codes = action_proxies(df).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_codes"))
+    base = base.join(codes, KEYS, "left").fillna(0, ["n_codes"])
     layers = [
         {f"{x}_ratio": py_round(f"{x}_share", 3) for x in ("device", "face", "mesh", "hand")} | {"mean_eyes": py_round("eyes_share", 6)},
         {f"{x}_level": rules.ratio_bin(f"{x}_ratio") for x in ("device", "face", "mesh", "hand")}
@@ -127,12 +132,21 @@ def event_scores(windows: DataFrame) -> DataFrame:
     return df.select("person", "window_order", "confidence", F.inline(F.array_compact(F.array(*found)))).withColumn("strength", F.expr(rules.SCORE_STRENGTH))
 
 
-def events_v1(windows: DataFrame, most: int = 6) -> DataFrame:
-    """The best scored candidate of each window by strength, priority and order; the first `most` of a person."""
+def events_v1(windows: DataFrame, most: int = 6, least: int = 0) -> DataFrame:
+    """The best scored candidate of each window by strength, priority and order; the first `most` of a person.
+
+    Where these are fewer than `least`, the first of all candidates instead, several of a window among them, up to
+    the lesser of both numbers.
+    """
     strength = F.expr("CASE strength WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END")
     order = [strength, F.col("priority"), F.col("window_order")]
-    df = event_scores(windows).withColumn("nth", F.row_number().over(Window.partitionBy("person", "window_order").orderBy(*order))).filter("nth = 1")
-    df = df.withColumn("rank", F.row_number().over(Window.partitionBy("person").orderBy(*order))).filter(F.col("rank") <= most)
+    df = event_scores(windows).withColumn("nth", F.row_number().over(Window.partitionBy("person", "window_order").orderBy(*order)))
+    if not least:
+        df = df.filter("nth = 1")
+    first = Window.partitionBy("person").orderBy(*order)
+    df = df.withColumn("rank", F.row_number().over(first)).withColumn("own", F.count_if(F.col("nth") == 1).over(first)).withColumn("windows", F.count_if(F.col("nth") == 1).over(Window.partitionBy("person")))
+    few = F.least(F.col("windows"), F.lit(most)) < least
+    df = df.filter(F.when(few, F.col("rank") <= min(most, least)).otherwise((F.col("nth") == 1) & (F.col("own") <= most))).drop("own", "windows")
     return _numbered(df).withColumn("role", F.expr(rules.EVIDENCE_ROLE))
 
 
@@ -180,11 +194,12 @@ def negative_evidence(windows: DataFrame, events: DataFrame, generation: int = 1
     session = session_summary(windows)
     interaction = interaction_summary(windows, generation)
     picked = events.groupBy("person").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("strength") == "high").alias("n_strong_events"))
-    screens = windows.groupBy("person").agg(F.bool_or("stable_screen").alias("any_stable"))
+    screens = windows.groupBy("person").agg(F.bool_or("stable_screen").alias("any_stable"), (F.count_if(F.col("hand_level") != "none") / F.count(F.lit(1))).alias("_hands"))
+    screens = screens.withColumn("hand_share", F.expr(py_round("_hands", 3))).withColumn("hand_observability", F.expr(rules.ratio_bin("hand_share")))
     df = session.select("person", "orientation_v1", "confounding").join(interaction.select("person", "n_confirmed", "n_strong"), "person").join(picked, "person", "left").join(screens, "person").fillna(0, ["n_events", "n_strong_events"])
     tokens = [
-        ("n_events = 0", "no_event_windows_passed_thresholds"), ("n_confirmed = 0", "no_confirmed_hand_device_interaction_proxy"), ("n_strong = 0", "no_strong_repetitive_operation_proxy"),
-        ("orientation_v1 <> 'estimated_from_visible_face_and_device'", "no_reliable_sustained_screen_orientation_proxy"), (f"confounding IN {rules.ACTIVE}", "global_motion_limits_behavior_interpretation"), ("NOT any_stable", "no_stable_screen_context_window_observed"),
+        ("n_events = 0", "no_event_windows_passed_v1_thresholds"), ("n_confirmed = 0", "no_confirmed_hand_device_interaction_proxy"), ("n_strong = 0", "no_strong_repetitive_operation_proxy"),
+        ("orientation_v1 <> 'estimated_from_visible_face_and_device'", "no_reliable_sustained_screen_orientation_proxy"), ("hand_observability IN ('none', 'low')", "hand_visibility_limits_touch_interaction_evidence"), (f"confounding IN {rules.ACTIVE}", "global_motion_limits_behavior_interpretation"), ("NOT any_stable", "no_stable_screen_context_window_observed"),
     ]
     found: Column = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(t)) for c, t in tokens]))
     balance = F.expr(

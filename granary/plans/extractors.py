@@ -50,7 +50,7 @@ def windows_v1(events: DataFrame) -> DataFrame:
 
 
 @extractor("windows_v2")
-def windows_v2(events: DataFrame) -> DataFrame:
+def windows_v2(events: DataFrame, salt: str = "granary") -> DataFrame:
     """Calibrated windows, states, events and facts as nested evidence records.
 
     Five summaries read the windows, so these are kept in memory or on disk and recomputed where they are lost.
@@ -59,7 +59,7 @@ def windows_v2(events: DataFrame) -> DataFrame:
     states = windows.window_states(w)
     summary, picked = windows.temporal_summary(states), windows.events_v1(w)
     facts = package.fact_lists(summary, windows.episode_detectors(summary), picked)
-    return package.evidence_records(windows.session_summary(w), windows.interaction_summary(w, 2), summary, facts, picked)
+    return package.evidence_records(windows.session_summary(w), windows.interaction_summary(w, 2), summary, facts, picked, salt=salt)
 
 
 @extractor("temporal")

@@ -99,14 +99,19 @@ CTES: dict[str, str] = {
     "w0": "SELECT person, win, min(window_order) AS window_order, min(position) AS position, count(*) AS n_frames, " + ", ".join(f"{safe_ratio(f'count_if({x}_visible)', 'count(*)', R)} AS {x}_ratio" for x in ("device", "face", "mesh", "hand")) + f", coalesce(max(local_motion), 0) AS local_peak, coalesce(max(global_motion), 0) AS global_peak, coalesce(count_if(local_motion >= 0.035::double), 0)::bigint AS local_bursts, coalesce(count_if(global_motion >= 0.05::double), 0)::bigint AS global_bursts, coalesce(max(greatest(local_motion - global_motion * 0.6::double, CASE WHEN local_motion IS NOT NULL THEN 0::double END)), 0) AS localized_peak, coalesce(count_if(local_motion IS NOT NULL AND greatest(local_motion - global_motion * 0.6::double, 0) >= {w.LOCALIZED_THRESHOLD!r}::double), 0)::bigint AS localized_bursts, coalesce(count_if(hand_region IN ('lower_frame', 'middle_frame')), 0)::bigint AS near_hands, coalesce(count_if(hand_region = 'lower_frame'), 0)::bigint AS lower_hands, count(eye_openness) AS n_eyes, coalesce(count_if(coalesce(eye_openness < 0.2::double, false)), 0)::bigint AS n_closed, {py_round('avg(eye_openness)', 6, R)} AS mean_eyes, coalesce(count_if(face_close), 0)::bigint AS n_close_faces, coalesce(count_if(several_faces), 0)::bigint AS n_several, coalesce(count_if(face_visible), 0)::bigint AS n_faces FROM cw GROUP BY person, win",
     **_mode("wl", "cw", "person, win", "lighting", "ord", "lighting"),
     **_mode("wb", "cw", "person, win", "blur", "ord", "blur"),
-    "w1": "SELECT * FROM w0 JOIN wl USING (person, win) JOIN wb USING (person, win)",
+    "ax": "SELECT v.person, ord // 6 + 1 AS win, ord, unnest([CASE WHEN k % 4 = 0 THEN 'brow' END, CASE WHEN k % 3 = 0 THEN 'jaw' END, CASE WHEN k % 2 = 0 THEN 'lid' END, CASE WHEN k % 5 = 1 THEN 'lip' END]) AS action FROM vis v WHERE face_visible AND k % 5 <> 0",
+    "ay": "SELECT person, win, action, count(*) AS hits, min(ord) AS o FROM ax WHERE action IS NOT NULL GROUP BY ALL",
+    "az": "SELECT *, row_number() OVER (PARTITION BY person, win ORDER BY hits DESC, o, action) AS nth FROM ay",
+    "an": "SELECT person, win, count(*) AS n FROM fa GROUP BY ALL",
+    "aq": "SELECT az.person, az.win, count(*) AS n_codes FROM az JOIN an ON az.person = an.person AND az.win = an.win WHERE nth <= 3 AND hits >= greatest(1, n // 3) GROUP BY ALL",
+    "w1": "SELECT w0.*, lighting, blur, coalesce(n_codes, 0) AS n_codes FROM w0 JOIN wl USING (person, win) JOIN wb USING (person, win) LEFT JOIN aq USING (person, win)",
     **_layers("wv0", "w1", [
         {f"{x}_level": r.ratio_bin(f"{x}_ratio") for x in ("device", "face", "mesh", "hand")}
         | {"local_level": r.motion_level("local_peak", "cast(0.035 as double)"), "global_level": r.motion_level("global_peak", "cast(0.05 as double)"), "blink": r.BLINK_WINDOW, "eye_level": r.eye_openness("mean_eyes"), "posture_state": "CASE WHEN n_faces = 0 THEN 'not_computed' WHEN n_close_faces > 0 THEN 'close_to_screen' ELSE 'visible_not_close' END", "several": "n_several > 0"},
         {"status": r.STATUS_V0, "region_level": f"CASE WHEN device_level IN {r.MEDIUM_UP} THEN local_level ELSE 'not_reliable' END", "base_confidence": r.BASE_CONFIDENCE, "gaze": r.GAZE_V0, "stable_screen": r.STABLE_V0},
         {"intensity": r.INTENSITY("local_level", "local_bursts"), "motion_pattern": r.MOTION_PATTERN("local_level", "local_bursts"), "confidence": r.CONFIDENCE_V0},
     ]),
-    "c0": "SELECT person, win, window_order, position, n_frames, device_level, face_level, mesh_level, hand_level, lighting, blur, blink, eye_level, posture_state, several, local_level AS raw_local_level, global_level AS raw_global_level, local_bursts AS raw_local_bursts, global_bursts AS raw_global_bursts, confidence AS confidence_v0, localized_peak, localized_bursts, near_hands, lower_hands FROM wv0",
+    "c0": "SELECT person, win, window_order, position, n_frames, device_level, face_level, mesh_level, hand_level, lighting, blur, blink, eye_level, posture_state, several, local_level AS raw_local_level, global_level AS raw_global_level, local_bursts AS raw_local_bursts, global_bursts AS raw_global_bursts, confidence AS confidence_v0, n_codes, localized_peak, localized_bursts, near_hands, lower_hands FROM wv0",
     **_layers("wv2", "c0", [
         {"localized_level": r.motion_level("localized_peak", f"cast({w.LOCALIZED_THRESHOLD!r} as double)"), "near_level": r.ratio_bin("cast(near_hands as double) / n_frames")},
         {"dominance": r.DOMINANCE, "status": r.STATUS_V2, "region_level": r.REGION_V2},
@@ -138,6 +143,8 @@ CTES: dict[str, str] = {
     "ys": f"SELECT *, {r.SCORE_STRENGTH} AS strength, CASE {r.SCORE_STRENGTH} WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS sp FROM y1",
     "y2": "SELECT *, row_number() OVER (PARTITION BY person, window_order ORDER BY sp, priority) AS nth FROM ys",
     "y3": "SELECT *, row_number() OVER (PARTITION BY person ORDER BY sp, priority, window_order) AS rk FROM y2 WHERE nth = 1",
+    "yb": "SELECT *, row_number() OVER (PARTITION BY person ORDER BY sp, priority, window_order) AS rk, least(6, (SELECT count(DISTINCT window_order) FROM ys z WHERE z.person = y2.person)) AS chosen, (SELECT count(*) FROM y2 z WHERE z.person = y2.person AND z.nth = 1 AND (z.sp, z.priority, z.window_order) <= (y2.sp, y2.priority, y2.window_order)) AS place FROM y2",
+    "xb1": "SELECT person, window_order, trigger, strength FROM yb WHERE CASE WHEN chosen < 5 THEN rk <= 5 ELSE nth = 1 AND place <= 6 END",
     "xv1": f"SELECT person, window_order, trigger, strength, printf('Event_%02d', row_number() OVER (PARTITION BY person ORDER BY window_order)) AS event_id, {r.EVIDENCE_ROLE} AS role FROM y3 WHERE rk <= 6",
 }
 
@@ -166,8 +173,8 @@ def _session(source: str) -> dict[str, str]:
 
 CTES |= _interaction("wv0", True) | _interaction("wv2", False) | _session("wv0") | _session("wv2")
 CTES |= {
-    "ne0": "SELECT p.person, orientation_v1, confounding, n_confirmed, n_strong, any_stable, coalesce(n_events, 0) AS n_events, coalesce(n_strong_events, 0) AS n_strong_events FROM se2 p JOIN ia2 USING (person) JOIN (SELECT person, bool_or(stable_screen) AS any_stable FROM wv2 GROUP BY person) USING (person) LEFT JOIN (SELECT person, count(*) AS n_events, count_if(strength = 'high') AS n_strong_events FROM xv1 GROUP BY person) USING (person)",
-    "ne": f"SELECT person, concat_ws(';', CASE WHEN n_events = 0 THEN 'no_event_windows_passed_thresholds' END, CASE WHEN n_confirmed = 0 THEN 'no_confirmed_hand_device_interaction_proxy' END, CASE WHEN n_strong = 0 THEN 'no_strong_repetitive_operation_proxy' END, CASE WHEN orientation_v1 <> 'estimated_from_visible_face_and_device' THEN 'no_reliable_sustained_screen_orientation_proxy' END, CASE WHEN confounding IN {r.ACTIVE} THEN 'global_motion_limits_behavior_interpretation' END, CASE WHEN NOT any_stable THEN 'no_stable_screen_context_window_observed' END) AS negatives, CASE WHEN n_events = 0 THEN 'no_selected_behavior_events' WHEN n_strong_events = 0 AND n_confirmed = 0 AND orientation_v1 <> 'estimated_from_visible_face_and_device' THEN 'weak_or_confounded_proxy_evidence' WHEN confounding IN {r.ACTIVE} THEN 'behavior_proxy_present_but_motion_confounded' WHEN n_strong_events >= 2 THEN 'multiple_stronger_proxy_events' ELSE 'limited_proxy_evidence' END AS balance FROM ne0",
+    "ne0": "SELECT p.person, orientation_v1, confounding, n_confirmed, n_strong, any_stable, hand_share, coalesce(n_events, 0) AS n_events, coalesce(n_strong_events, 0) AS n_strong_events FROM se2 p JOIN ia2 USING (person) JOIN (SELECT person, bool_or(stable_screen) AS any_stable, count_if(hand_level <> 'none') / count(*) AS hand_share FROM wv2 GROUP BY person) USING (person) LEFT JOIN (SELECT person, count(*) AS n_events, count_if(strength = 'high') AS n_strong_events FROM xv1 GROUP BY person) USING (person)",
+    "ne": f"SELECT person, concat_ws(';', CASE WHEN n_events = 0 THEN 'no_event_windows_passed_v1_thresholds' END, CASE WHEN n_confirmed = 0 THEN 'no_confirmed_hand_device_interaction_proxy' END, CASE WHEN n_strong = 0 THEN 'no_strong_repetitive_operation_proxy' END, CASE WHEN orientation_v1 <> 'estimated_from_visible_face_and_device' THEN 'no_reliable_sustained_screen_orientation_proxy' END, CASE WHEN hand_share < 0.5 THEN 'hand_visibility_limits_touch_interaction_evidence' END, CASE WHEN confounding IN {r.ACTIVE} THEN 'global_motion_limits_behavior_interpretation' END, CASE WHEN NOT any_stable THEN 'no_stable_screen_context_window_observed' END) AS negatives, CASE WHEN n_events = 0 THEN 'no_selected_behavior_events' WHEN n_strong_events = 0 AND n_confirmed = 0 AND orientation_v1 <> 'estimated_from_visible_face_and_device' THEN 'weak_or_confounded_proxy_evidence' WHEN confounding IN {r.ACTIVE} THEN 'behavior_proxy_present_but_motion_confounded' WHEN n_strong_events >= 2 THEN 'multiple_stronger_proxy_events' ELSE 'limited_proxy_evidence' END AS balance FROM ne0",
 }
 
 
@@ -229,6 +236,7 @@ SPECS: dict[str, tuple] = {
     "events_v0": (lambda s, d: w.events_v0(_v0(s, d)), "person window_order trigger event_id role", "xv0"),
     "events_v1_scores": (lambda s, d: w.event_scores(_v2(s, d)).withColumn("score", F.expr(py_round("score", 4))), f"person window_order trigger strength score={py_round('score', 4, R)}", "ys"),
     "events_v1_selected": (lambda s, d: w.events_v1(_v2(s, d)), "person window_order trigger strength event_id role", "xv1"),
+    "events_v1_backfilled": (lambda s, d: w.events_v1(_v2(s, d), least=5), "person window_order trigger strength", "xb1"),
     "interaction_summary_v1": (lambda s, d: w.interaction_summary(_v0(s, d), 1), "person n_confirmed n_possible n_region n_strong intensity repetition", "ia0"),
     "interaction_summary_v2": (lambda s, d: w.interaction_summary(_v2(s, d), 2), "person n_confirmed n_possible n_region n_strong intensity repetition", "ia2"),
     "motion_confounding": (lambda s, d: w.session_summary(_v2(s, d)), "person n_windows n_high n_active confounding", "se2"),

@@ -11,7 +11,7 @@ from granary.queries.evidence import STABLE_1, _layers
 from granary.queries.evidence import CTES as EVIDENCE
 from granary.queries.packages import LEGACY_COUNTS, LEGACY_SHARES, legacy_frame_features
 from granary.queries.records import CTES as RECORDS
-from granary.sources.events import active_frames, legacy_frames, ordered_events
+from granary.sources.events import active_frames, legacy_frames
 from granary.sources.records import clips
 
 R = ORACLE_RINT
@@ -55,10 +55,7 @@ def coarse_measurements(s, d):
 
 
 def action_proxies(s, d):
-    e = _events(s, d)
-    codes = F.array_compact(F.array(F.when(F.col("k") % 4 == 0, "brow"), F.when(F.col("k") % 3 == 0, "jaw"), F.when(F.col("k") % 2 == 0, "lid"), F.when(F.col("k") % 5 == 1, "lip")))
-    frames = active_frames(e).join(ordered_events(e).select("person", "ord", "k"), ["person", "ord"]).withColumn("actions", F.when(F.col("mesh_visible"), codes))
-    return readings.action_proxies(frames)
+    return readings.action_proxies(active_frames(_events(s, d)))
 
 
 def video_quality(s, d):
@@ -80,10 +77,6 @@ ALL |= {
     "mm": " UNION ALL ".join(f"SELECT person, n, '{x}' AS measure, {x} AS ratio FROM lf1" for x in RATIOS),
     "cc0": RECORDS["c0"],
     "cc": RECORDS["cl"].replace("FROM c0", "FROM cc0"),
-    "ax": "SELECT * FROM (SELECT v.person, ord // 6 + 1 AS win, ord, unnest([CASE WHEN k % 4 = 0 THEN 'brow' END, CASE WHEN k % 3 = 0 THEN 'jaw' END, CASE WHEN k % 2 = 0 THEN 'lid' END, CASE WHEN k % 5 = 1 THEN 'lip' END]) AS action FROM vis v WHERE face_visible AND k % 5 <> 0) WHERE action IS NOT NULL",
-    "ay": "SELECT person, win, action, count(*) AS hits, min(ord) AS o FROM ax GROUP BY ALL",
-    "az": "SELECT *, row_number() OVER (PARTITION BY person, win ORDER BY hits DESC, o, action) AS nth FROM ay",
-    "an": "SELECT person, ord // 6 + 1 AS win, count(*) AS n FROM vis GROUP BY ALL",
     "vq0": f"SELECT *, {py_round('size_bytes / 1048576.0::double', 2, R)} AS mb FROM cc WHERE video_available",
     "vq1": f"SELECT person, count(*) AS n_videos, count(seconds) AS n_readable, sum(size_bytes)::bigint AS total_bytes, count_if({r.size_mb('mb')} = '<5MB')::bigint AS n_small, coalesce(count_if({r.clip_duration('seconds')} = '>=90s'), 0)::bigint AS n_long, {safe_ratio('count(seconds)', 'count(*)', R)} AS readable_ratio FROM vq0 GROUP BY person",
 }

@@ -17,7 +17,11 @@ R = ORACLE_RINT
 LEVELS = "('none', 'mild', 'moderate', 'high', 'insufficient_evidence')"
 FIELDS = ["source", "lang", "length_bin"]
 
-PLANTED = "CASE page_id % 4 WHEN 0 THEN ' /home/u/x' WHEN 1 THEN ' 000001_VID_2 clip_03.mp4' WHEN 2 THEN ' a.PNG b.jpg' ELSE '' END"
+PLANTED = "CASE page_id % 4 WHEN 0 THEN ' /home/u/x' WHEN 1 THEN ' 000001_VID_2024_05_06_07 1_VID_2024_05_06_07 clip_03.mp4 clip_4.mp4x' WHEN 2 THEN ' a.PNG b.jpg c.gif d.jpgx' ELSE ' see data/raw/x.json, metadata/y' END"
+#: Typed anew for the SQL, in its own quoting.
+LEAKS = {
+    "raw_data_path": r'''data/[^\s"'']+|/home/|\\\\''', "video_directory_id": r"\b[0-9]{6}_VID_[0-9]{4}_[0-9]{2}_[0-9]{2}_", "raw_clip_filename": r"\bclip_[0-9]+[.]mp4\b", "image_filename": r"(?i)[.](png|jpg|jpeg|bmp)\b",
+}
 
 CTES = {
     "ev": EVIDENCE["ev"],
@@ -267,7 +271,7 @@ ORACLE = {
     "heart_rate_audit": sql(f"SELECT person, n, {r.audit_count('n')} AS n_bin, {r.audit_ratio('ratio')} AS ratio_bin, {r.audit_seconds('seconds')} AS span_bin, {r.audit_bpm('mean_bpm')} AS bpm_bin, n >= 10 AND ratio >= 0.8::double AS usable FROM h1"),
     "usage_audit": sql(f"SELECT person, n, {r.audit_count('n')} AS n_bin, {r.audit_seconds('(CASE WHEN total > 86400 THEN total / 1000 ELSE total END)')} AS total_bin, {r.audit_ratio('share')} AS share_bin, total IS NOT NULL AS usable FROM us"),
     "payload_reuse": sql(f"SELECT {r.audit_count('n')} AS reuse, count(*) AS n_payloads, sum(n)::bigint AS n_rows FROM (SELECT questionnaire_sha, count(*) AS n FROM cl GROUP BY 1) GROUP BY 1"),
-    "privacy_patterns": " UNION ALL ".join(f"SELECT page_id, '{k}' AS pattern, len(regexp_extract_all(concat(html, {PLANTED}), '{p}')) AS n FROM pages WHERE len(regexp_extract_all(concat(html, {PLANTED}), '{p}')) > 0" for k, p in audits.BLOCKED.items()),
+    "privacy_patterns": " UNION ALL ".join(f"SELECT page_id, '{k}' AS pattern, len(regexp_extract_all(concat(html, {PLANTED}), '{p}')) AS n FROM pages WHERE len(regexp_extract_all(concat(html, {PLANTED}), '{p}')) > 0" for k, p in LEAKS.items()),
     "privacy_flags": "SELECT doc_id, (doc_id % 5 = 0)::bigint + (doc_id % 3 = 0)::bigint AS n, concat_ws(';', CASE WHEN doc_id % 5 = 0 THEN 'has_name' END, CASE WHEN doc_id % 3 = 0 THEN 'has_path' END) AS violations FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0",
     "session_pseudonym": sql("SELECT name, 'ANON_' || upper(left(sha256('salt:' || name), 10)) AS alias FROM cl"),
     "latest_prediction": sql("SELECT sample_id, seq, target, predicted, error FROM lt"),

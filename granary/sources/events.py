@@ -45,15 +45,16 @@ def legacy_frames(events: DataFrame) -> DataFrame:
 
 
 def active_frames(events: DataFrame) -> DataFrame:
-    """Frames in windows of six; motion is null on the first frame of a window."""
+    """Frames in windows of six; motion is null on the first frame of a window, actions of the face where its mesh is not seen."""
     df = ordered_events(events).withColumns({k: F.expr(v) for k, v in VISIBILITY.items()})
     moving = F.col("ord") % 6 > 0
     mesh = F.expr("face_visible AND k % 5 <> 0")
     eyes = F.when(mesh, 0.1 + (F.col("k") % 20) / 100)
     region = F.expr("CASE WHEN NOT hand_visible THEN 'none' WHEN k % 3 = 0 THEN 'lower_frame' WHEN k % 3 = 1 THEN 'middle_frame' ELSE 'upper_frame' END")
+    actions = F.array_compact(F.array(F.when(F.col("k") % 4 == 0, "brow"), F.when(F.col("k") % 3 == 0, "jaw"), F.when(F.col("k") % 2 == 0, "lid"), F.when(F.col("k") % 5 == 1, "lip")))
     return df.select(
         "person", "ord", (F.floor(F.col("ord") / 6) + 1).alias("window"), "device_visible", "hand_visible", "face_visible", mesh.alias("mesh_visible"), region.alias("hand_region"),
         F.when(F.col("k") < 20, "low").otherwise("sufficient").alias("lighting"), F.when(F.col("k") >= 95, "low").otherwise("sufficient").alias("blur"),
         eyes.alias("eye_openness"), F.coalesce(eyes < 0.2, F.lit(False)).alias("eye_closed"), F.expr("face_visible AND k % 7 = 0").alias("face_close"), F.expr("face_visible AND k % 11 = 0").alias("several_faces"),
-        F.when(moving, F.col("value") / 1000).alias("local_motion"), F.when(moving, F.col("k") / 1000).alias("global_motion"),
+        F.when(moving, F.col("value") / 1000).alias("local_motion"), F.when(moving, F.col("k") / 1000).alias("global_motion"), F.when(mesh, actions).alias("actions"),
     )
