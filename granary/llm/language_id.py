@@ -30,10 +30,10 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
-def _numbered(items: Iterator[str]) -> tuple[dict[str, int], list[int]]:
+def _numbered(items: Iterator[str]) -> tuple[dict[str, int], np.ndarray]:
     """A number for each item in order of first sight, and the numbers of all items."""
     known: dict[str, int] = {}
-    return known, [known.setdefault(x, len(known)) for x in items]
+    return known, np.fromiter((known.setdefault(x, len(known)) for x in items), np.int64)
 
 
 @dataclass
@@ -53,13 +53,12 @@ class LanguageModel:
         lang = np.array([place[x] for x, _, _ in counts], np.int64)
         n = np.array([c for _, _, c in counts], np.float64)
         words, number = _numbered(w for _, w, _ in counts)
-        tables = [cls._logs(np.array(number, np.int64), lang, n, len(words), len(langs), alpha)]
+        tables = [cls._logs(number, lang, n, len(words), len(langs), alpha)]
         joined: dict[str, int] = {}
         for size in range(1, LONGEST + 1):
-            each = [grams(w, size) for _, w, _ in counts]
-            lengths = [len(x) for x in each]
-            known, number = _numbered(g for x in each for g in x)
-            tables.append(cls._logs(np.array(number, np.int64), np.repeat(lang, lengths), np.repeat(n, lengths), len(known), len(langs), alpha))
+            known, number = _numbered(g for _, w, _ in counts for g in grams(w, size))
+            lengths = [len(grams(w, size)) for _, w, _ in counts]
+            tables.append(cls._logs(number, np.repeat(lang, lengths), np.repeat(n, lengths), len(known), len(langs), alpha))
             at = len(words) + sum(len(t) for t in tables[1:-1])
             joined |= {g: at + k for g, k in known.items()}
         return cls(langs, words, joined, np.concatenate(tables))
@@ -135,7 +134,7 @@ class Predictor:
         return self.model.langs[best], float(x[best] / x.sum())
 
 
-def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 10_000) -> LanguageModel:
+def fit_languages(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2_000) -> LanguageModel:
     """Model from the labelled rows: null languages do not count.
 
     Its languages are those of all labelled rows with a word. max_docs bounds the sample, in equal parts by language; what
