@@ -272,7 +272,7 @@ def fit_network(tokens: DataFrame, vocabulary: Vocabulary, tokens_col: str = "to
     network = WindowNetwork(vocabulary)
     rows, head, width = vocabulary.padding + 1, network.p["context"].size, sum(network.p[k].size for k in PARTS)
     places = len(network.offsets)
-    copies = min(tokens.rdd.getNumPartitions(), max(1, int(vocabulary.counts.sum()) // per_copy))
+    copies = max(1, min(tokens.rdd.getNumPartitions(), int(vocabulary.counts.sum()) // per_copy))
     tokens = tokens.select(F.col(tokens_col).alias("tokens")).coalesce(copies)
     schema = "part int, n long, counts binary, network binary"
     for k in range(rounds):

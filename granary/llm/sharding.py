@@ -46,8 +46,8 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     Ranges follow each other through the shards.
 
     Equal texts share a shard: a group over a shard's end goes where its middle lies. Only of a group of more than
-    a 64th of a shard's bytes, of which there are less than 64 a shard, each row goes where its own middle lies. So a
-    shard's bytes differ from the mean by less than a 64th of it, or than one row's. slot counts a shard's rows from 0
+    a 16th of a shard's bytes, of which there are less than 16 a shard, each row goes where its own middle lies. So a
+    shard's bytes differ from the mean by less than a 16th of it, or than one row's. slot counts a shard's rows from 0
     in key order. Repeated rows have keys of their own; null ids and texts are keys as any other; a very long text is
     one row, and its shard is the longer for it. An empty table gives an empty result.
 
@@ -61,7 +61,7 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     keys = cut(keyed.select("size", F.col(h).alias("h"), F.col(i).alias("i")))
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     ranges = ranges or max(4096, 64 * n_shards, min(65536, total >> 26))
-    large = np.array(sorted(x["h"] for x in keys.groupBy("h").agg(F.sum("size").alias("n")).filter(F.col("n") * 64 * n_shards > total).collect()), np.int64)
+    large = np.array(sorted(x["h"] for x in keys.groupBy("h").agg(F.sum("size").alias("n")).filter(F.col("n") * 16 * n_shards > total).collect()), np.int64)
     cuts = _splitters(_sample(keys, total, ranges * points, seed), ranges)
 
     for k in range(rounds + 1):

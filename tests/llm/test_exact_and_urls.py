@@ -2,7 +2,7 @@ import hashlib
 import re
 
 from granary.llm.exact_dedup import exact_dedup, keep_first_copies
-from granary.llm.url_filters import ALLOW, BLOCK, HOST_RULES, PATTERN_RULES, Rule, filter_urls
+from granary.llm.url_filters import ALLOW, BLOCK, HOST_RULES, PATTERN_RULES, Rule, filter_urls, rarest_literals, read_rules
 
 DOCS = [(1, "Ab"), (2, "aB"), (3, None), (4, ""), (5, "ÀB"), (6, "àb"), (7, "x" * 200_000), (8, "X" * 200_000), (9, "ab"), (9, "ab"), (None, "ab"), (10, None)]
 
@@ -23,6 +23,13 @@ def test_classes_match_brute_force_and_one_row_of_each_stays(spark):
     assert all(r.doc_id == r.keep_id for r in rows if r.kept)
 
 
+def test_the_last_of_repeated_rows_stays_at_the_ends_of_the_ids(spark):
+    rows = [(-(2**63), "a"), (None, "A"), (2**63 - 1, "b"), (2**63 - 1, "B"), (None, "c"), (None, "c")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), with_place=True).collect()
+    assert sorted(r["_uid"] for r in got if r.kept) == [0, 3, 5]
+    assert [r.keep_id for r in sorted(got, key=lambda r: r["_uid"])] == [-(2**63)] * 2 + [2**63 - 1] * 2 + [None] * 2
+
+
 def test_dedup_keeps_columns_of_any_name_and_takes_empty_tables(spark):
     df = spark.createDataFrame([(1, "a", 5, "k"), (1, "a", 5, "k"), (2, "b", None, None)], "doc_id long, text string, keep_id long, _place string")
     assert sorted(tuple(r) for r in keep_first_copies(df).collect()) == [(1, "a", 5, "k"), (2, "b", None, None)]
@@ -72,6 +79,14 @@ def test_no_url_that_an_expression_fits_is_lost_by_the_index(spark):
                 assert got[u] == (BLOCK if fits == {BLOCK} else ALLOW), (u, rules)
 
 
+def test_rules_come_from_a_file_and_stand_under_each_alternative(spark, tmp_path):
+    (tmp_path / "rules.jsonl").write_text('{"verdict": "block", "host": "a.com", "path": "/x"}\n{"verdict": "allow", "pattern": "/(one|two)/", "any_of": ["one", "two"]}\n')
+    rules = read_rules(spark, str(tmp_path / "rules.jsonl"))
+    assert rules == [Rule(BLOCK, "a.com", "/x"), Rule(ALLOW, pattern="/(one|two)/", any_of=("one", "two"))]
+    df = spark.createDataFrame([(1, "http://b/one/")], "page_id int, url string")
+    assert set(rarest_literals(df, "url", rules + PATTERN_RULES)) >= {"one", "two", "ads", "adserver", "doubleclick", "wp", "xmlrpc"} and "" not in rarest_literals(df, "url", PATTERN_RULES)
+
+
 def test_no_rules_no_rows_and_tokens(spark):
     df = spark.createDataFrame([(1, "http://a.com/en/1")], "page_id int, url string")
     assert filter_urls(df, rules=[]).first().verdict == ALLOW

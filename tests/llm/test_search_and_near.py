@@ -6,7 +6,7 @@ import numpy as np
 from granary.llm.anisotropic import Quantiser, nearest
 from granary.llm.components import connected
 from granary.llm.order_minhash import Shingler, aligned, alignment, bucket_keys, keep_one_of_each, links_among, near_duplicates, sketches
-from granary.llm.pseudo_likelihood import Vocabulary, WindowNetwork, _scores, count_words, fit_network, with_pseudo_likelihood
+from granary.llm.pseudo_likelihood import Vocabulary, WindowNetwork, _averaged, _scores, count_words, fit_network, score_corpus, with_pseudo_likelihood, with_tokens
 
 
 def test_search_meets_recall_and_leaves_out_what_is_no_vector(spark):
@@ -33,6 +33,8 @@ def test_search_meets_recall_and_leaves_out_what_is_no_vector(spark):
     assert hit / (20 * len(by)) >= 0.9
     assert [f[1] for f in sorted(by[20])][:20] == list(range(700, 720))
     assert nearest(df.limit(0), "vec_id", "embedding", "vec_id % 20 = 0").collect() == []
+    lone = nearest(df.unionByName(spark.createDataFrame([(7000, [2.0, 1.0]), (7001, [3.0, -1.0]), (7020, [1.0, 1.0])], df.schema)), "vec_id", "embedding", "vec_id >= 7000", rerank=60).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in lone if r.query_id == 7020) == [(7020, 1, 7000, 3.0), (7020, 2, 7001, 2.0)]
     few = nearest(df.filter("vec_id < 3"), "vec_id", "embedding", "vec_id % 20 = 0").collect()
     assert [r["rank"] for r in few] == [1, 2]
 
@@ -175,49 +177,76 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def slow_log_p(net, context, target):
+    """log P of one target, by a softmax over all tokens of the group and one over all groups."""
+    p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    h = np.tanh(sum(p["context"][k][c] for k, c in enumerate(context)) + p["bias"])
+    log_softmax = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    g, w = divmod(target, net.per_group)
+    return log_softmax(h @ p["group"] + p["group_bias"])[g] + log_softmax(h @ p["word"][g] + p["word_bias"][g])[w]
+
+
 def test_network_is_a_distribution_and_its_gradients_are_right():
     v = Vocabulary({"a": 0}, np.arange(1.0, 13.0), 3, 4)
-    net = WindowNetwork(v, dims=5, hidden=6)
-    context = np.array([[0, 1, 2, 3], [12, 12, 4, 5]])
+    net = WindowNetwork(v, hidden=6)
+    rng = np.random.default_rng(2)
+    for k in ("group", "word"):
+        net.p[k] = rng.normal(0, 0.5, net.p[k].shape).astype(np.float32)
+    context, target = np.array([[0, 12], [1, 12], [2, 4], [3, 5]]), np.array([7, 2])
     total = sum(np.exp(net.log_likelihood(context, np.full(2, t))) for t in range(12))
     assert np.allclose(total, 1, atol=1e-4)
     before = {k: x.copy() for k, x in net.p.items()}
-    class Plain(dict):
-        def __missing__(self, key):
-            return np.zeros_like(net.p[key])
-    grads = {}
-    net._update = lambda name, g, speed, seen, at=slice(None): grads.setdefault(name, []).append((at, g))
-    net.step(context, np.array([7, 2]), 1.0, Plain())
-    net.p = {k: x.astype(np.float64) for k, x in before.items()}
-    loss = lambda: -net.log_likelihood(context, np.array([7, 2])).mean()
-    for name, index in (("mix", (3, 2)), ("group", (1, 2)), ("embed", (12, 1)), ("embed", (2, 0)), ("group_bias", (1,)), ("mix_bias", (0,))):
-        keep = net.p[name][index]
-        net.p[name][index] = keep + 1e-4
+    loss = lambda: -np.mean([slow_log_p(net, c, t) for c, t in zip(context.T, target, strict=True)])
+    assert abs(loss() + net.log_likelihood(context, target).mean()) < 1e-4
+    slopes = {}
+    for name, index in (("context", (0, 0, 2)), ("context", (1, 12, 1)), ("context", (3, 5, 0)), ("bias", (3,)), ("group", (1, 2)), ("group_bias", (1,)), ("word", (1, 2, 3)), ("word_bias", (0, 2))):
+        net.p = {k: x.astype(np.float64) for k, x in before.items()}
+        net.p[name][index] += 1e-4
         up = loss()
-        net.p[name][index] = keep - 1e-4
-        down = loss()
-        net.p[name][index] = keep
-        full = np.zeros_like(net.p[name])
-        for at, g in grads[name]:
-            full[at] += g
-        assert abs((up - down) / 2e-4 - full[index]) < 2e-3, name
+        net.p[name][index] -= 2e-4
+        slopes[name, index] = (up - loss()) / 2e-4
+    net.p = {k: x.copy() for k, x in before.items()}
+    seen = {k: np.zeros_like(x) for k, x in net.p.items()}
+    net.step(context, target, 0.1, seen)
+    for (name, index), slope in slopes.items():
+        assert abs(np.sqrt(seen[name][index]) - abs(slope)) < 1e-3, name
+        assert abs(slope) < 1e-3 or np.sign(before[name][index] - net.p[name][index]) == np.sign(slope), name
 
 
-def test_scores_cover_whole_texts_and_learn_order(spark):
+def test_scores_equal_brute_force_cover_whole_texts_and_learn_order(spark):
     rnd = random.Random(9)
-    text = lambda: " ".join(rnd.choice(["red fox runs fast", "blue bird sings loud", "old tree stands still"]) for _ in range(60))
-    df = spark.createDataFrame([(k, text(), 3) for k in range(150)] + [(900, None, 1), (901, "", 1), (902, "12 ..", 1)], "doc_id long, text string, pll int").repartition(3).cache()
+    text = lambda n=60: " ".join(rnd.choice(["red fox runs fast", "blue bird sings loud", "old tree stands still"]) for _ in range(n))
+    df = spark.createDataFrame([(k, text(), 3) for k in range(150)] + [(900, None, 1), (901, "", 1), (902, "12 ..", 1), (903, text(9000), 1), (904, "same words", 1), (904, "same words", 1)], "doc_id long, text string, pll int").repartition(3).cache()
     v = count_words(df, groups=4, per_group=16, bins=16)
-    net = fit_network(df, v, rate=0.5, batch=64, rounds=3)
-    rows = {r.doc_id: r for r in with_pseudo_likelihood(df, net, v).collect()}
-    assert rows[0].n_tokens == 240 and (rows[900].n_tokens, rows[900].pll, rows[901].pll_per_token, rows[902].n_tokens) == (0, 0.0, 0.0, 0)
+    tokens = with_tokens(df, v)
+    net = fit_network(tokens, v, batch=64, rounds=2, per_copy=20_000, fan_in=2)
+    scored = with_pseudo_likelihood(df, net, v).collect()
+    rows = {r.doc_id: r for r in scored}
+    assert len(scored) == 156 and rows[0].n_tokens == 240 and (rows[900].n_tokens, rows[900].pll, rows[901].pll_per_token, rows[902].n_tokens) == (0, 0.0, 0.0, 0)
+    assert rows[903].n_tokens == 36_000 and len({r.pll for r in scored if r.doc_id == 904}) == 1
+    numbers = v.numbers()
+    for r in (rows[0], rows[77], rows[904]):
+        row = [v.padding] * 2 + numbers.tokens(r.text).tolist() + [v.padding] * 2
+        want = sum(slow_log_p(net, [row[i - 2], row[i - 1], row[i + 1], row[i + 2]], row[i]) for i in range(2, len(row) - 2))
+        assert abs(want - r.pll) < 1e-4 * r.n_tokens
+    from_tokens = {r.doc_id: r.pll for r in with_pseudo_likelihood(tokens, net, v, tokens_col="tokens").collect()}
+    assert all(abs(from_tokens[k] - rows[k].pll) < 1e-4 * max(1, rows[k].n_tokens) for k in rows)
     words = rows[0].text.split()
     rnd.shuffle(words)
-    own, mixed = _scores(net, net.scorer(), v, v.numbers(), [rows[0].text, " ".join(words)])
+    own, mixed = _scores(net, v, [numbers.tokens(t).tobytes() for t in (rows[0].text, " ".join(words))])
     assert own[1] > mixed[1] + 50
-    assert abs(_scores(net, net.scorer(), v, v.numbers(), [rows[0].text], slice_size=7)[0][1] - rows[0].pll) < 1e-5 * rows[0].n_tokens
     assert with_pseudo_likelihood(df.limit(0), net, v).collect() == []
-    assert count_words(df.limit(0), groups=2, per_group=8, bins=8).words == {}
+    assert count_words(df.limit(0), groups=2, per_group=8, bins=8).words == {} and score_corpus(df.limit(0)).collect() == []
+
+
+def test_trained_on_all_tokens_it_beats_the_unigram_of_the_same_tokens(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    v = count_words(docs)
+    rows = score_corpus(docs).agg({"pll": "sum", "n_tokens": "sum"}).first()
+    n = rows["sum(n_tokens)"]
+    assert n == v.counts.sum()
+    used = v.counts[v.counts > 0]
+    assert rows["sum(pll)"] / n > (used * np.log(used / n)).sum() / n + 0.3
 
 
 def test_bins_start_at_the_counts_of_the_words_in_them(spark):
@@ -235,9 +264,24 @@ def test_all_tokens_train_whatever_stands_between_them(spark):
     texts = [[rnd.choice(words) for _ in range(400)] for _ in range(10)]
     by = {sep: spark.createDataFrame([(sep.join(t),) for t in texts], "text string").coalesce(1) for sep in " \t\n"}
     v = count_words(by[" "], groups=8, per_group=48, bins=16)
-    nets = {sep: fit_network(df, v) for sep, df in by.items()}
+    nets = {sep: fit_network(with_tokens(df, v), v, batch=256) for sep, df in by.items()}
     known = len(v.words)
-    assert known >= 290 and (nets[" "].p["embed"][:known] != WindowNetwork(v).p["embed"][:known]).any(axis=1).all()
+    changed = nets[" "].p["context"] != WindowNetwork(v).p["context"]
+    assert known >= 290 and changed[:, :known].any(axis=2).all()
     assert all(np.array_equal(nets[" "].p[k], nets[sep].p[k]) for sep in "\t\n" for k in nets[" "].p)
-    a, b = (fit_network(by[sep], v, rate=0.5) for sep in " \t")
-    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+
+
+def test_copies_are_averaged_as_a_tree_by_what_each_has_seen(spark):
+    v = Vocabulary({"a": 0}, np.arange(1.0, 13.0), 3, 4)
+    rng = np.random.default_rng(4)
+    width, rows, head = sum(x.size for x in WindowNetwork(v, hidden=2).p.values()), 13, 4 * 13 * 2
+    copies = [(n, rng.integers(0, 9, rows).astype(np.float32), rng.normal(size=width).astype(np.float32)) for n in (5, 1, 7, 3)]
+    pack = lambda c: (c[0], c[1].tobytes(), c[2].tobytes())
+    n, counts, flat = _averaged(map(pack, copies), rows, width, head, 4)
+    flat = np.frombuffer(flat, np.float32)
+    assert n == 16 and np.allclose(flat[head:], sum(c[0] * c[2][head:] for c in copies) / 16, atol=1e-5)
+    weight = np.stack([c[1] + 1e-3 for c in copies])
+    want = sum((c[2][:head].reshape(4, rows, 2) * w[None, :, None]) for c, w in zip(copies, weight, strict=True)) / weight.sum(axis=0)[None, :, None]
+    assert np.allclose(flat[:head], want.reshape(-1), atol=1e-4)
+    halves = [_averaged(map(pack, part), rows, width, head, 4) for part in (copies[:2], copies[2:])]
+    assert np.allclose(np.frombuffer(_averaged(halves, rows, width, head, 4)[2], np.float32), flat, atol=2e-3)

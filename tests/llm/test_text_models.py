@@ -1,14 +1,20 @@
 import random
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from granary.llm import queries
 from granary.llm.bpe import BpeCodec, decode_documents, encode_documents, load
+from granary.llm.common import held_out
 from granary.llm.language_id import UNKNOWN, LanguageModel, Predictor, fit_languages, parts, with_language
 from granary.llm.toxicity import ToxicityModel, fit_toxicity, maximal_segments, with_toxicity
 
+SF = "/root/testdata/sf0.001"
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = [
     "", "aaaaaaaaa", "Hello  World's <|endoftext|>x<|startoftext|> İΣΑΣ fooÉ é 12 x\x1cy\x85z", "日本語テスト", "a" * 5001, "ab" * 3000, "don't I'LL we've '''s", "①②½ ﬁ", "<|EndOfText|>", "\x00\x01", "ẞ ß", "...!!!???",
@@ -24,7 +30,7 @@ def library():
 def test_codec_encodes_and_decodes_as_the_library_does(library):
     rnd = random.Random(5)
     texts = ODD + ["".join(rnd.choice("abcdeé ßñ.,'!0123\n\tABC") for _ in range(rnd.randint(1, 200))) for _ in range(300)]
-    codec = BpeCodec(load(PATH), most=500)
+    codec = BpeCodec(load(PATH), most=50_000)
     ids = codec.encode(texts, together=2000)
     for text, own, theirs in zip(texts, ids, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert own.tolist() == theirs.ids, text[:80]
@@ -37,6 +43,10 @@ def test_bpe_keeps_rows_and_columns(spark, library):
     assert len(rows) == df.count() and all(r.ids == library.encode(r.text or "", add_special_tokens=False).ids for r in rows)
     assert all(r.decoded == library.decode(r.ids, skip_special_tokens=False) for r in rows)
     assert encode_documents(df.limit(0), PATH).collect() == []
+    packed = encode_documents(df, PATH, ids_col="packed", decoded_col="_text", packed=True, keep=["doc_id"]).collect()
+    plain = {r.doc_id: r for r in rows}
+    assert all(np.frombuffer(r.packed, "<u4").tolist() == plain[r.doc_id].ids and r["_text"] == plain[r.doc_id].decoded for r in packed)
+    assert packed[0].__fields__ == ["doc_id", "packed", "_text"]
 
 
 TRAIN = [("en", "the cat and the dog that ran"), ("en", "this and that of the house"), ("fr", "le chat et la maison des amis"), ("fr", "une petite maison avec les chats")]
@@ -60,19 +70,54 @@ def test_a_rare_language_stays_beside_a_frequent_one(spark):
     hot = [word("abcdefgh") for _ in range(400)]
     rows = [(k, " ".join(rnd.choice(hot) for _ in range(30)), "hot") for k in range(600)] + [(1000, "qrstu vwxyz qxyzu", "rare"), (1001, "rstuv", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
-    for how in ({"max_words": 40}, {"max_docs": 20}, {"max_docs": 20, "max_words": 40}):
+    for how in ({}, {"max_docs": 20}):
         model = fit_languages(df, **how)
-        assert model.langs == ["hot", "rare"] and len(model.words) <= how.get("max_words", 1000)
+        assert model.langs == ["hot", "rare"]
         assert Predictor(model).predict("vwxyz qrstu")[0] == "rare" and Predictor(model).predict(rows[0][1])[0] == "hot"
     assert parts({"a": 1, "b": 50, "c": 7}, 20) == {"a": 1, "b": 12, "c": 7} and parts({"a": 3}, 20) == {"a": 3}
 
 
 def test_unseen_words_fall_back_to_the_longest_known_grams():
     model = LanguageModel.fit([("a", "abcde", 5), ("b", "xyz", 5)])
-    assert model.score("abcd").argmax() == 0 and model.score("xyzz").argmax() == 1
+    assert model.scores(["abcd", "xyzz"]).argmax(axis=1).tolist() == [0, 1]
     assert Predictor(model, most=2).predict("abcd xyzq abce abcf")[0] == "a"
 
 
+def slow_language(model, text):
+    """A text's language word by word, without any table of words met."""
+    import re
+
+    total, n = np.zeros(len(model.langs)), 0
+    for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        if w in model.words:
+            total += model.logs[model.words[w]]
+        else:
+            marked, at, found = f"<{w}>", 0, []
+            while at < len(marked):
+                size = next((s for s in (5, 4, 3, 2, 1) if at + s <= len(marked) and marked[at : at + s] in model.grams), 0)
+                if size:
+                    found.append(model.logs[model.grams[marked[at : at + size]]])
+                at += size or 1
+            if found:
+                total += np.mean(found, axis=0)
+        n += any(c.isalpha() for c in w)
+    if not n:
+        return UNKNOWN, 0.0
+    x = np.exp((total - total.max()) / np.sqrt(n))
+    return model.langs[int(np.argmax(total))], float(x.max() / x.sum())
+
+
+def test_query_op3_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = fit_languages(docs.filter(~held_out(F.col("doc_id"))))
+    want = {r.doc_id: slow_language(model, r.text) for r in docs.collect()}
+    rows = queries.QUERIES["op3_language_id"](spark, SF).collect()
+    assert len(rows) == len(want) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    assert all(r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3 for r in rows)
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in rows if r.held_out and lang[r.doc_id]]) > 0.95
+
+
 def slow_segments(scores, offset=0):
     """The best segment, shortest first among equals, then the same to its left and right."""
     best = max(((sum(scores[i:j]), i - j, -i) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0))
@@ -84,12 +129,35 @@ def slow_segments(scores, offset=0):
 
 def test_maximal_segments_equal_the_recursive_definition():
     rnd = random.Random(6)
-    for _ in range(300):
-        scores = [rnd.uniform(-3, 3) for _ in range(rnd.randint(0, 14))]
+    for k in range(400):
+        scores = [rnd.uniform(-3, 3) for _ in range(rnd.randint(0, 14 if k % 4 else 40))]
         got, want = maximal_segments(scores), slow_segments(scores)
         assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want]), scores
 
 
+def test_segment_search_takes_time_in_proportion_to_the_text():
+    for unit in ([1.0, -2.0], [2.0, -1.0], [1.0, -1.5, 2.0, -3.0]):
+        began = time.process_time()
+        maximal_segments(unit * 500_000)
+        assert time.process_time() - began < 5
+
+
+def test_query_op9_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    m = fit_toxicity(docs, labels.filter(~held_out(F.col("doc_id"))))
+    rows = {r.doc_id: r for r in queries.QUERIES["op9_toxicity"](spark, SF).collect()}
+    short = [r for r in docs.collect() if len(r.text or "") < 1200]
+    assert len(rows) == docs.count() and len(short) > 50
+    for r in short:
+        x = m.tokens(r.text)
+        bits = [m.rate * s - m.log_k - np.log(len(x)) for _, _, s in slow_segments(x.tolist())]
+        real = [b for b in bits if b > 0]
+        a, b, c = m.curve
+        want = 1 / (1 + np.exp(-(a + b * np.log1p(max(real, default=0)) + c * np.log1p(sum(real)))))
+        assert abs(rows[r.doc_id].score - want) < 1e-6 and rows[r.doc_id].predicted == int(want >= 0.5)
+
+
 def test_stretches_between_scoring_tokens_give_the_same_segments():
     rnd = random.Random(7)
     m = ToxicityModel(rate=1.0)
