@@ -340,6 +340,6 @@ ORIENTATION_STATUS = lambda bad, share, rint: case(("n_observable = 0", "'insuff
 POSTURE_TREND = case(("n_posture = 0", "'not_computed'"), ("n_close >= greatest(2, floor(n_windows / 2))", "'frequent_close_to_screen'"), default="'mostly_visible_not_close'")
 
 # labels
-RISK_LABELS = ("none", "mild", "moderate", "high", "insufficient_evidence")
-LABEL_OF = case(("quality = 1 AND toxic = 0", "'none'"), ("quality = 0 AND toxic = 0", "'mild'"), ("quality = 1 AND toxic = 1", "'moderate'"), ("quality = 0 AND toxic = 1", "'high'"))
+RISK_LABELS = ("no_observed_risk", "mild_risk", "moderate_risk", "high_risk", "insufficient_evidence")
+LABEL_OF = case(("quality = 1 AND toxic = 0", "'no_observed_risk'"), ("quality = 0 AND toxic = 0", "'mild_risk'"), ("quality = 1 AND toxic = 1", "'moderate_risk'"), ("quality = 0 AND toxic = 1", "'high_risk'"))
 ROUND3, ROUND4 = (lambda x, rint=SPARK_RINT: py_round(x, 3, rint)), (lambda x, rint=SPARK_RINT: py_round(x, 4, rint))

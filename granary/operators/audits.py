@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.core import rules
 from granary.core.numbers import py_round
+from granary.core.ranks import at_ranks
 
 #: Names and patterns of text that must not be published, and flags that must be false.
 BLOCKED = {
@@ -21,16 +22,15 @@ MUST_BE_FALSE = (
 )
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """Of a sorted array, the element at the rounded index (n - 1) * share."""
-    return F.get(values, F.rint((F.size(values) - 1) * F.lit(share)).cast("int"))
-
-
 def descriptive(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Count, least, quartiles, ninth decile, greatest and mean; quantiles are elements at the nearest index."""
-    df = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"), F.expr(py_round(f"avg({value})", 3)).alias("mean"), F.expr(py_round(f"percentile({value}, 0.5)", 3)).alias("median"))
-    v = F.col("_v")
-    return df.select(*keys, F.size(v).cast("long").alias("n"), F.get(v, F.lit(0)).alias("least"), *[nearest_rank(v, p).alias(n) for n, p in (("p25", 0.25), ("p75", 0.75), ("p90", 0.9))], F.get(v, F.size(v) - 1).alias("most"), "median", "mean")
+    """Count, least, quartiles, ninth decile, greatest, median and mean; quantiles are elements at the nearest index."""
+    df = df.filter(F.col(value).isNotNull())
+    last = F.col("total") - 1
+    nearest = lambda share: F.rint(last * F.lit(share)).cast("long")
+    places = {"least": F.lit(0), "p25": nearest(0.25), "p75": nearest(0.75), "p90": nearest(0.9), "most": last, "_low": F.floor(last / 2), "_high": F.ceil(last / 2)}
+    found = at_ranks(df, keys, value, places).withColumn("_middle", (F.col("_low") + F.col("_high")) / 2).withColumn("median", F.expr(py_round("_middle", 3)))
+    means = df.groupBy(*keys).agg(F.expr(py_round(f"avg({value})", 3)).alias("mean"))
+    return found.join(means, keys).select(*keys, "n", "least", "p25", "p75", "p90", "most", "median", "mean")
 
 
 def heart_rate(payloads: DataFrame) -> DataFrame:

@@ -63,12 +63,16 @@ def unpivoted(rows: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
 
 
 def crosstab(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """For each field and value: rows, valid predictions, accuracy and the first ten sample ids."""
+    """For each field and value: rows, valid predictions, accuracy and the first ten sample ids.
+
+    Counts are combined before they are shuffled; of ids each task passes on ten for a value at most.
+    """
     long = unpivoted(rows, fields, ["sample_id", "target", "predicted"])
-    ok = F.col("target").isin(LEVELS) & F.col("predicted").isin(LEVELS)
-    nth = F.row_number().over(Window.partitionBy("field", "value").orderBy("sample_id"))
-    df = long.withColumn("_ok", F.coalesce(ok, F.lit(False))).withColumn("_nth", nth)
-    df = df.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if("_ok").alias("n_valid"), F.count_if(F.col("_ok") & (F.col("target") == F.col("predicted"))).alias("n_right"), F.array_sort(F.collect_list(F.when(F.col("_nth") <= 10, F.col("sample_id")))).alias("_ids"))
+    ok = F.coalesce(F.col("target").isin(LEVELS) & F.col("predicted").isin(LEVELS), F.lit(False))
+    counts = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_valid"), F.count_if(ok & (F.col("target") == F.col("predicted"))).alias("n_right"))
+    first = long.select("field", "value", "sample_id").withColumn("_nth", F.row_number().over(Window.partitionBy("field", "value").orderBy("sample_id"))).filter("_nth <= 10")
+    ids = first.groupBy("field", "value").agg(F.array_sort(F.collect_list("sample_id")).alias("_ids"))
+    df = counts.join(ids, ["field", "value"])
     return df.select("field", "value", "n", "n_valid", F.when(F.col("n_valid") > 0, F.expr(py_round("n_right / nullif(n_valid, 0)", 4))).alias("accuracy"), F.array_join("_ids", ";").alias("preview"))
 
 
@@ -106,10 +110,10 @@ def discordance(rows: DataFrame) -> DataFrame:
     """Samples whose label and video evidence disagree, with the sorted names of the rules."""
     found = F.array_compact(
         F.array(
-            F.when((F.col("label") == "none") & (F.col("trace_score") >= 4), "no_label_but_trace_score_moderate_or_high"),
-            F.when((F.col("label") == "none") & ((F.col("p_active") >= 4) | (F.col("p_direct") >= 3) | (F.col("p_repetitive") >= 3)), "no_label_but_active_or_repetitive_video_signal"),
-            F.when(F.col("label").isin("moderate", "high") & (F.col("trace_score") <= 1), "risk_label_but_trace_score_low"),
-            F.when(F.col("label").isin("moderate", "high") & (F.col("p_active") == 0) & (F.col("p_repetitive") == 0) & (F.col("p_stable") < 20), "risk_label_but_low_video_behavior_signal"),
+            F.when((F.col("label") == "no_observed_risk") & (F.col("trace_score") >= 4), "no_label_but_trace_score_moderate_or_high"),
+            F.when((F.col("label") == "no_observed_risk") & ((F.col("p_active") >= 4) | (F.col("p_direct") >= 3) | (F.col("p_repetitive") >= 3)), "no_label_but_active_or_repetitive_video_signal"),
+            F.when(F.col("label").isin("moderate_risk", "high_risk") & (F.col("trace_score") <= 1), "risk_label_but_trace_score_low"),
+            F.when(F.col("label").isin("moderate_risk", "high_risk") & (F.col("p_active") == 0) & (F.col("p_repetitive") == 0) & (F.col("p_stable") < 20), "risk_label_but_low_video_behavior_signal"),
         )
     )
     return rows.withColumn("flags", F.array_join(found, ";")).filter("flags <> ''")
@@ -117,9 +121,13 @@ def discordance(rows: DataFrame) -> DataFrame:
 
 def salvaged_json(df: DataFrame, column: str = "response") -> DataFrame:
     """df with level and problem of a model's answer: fenced or surrounded JSON objects are found, all else is an error."""
-    bare = F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"(?s)^\s*```[a-z]*\s*|\s*```\s*$", ""))
-    body = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    bare = F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"^\s+|\s+$", ""))
+    bare = F.when(bare.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(bare, r"^```(?:json)?\s*", ""), r"\s*```$", ""))).otherwise(bare)
+    whole = F.try_parse_json(bare).isNotNull()
+    body = F.when(whole, bare).otherwise(F.regexp_extract(bare, r"(?s)\{.*\}", 0))
     level = F.get_json_object(body, "$.risk_level")
-    parsed = F.get_json_object(body, "$")
-    problem = F.when(bare == "", "empty_response").when(body == "", "no_json_object").when(parsed.isNull(), "invalid_json").when(level.isNull() | ~level.isin(LEVELS), "invalid_risk_level")
+    problem = (
+        F.when(body == "", "no_json_object_found").when(F.try_parse_json(body).isNull(), "json_decode_error").when(~body.startswith("{"), "json_response_not_object")
+        .when(~F.coalesce(level.isin(LEVELS), F.lit(False)), F.concat(F.lit("invalid_risk_level:"), F.coalesce(level, F.lit("None"))))
+    )
     return df.withColumns({"level": level, "problem": problem})

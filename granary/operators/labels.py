@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed: a segment name begins after a slash, backslash or white space.
 TOKEN = r"([^/\\\s]+_VID_\d{4}_\d{2}_\d{2}_\d{2}_\d{2}_\d{2}_\d+)"
 
 
+def risk_level(concern: Column, grade: Column) -> Column:
+    """Risk label of a row of the label sheet from whether there is concern and its grade (fixed values of the sheet)."""
+    concern, grade = (F.regexp_replace(c, r"^\s+|\s+$", "") for c in (concern, grade))
+    graded = {"轻度": "mild_risk", "中度": "moderate_risk", "重度": "high_risk"}
+    out = F.when(concern == "否", "no_observed_risk")
+    for k, v in graded.items():
+        out = out.when((concern == "是") & (grade == k), v)
+    return out.otherwise("insufficient_evidence")
+
+
 def token_index(sheet: DataFrame, columns: list[str], row: str = "row_index") -> DataFrame:
     """Rows (token, row_index): the distinct segment names anywhere in the path-like columns of a label row."""
     searched = F.concat_ws(" ", *columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.core.ranks import numbered
+
 SEGMENT = r"^([^_]+)_VID_(\d{4})_(\d{2})_(\d{2})_(\d{2})_(\d{2})_(\d{2})_(\d+)$"
 MODALITIES = ("video", "usage", "heart", "questionnaire")
 
@@ -23,9 +25,9 @@ def parse_segments(df: DataFrame, name: str = "name") -> DataFrame:
 def with_uids(df: DataFrame, scan: str = "name") -> DataFrame:
     """person_uid by rank of raw id, session_uid by first appearance in the person's scan, clip_uid by place in it.
 
-    The dense number of persons comes from their distinct ids alone, one narrow row each.
+    The dense number of persons comes from their distinct ids alone, ordered in ranges.
     """
-    people = df.select("person_raw").distinct().withColumn("person_uid", F.format_string("internal_p%06d", F.row_number().over(Window.orderBy("person_raw"))))
+    people = numbered(df.select("person_raw").filter("person_raw IS NOT NULL").distinct(), "person_raw", "_nth").select("person_raw", F.format_string("internal_p%06d", "_nth").alias("person_uid"))
     df = df.join(people, "person_raw")
     person = Window.partitionBy("person_raw")
     first = F.min(scan).over(Window.partitionBy("person_raw", "session_key"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,22 +98,45 @@ def messages(column: str = "evidence") -> Column:
 
 def offline_answer(text: str) -> str:
     """A deterministic stand-in for a model: reads the interaction intensity out of the text."""
-    level = "moderate" if '"interaction_intensity":"high"' in text else "mild" if '"interaction_intensity":"elevated"' in text else "none"
+    level = "moderate_risk" if '"interaction_intensity":"high"' in text else "mild_risk" if '"interaction_intensity":"elevated"' in text else "no_observed_risk"
     return '{"risk_level": "%s", "confidence": "low"}' % level
 
 
-def scored(df: DataFrame, messages_col: str = "messages", answer: Callable[[str], str] = offline_answer) -> DataFrame:
-    """df with response and error of a scorer, called batch by batch; a scorer's exception becomes an error text."""
+#: Fixed: parts of error texts after which a call is worth another try.
+RETRYABLE = ("http 429", "rate limit", "connection reset", "remote end closed connection", "timed out", "timeout", "temporarily unavailable", "connection aborted")
 
-    def one(text: str) -> tuple[str | None, str | None]:
+
+def retryable(error: Exception) -> bool:
+    return any(part in str(error).lower() for part in RETRYABLE)
+
+
+def budget_parameter(model: str, asked: str = "auto") -> str:
+    """The name under which a model takes its token budget."""
+    if asked != "auto":
+        return asked
+    return "max_completion_tokens" if "gpt-5" in model.lower() or re.search(r"(^|[/_-])o[134](?:-|$)", model.lower()) else "max_tokens"
+
+
+def answered(text: str, answer: Callable[[str], str], max_retries: int, wait: float, sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None, int]:
+    """Response, error and attempts of one call; after the k-th retryable failure k times `wait` seconds pass."""
+    for attempt in range(1, max_retries + 2):
         try:
-            return answer(text), None
+            return answer(text), None, attempt
         except Exception as e:
-            return None, f"{type(e).__name__}: {e}"
+            if attempt > max_retries or not retryable(e):
+                return None, str(e), attempt
+            sleep(wait * attempt)
+    raise AssertionError
+
+
+def scored(df: DataFrame, messages_col: str = "messages", answer: Callable[[str], str] = offline_answer, max_retries: int = 2, wait: float = 2.0, at_once: int = 8) -> DataFrame:
+    """df with response, error and attempts of a scorer, `at_once` calls of a batch side by side; errors that pass are
+    tried again."""
 
-    @F.pandas_udf("response string, error string")
+    @F.pandas_udf("response string, error string, attempts int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["response", "error"])
+        with ThreadPoolExecutor(at_once) as pool:
+            for texts in batches:
+                yield pd.DataFrame(list(pool.map(lambda t: answered(t, answer, max_retries, wait), texts)), columns=["response", "error", "attempts"])
 
-    return df.withColumn("_a", run(F.element_at(messages_col, -1)["content"])).select(*df.columns, "_a.response", "_a.error")
+    return df.withColumn("_a", run(F.element_at(messages_col, -1)["content"])).select(*df.columns, "_a.response", "_a.error", "_a.attempts")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.core import rules as r
 from granary.core.numbers import ORACLE_RINT, py_round, safe_ratio
+from granary.operators import narratives
 from granary.operators import temporal as t
 from granary.operators import windows as w
 from granary.sources.events import VISIBILITY, active_frames, legacy_frames
@@ -178,6 +179,19 @@ CTES |= {
 }
 
 
+_s = {k: "'" + v.replace("'", "''") + "'" for k, v in narratives.SENTENCES.items()}
+_pick = lambda column, table: f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items() if k) + f" ELSE '{table['']}' END"
+_swift = "trigger IN ('device_interaction_evidence', 'device_region_motion_proxy') AND motion_pattern"
+CTES |= {
+    "en0": "SELECT xv0.person, xv0.window_order, trigger, status, motion_pattern, device_level, posture_state, global_level, local_level, local_bursts, gaze, mesh_level, eye_level, blink, n_codes, global_level IN ('elevated', 'high') AS broad, device_level IN ('medium', 'high', 'very_high') AS seen FROM xv0 JOIN wv0 ON wv0.person = xv0.person AND wv0.window_order = xv0.window_order",
+    "en": f"SELECT person, window_order, trigger, CASE status WHEN 'detected' THEN CASE WHEN {_swift} = 'rapid_repetitive_local_motion' THEN {_s['detected_rapid']} ELSE {_s['detected']} END WHEN 'possible' THEN CASE WHEN {_swift} = 'rapid_repetitive_local_motion' THEN {_s['possible_rapid']} ELSE {_s['possible']} END "
+    f"ELSE CASE WHEN status = 'not_reliable' AND seen THEN CASE WHEN {_swift} = 'rapid_repetitive_local_motion' THEN {_s['region_rapid']} WHEN {_swift} = 'intermittent_local_motion' THEN {_s['region_intermittent']} ELSE {_s['region']} END ELSE CASE trigger WHEN 'stable_screen_context' THEN {_s['stable_screen_context']} WHEN 'sustained_screen_oriented_proxy' THEN {_s['sustained_screen_oriented_proxy']} WHEN 'motion_confounding' THEN {_s['motion_confounding']} WHEN 'quality_drop' THEN {_s['quality_drop']} ELSE {_s['no_interaction']} END END END AS interaction, "
+    f"CASE posture_state WHEN 'close_to_screen' THEN CASE WHEN broad THEN {_s['close_moving']} ELSE {_s['close']} END WHEN 'visible_not_close' THEN {_s['not_close']} ELSE {_s['no_posture']} END AS posture, CASE WHEN gaze THEN {_s['screen']} WHEN seen THEN {_s['screen_unsure']} ELSE {_s['no_screen']} END AS screen_orientation, "
+    f"CASE WHEN local_level = 'high' AND local_bursts >= 2 THEN CASE WHEN broad THEN {_s['motion_both']} ELSE {_s['motion_bursts']} END WHEN local_level IN ('elevated', 'high') THEN {_s['motion_local']} WHEN broad THEN {_s['motion_global']} ELSE {_s['no_motion']} END AS motion_context, "
+    f"CASE WHEN mesh_level = 'none' THEN {_s['no_face']} ELSE {_pick('eye_level', narratives.EYES)} || '; ' || {_pick('blink', narratives.BLINKS)} || '; ' || CASE WHEN n_codes > 0 THEN '{narratives.ACTIONS[0]}' ELSE '{narratives.ACTIONS[1]}' END || '.' END AS facial_cues FROM en0",
+}
+
+
 def sql(final: str) -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in CTES.items()) + "\n" + final
 
@@ -237,6 +251,7 @@ SPECS: dict[str, tuple] = {
     "events_v1_scores": (lambda s, d: w.event_scores(_v2(s, d)).withColumn("score", F.expr(py_round("score", 4))), f"person window_order trigger strength score={py_round('score', 4, R)}", "ys"),
     "events_v1_selected": (lambda s, d: w.events_v1(_v2(s, d)), "person window_order trigger strength event_id role", "xv1"),
     "events_v1_backfilled": (lambda s, d: w.events_v1(_v2(s, d), least=5), "person window_order trigger strength", "xb1"),
+    "event_narratives": (lambda s, d: narratives.event_narratives(w.events_v0(_v0(s, d)).select("person", "window_order", "trigger"), _v0(s, d)), "person window_order trigger interaction posture screen_orientation motion_context facial_cues", "en"),
     "interaction_summary_v1": (lambda s, d: w.interaction_summary(_v0(s, d), 1), "person n_confirmed n_possible n_region n_strong intensity repetition", "ia0"),
     "interaction_summary_v2": (lambda s, d: w.interaction_summary(_v2(s, d), 2), "person n_confirmed n_possible n_region n_strong intensity repetition", "ia2"),
     "motion_confounding": (lambda s, d: w.session_summary(_v2(s, d)), "person n_windows n_high n_active confounding", "se2"),

@@ -89,7 +89,7 @@ ORACLE = {
     "evidence_package": sql(
         f"SELECT {ALIAS.format('ts.person')} AS sample_id, 0::bigint AS n_errors, {ALIAS.format('ts.person')} AS session_id, {r.duration_minutes('(ts.n_windows * 300)')} AS duration_bin, {_nev('device_interaction_evidence').replace(chr(39) + 'device_interaction_evidence' + chr(39), 'trigger')} AS n_events, intensity, trajectory, session_state, {r.sufficiency('ts.n_windows', '(cast(ts.n_windows - n_limited as double) / ts.n_windows)')} AS sufficiency FROM ts JOIN ia2 ON ia2.person = ts.person"
     ),
-    "offline_scores": sql(f"SELECT {ALIAS.format('person')} AS sample_id, CASE intensity WHEN 'high' THEN 'moderate' WHEN 'elevated' THEN 'mild' ELSE 'none' END AS level, 2::bigint AS n_messages, NULL::varchar AS error FROM ia2"),
+    "offline_scores": sql(f"SELECT {ALIAS.format('person')} AS sample_id, CASE intensity WHEN 'high' THEN 'moderate_risk' WHEN 'elevated' THEN 'mild_risk' ELSE 'no_observed_risk' END AS level, 2::bigint AS n_messages, NULL::varchar AS error FROM ia2"),
     "payload_probe": """WITH p AS (SELECT event_id, props, event_id % 6 AS m, CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '[' || props || ',' || props || ']' WHEN 2 THEN '[]' WHEN 3 THEN '{broken' WHEN 4 THEN '""' END AS payload FROM events)
 SELECT event_id, CASE WHEN m = 5 THEN 'missing' WHEN m = 3 THEN 'invalid_json' ELSE 'ok' END AS status, CASE WHEN m = 0 THEN 'object' WHEN m IN (1, 2) THEN 'list' WHEN m = 4 THEN 'scalar' END AS kind, CASE WHEN m IN (1, 2) THEN json_array_length(CASE WHEN m IN (1, 2) THEN payload ELSE '[]' END)::bigint END AS records, CASE WHEN m = 0 THEN len(json_keys(props)) END AS fields,
   CASE m WHEN 0 THEN false WHEN 1 THEN false WHEN 2 THEN true WHEN 4 THEN true END AS empty, CASE WHEN m IN (0, 1) THEN array_to_string(list_sort(json_keys(props)), ',') ELSE '' END AS keys, CASE WHEN m IN (0, 1) THEN 1 ELSE 0 END::bigint AS n_sensitive, sha256(payload) AS sha256 FROM p""",

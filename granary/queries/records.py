@@ -14,7 +14,7 @@ from granary.sources.events import legacy_frames, ordered_events
 from granary.sources.records import clips, daily_payloads, label_sheet, prediction_log
 
 R = ORACLE_RINT
-LEVELS = "('none', 'mild', 'moderate', 'high', 'insufficient_evidence')"
+LEVELS = "('no_observed_risk', 'mild_risk', 'moderate_risk', 'high_risk', 'insufficient_evidence')"
 FIELDS = ["source", "lang", "length_bin"]
 
 PLANTED = "CASE page_id % 4 WHEN 0 THEN ' /home/u/x' WHEN 1 THEN ' 000001_VID_2024_05_06_07 1_VID_2024_05_06_07 clip_03.mp4 clip_4.mp4x' WHEN 2 THEN ' a.PNG b.jpg c.gif d.jpgx' ELSE ' see data/raw/x.json, metadata/y' END"
@@ -30,17 +30,17 @@ CTES = {
     "sg": "SELECT name, split_part(name, '_', 1) AS person_raw, left(name, length(name) - length(split_part(name, '_', -1)) - 1) AS session_key, concat_ws('-', split_part(name, '_', 3), split_part(name, '_', 4), split_part(name, '_', 5)) AS captured_on, concat_ws(':', split_part(name, '_', 6), split_part(name, '_', 7), split_part(name, '_', 8)) AS captured_at, split_part(name, '_', 9) AS clip_raw, split_part(name, '_', 9)::bigint AS clip_index FROM cl",
     "u0": "SELECT *, dense_rank() OVER (ORDER BY person_raw) AS p, min(name) OVER (PARTITION BY person_raw, session_key) AS f, row_number() OVER (PARTITION BY person_raw ORDER BY name) AS c FROM sg",
     "u1": "SELECT *, dense_rank() OVER (PARTITION BY person_raw ORDER BY f) AS s FROM u0",
-    "sh": "SELECT person * 1000 + clip * 3 + vote + 2 AS row_index, CASE WHEN person % 4 <> 0 THEN '/videos/' || name || '/clip.mp4' END AS video_path, CASE WHEN vote = 1 THEN concat_ws(' ', printf('archive/%06d_VID_2000_01_01_00_00_00_%03d', person, clip), CASE WHEN person % 4 <> 0 THEN name END) END AS plot_path, CASE WHEN person % 4 = 0 THEN person END AS participant, CASE (size_bytes + vote * n_frames) % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' ELSE 'high' END AS risk_level FROM cl, range(3) v(vote) WHERE clip % 2 = 0",
+    "sh": "SELECT person * 1000 + clip * 3 + vote + 2 AS row_index, CASE WHEN person % 4 <> 0 THEN '/videos/' || name || '/clip.mp4' END AS video_path, CASE WHEN vote = 1 THEN concat_ws(' ', printf('archive/%06d_VID_2000_01_01_00_00_00_%03d', person, clip), CASE WHEN person % 4 <> 0 THEN name END) END AS plot_path, CASE WHEN person % 4 = 0 THEN person END AS participant, CASE (size_bytes + vote * n_frames) % 4 WHEN 0 THEN 'no_observed_risk' WHEN 1 THEN 'mild_risk' WHEN 2 THEN 'moderate_risk' ELSE 'high_risk' END AS risk_level FROM cl, range(3) v(vote) WHERE clip % 2 = 0",
     "ti": "SELECT DISTINCT row_index, risk_level, unnest(regexp_extract_all(concat_ws(' ', video_path, plot_path), '([0-9A-Za-z]+_VID_\\d{4}_\\d{2}_\\d{2}_\\d{2}_\\d{2}_\\d{2}_\\d+)', 1)) AS token FROM sh",
     "ml": "SELECT person, clip, name, row_index, risk_level FROM cl LEFT JOIN ti ON name = token",
     "po": "SELECT DISTINCT person, row_index, risk_level, 'clip_matches' AS method FROM ml WHERE row_index IS NOT NULL",
     "pl": "SELECT * FROM po UNION ALL SELECT participant, row_index, risk_level, 'person_fallback' FROM sh WHERE participant IS NOT NULL AND participant NOT IN (SELECT person FROM po)",
     "mv": "SELECT person, method, risk_level, count(*) AS n FROM pl GROUP BY ALL",
     "mr": "SELECT *, row_number() OVER (PARTITION BY person ORDER BY n DESC, risk_level DESC) AS k, lead(n) OVER (PARTITION BY person ORDER BY n DESC, risk_level DESC) AS n2 FROM mv",
-    "pd": f"SELECT d.doc_id AS sample_id, d.doc_id * 3 + attempt AS seq, {r.LABEL_OF} AS target, (['none', 'mild', 'moderate', 'high', 'insufficient_evidence', 'severe'])[(n_chars + attempt * 7 + d.doc_id) % 6 + 1] AS predicted, CASE WHEN (d.doc_id + attempt) % 5 = 0 THEN 'timeout' END AS error, source, lang, {r.labels('n_chars', [('< 500', 'short'), ('< 2000', 'medium')], 'long')} AS length_bin FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id, range(3) a(attempt) WHERE attempt <= d.doc_id % 3",
+    "pd": f"SELECT d.doc_id AS sample_id, d.doc_id * 3 + attempt AS seq, {r.LABEL_OF} AS target, (['no_observed_risk', 'mild_risk', 'moderate_risk', 'high_risk', 'insufficient_evidence', 'severe'])[(n_chars + attempt * 7 + d.doc_id) % 6 + 1] AS predicted, CASE WHEN (d.doc_id + attempt) % 5 = 0 THEN 'timeout' END AS error, source, lang, {r.labels('n_chars', [('< 500', 'short'), ('< 2000', 'medium')], 'long')} AS length_bin FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id, range(3) a(attempt) WHERE attempt <= d.doc_id % 3",
     "lt": "SELECT * FROM pd QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY seq DESC) = 1",
     "vd": f"SELECT * FROM lt WHERE target IN {LEVELS} AND predicted IN {LEVELS}",
-    "lv": "SELECT unnest(['none', 'mild', 'moderate', 'high', 'insufficient_evidence']) AS label",
+    "lv": "SELECT unnest(['no_observed_risk', 'mild_risk', 'moderate_risk', 'high_risk', 'insufficient_evidence']) AS label",
     "cf": "SELECT a.label AS target, b.label AS predicted, count(v.sample_id) AS n FROM lv a CROSS JOIN lv b LEFT JOIN vd v ON v.target = a.label AND v.predicted = b.label GROUP BY ALL",
     "lm0": "SELECT label, (SELECT count(*) FROM vd WHERE target = label) AS support, (SELECT count(*) FROM vd WHERE target = label AND predicted = label) AS tp, (SELECT count(*) FROM vd WHERE predicted = label) AS called FROM lv",
     "lm1": "SELECT *, CASE WHEN called > 0 THEN tp / called ELSE 0 END AS p0, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r0 FROM lm0",
@@ -55,7 +55,7 @@ CTES = {
     "h1": "SELECT h0.*, CASE WHEN span <= 0 THEN 0 WHEN coalesce(m, span) > 100 THEN span / 1000 ELSE span END AS seconds FROM h0 LEFT JOIN hm USING (person)",
     "us": "SELECT person, count(*) AS n, sum(u) AS total, CASE WHEN sum(u) > 0 THEN max(u) / sum(u) END AS share FROM hr GROUP BY person",
     "oq": "SELECT row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c, event_type, value FROM events",
-    "jr": """SELECT conv_id, turn, role, CASE turn % 6 WHEN 0 THEN '{"risk_level": "mild", "turn": ' || turn || '}' WHEN 1 THEN '```json\n{"risk_level": "high"}\n```' WHEN 2 THEN 'Result: {"risk_level": "severe"} as asked' WHEN 3 THEN 'no object here' WHEN 4 THEN '' ELSE '{broken' END AS response FROM conversations""",
+    "jr": """SELECT conv_id, turn, role, CASE turn % 6 WHEN 0 THEN '{"risk_level": "mild_risk", "turn": ' || turn || '}' WHEN 1 THEN '```json\n{"risk_level": "high_risk"}\n```' WHEN 2 THEN 'Result: {"risk_level": "severe"} as asked' WHEN 3 THEN 'no object here' WHEN 4 THEN '' ELSE '{broken' END AS response FROM conversations""",
 }
 
 
@@ -159,6 +159,11 @@ def privacy_flags(s, d):
     return audits.flag_violations(df, "doc_id", ["has_path", "has_name", "has_image"])
 
 
+def risk_label_mapping(s, d):
+    said = label_table(s, d).select("doc_id", F.expr("CASE toxic WHEN 0 THEN ' 否' WHEN 1 THEN '是 ' END").alias("concern"), F.expr("CASE doc_id % 5 WHEN 0 THEN '轻度' WHEN 1 THEN '中度' WHEN 2 THEN ' 重度' WHEN 3 THEN '' END").alias("grade"))
+    return said.select("doc_id", labels.risk_level(F.col("concern"), F.col("grade")).alias("risk_level"))
+
+
 def session_pseudonym(s, d):
     return _clips(s, d).select("name", audits.pseudonym(F.lit("salt"), F.col("name")).alias("alias"))
 
@@ -170,7 +175,7 @@ def resume_antijoin(s, d):
 
 def alignment(s, d):
     df = trace_summary(legacy_frames(events(s, d)))
-    label = F.expr("CASE person % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' ELSE 'high' END")
+    label = F.expr("CASE person % 4 WHEN 0 THEN 'no_observed_risk' WHEN 1 THEN 'mild_risk' WHEN 2 THEN 'moderate_risk' ELSE 'high_risk' END")
     return df.withColumn("label", label)
 
 
@@ -190,7 +195,7 @@ def discordance(s, d):
 
 
 def json_salvage(s, d):
-    response = F.expr("CASE turn % 6 WHEN 0 THEN concat('{\"risk_level\": \"mild\", \"turn\": ', turn, '}') WHEN 1 THEN '```json\\n{\"risk_level\": \"high\"}\\n```' WHEN 2 THEN 'Result: {\"risk_level\": \"severe\"} as asked' WHEN 3 THEN 'no object here' WHEN 4 THEN '' ELSE '{broken' END")
+    response = F.expr("CASE turn % 6 WHEN 0 THEN concat('{\"risk_level\": \"mild_risk\", \"turn\": ', turn, '}') WHEN 1 THEN '```json\\n{\"risk_level\": \"high_risk\"}\\n```' WHEN 2 THEN 'Result: {\"risk_level\": \"severe\"} as asked' WHEN 3 THEN 'no object here' WHEN 4 THEN '' ELSE '{broken' END")
     return evaluation.salvaged_json(conversations(s, d).withColumn("response", response)).select("conv_id", "turn", "level", "problem")
 
 
@@ -228,7 +233,7 @@ QUERIES = {
     "segment_parse": segment_parse, "uid_assignment": uid_assignment, "person_rollup": person_rollup, "modality_completeness": lambda s, d: manifest.completeness(_clips(s, d)), "questionnaire_consistency": lambda s, d: manifest.questionnaire_consistency(_clips(s, d)),
     "data_quality": lambda s, d: manifest.data_quality(_clips(s, d)), "timeline_offsets": timeline, "relative_position": relative_position, "coverage_even_sample": coverage_even_sample, "frame_index_sample": frame_index_sample,
     "label_token_join": label_token_join, "label_majority": label_majority, "label_fallback": label_fallback, "clip_label_coverage": clip_label_coverage, "descriptive_stats": descriptive_stats, "heart_rate_audit": heart_rate_audit, "usage_audit": usage_audit,
-    "payload_reuse": lambda s, d: audits.payload_reuse(_clips(s, d), "questionnaire_sha"), "privacy_patterns": privacy_patterns, "privacy_flags": privacy_flags, "session_pseudonym": session_pseudonym,
+    "payload_reuse": lambda s, d: audits.payload_reuse(_clips(s, d), "questionnaire_sha"), "privacy_patterns": privacy_patterns, "privacy_flags": privacy_flags, "session_pseudonym": session_pseudonym, "risk_label_mapping": risk_label_mapping,
     "latest_prediction": lambda s, d: _latest(s, d).select("sample_id", "seq", "target", "predicted", "error"), "resume_antijoin": resume_antijoin, "confusion_dense": lambda s, d: evaluation.confusion(_latest(s, d)),
     "label_metrics": lambda s, d: evaluation.label_metrics(_latest(s, d)), "macro_f1": lambda s, d: evaluation.overall(_latest(s, d)).select("n_valid", "accuracy", "macro_f1"), "majority_baseline": lambda s, d: evaluation.overall(_latest(s, d)).select("n_valid", "majority_accuracy", "gain"),
     "feature_crosstab": lambda s, d: evaluation.crosstab(_latest(s, d), FIELDS), "feature_distribution": lambda s, d: evaluation.distribution(_latest(s, d), FIELDS), "error_patterns": lambda s, d: evaluation.error_patterns(_latest(s, d), FIELDS),
@@ -237,9 +242,9 @@ QUERIES = {
 
 full = lambda m: f"coalesce(count_if({m}_available AND NOT coalesce({m}_empty, false)), 0)::bigint"
 EVEN = f"CASE WHEN n <= 12 THEN i ELSE {R.format('i * (n - 1) / 11.0::double')}::bigint END"
-ALIGN = {k: v for k, v in EVIDENCE.items()} | {"al": "SELECT *, CASE person % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' ELSE 'high' END AS label FROM tr"}
+ALIGN = {k: v for k, v in EVIDENCE.items()} | {"al": "SELECT *, CASE person % 4 WHEN 0 THEN 'no_observed_risk' WHEN 1 THEN 'mild_risk' WHEN 2 THEN 'moderate_risk' ELSE 'high_risk' END AS label FROM tr"}
 ALIGN |= {"am0": " UNION ALL ".join(f"SELECT label, '{f}' AS feature, {f}::double AS v FROM al" for f in FEATURES), "am": f"SELECT label, feature, count(*) AS n, {py_round('avg(v)', 4, R)} AS mean, {py_round('min(v)', 4, R)} AS least, {py_round('max(v)', 4, R)} AS most FROM am0 GROUP BY label, feature"}
-ALIGN |= {"ad": "SELECT feature, mean - lag(mean) OVER (PARTITION BY feature ORDER BY list_position(['none', 'mild', 'moderate', 'high'], label)) AS step FROM am"}
+ALIGN |= {"ad": "SELECT feature, mean - lag(mean) OVER (PARTITION BY feature ORDER BY list_position(['no_observed_risk', 'mild_risk', 'moderate_risk', 'high_risk'], label)) AS step FROM am"}
 
 
 def _align(final: str) -> str:
@@ -273,6 +278,7 @@ ORACLE = {
     "payload_reuse": sql(f"SELECT {r.audit_count('n')} AS reuse, count(*) AS n_payloads, sum(n)::bigint AS n_rows FROM (SELECT questionnaire_sha, count(*) AS n FROM cl GROUP BY 1) GROUP BY 1"),
     "privacy_patterns": " UNION ALL ".join(f"SELECT page_id, '{k}' AS pattern, len(regexp_extract_all(concat(html, {PLANTED}), '{p}')) AS n FROM pages WHERE len(regexp_extract_all(concat(html, {PLANTED}), '{p}')) > 0" for k, p in LEAKS.items()),
     "privacy_flags": "SELECT doc_id, (doc_id % 5 = 0)::bigint + (doc_id % 3 = 0)::bigint AS n, concat_ws(';', CASE WHEN doc_id % 5 = 0 THEN 'has_name' END, CASE WHEN doc_id % 3 = 0 THEN 'has_path' END) AS violations FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 0",
+    "risk_label_mapping": "SELECT doc_id, CASE WHEN toxic = 0 THEN 'no_observed_risk' WHEN toxic = 1 AND doc_id % 5 = 0 THEN 'mild_risk' WHEN toxic = 1 AND doc_id % 5 = 1 THEN 'moderate_risk' WHEN toxic = 1 AND doc_id % 5 = 2 THEN 'high_risk' ELSE 'insufficient_evidence' END AS risk_level FROM labels",
     "session_pseudonym": sql("SELECT name, 'ANON_' || upper(left(sha256('salt:' || name), 10)) AS alias FROM cl"),
     "latest_prediction": sql("SELECT sample_id, seq, target, predicted, error FROM lt"),
     "resume_antijoin": sql(f"SELECT doc_id AS sample_id FROM documents WHERE doc_id NOT IN (SELECT sample_id FROM pd WHERE error IS NULL AND predicted IN {LEVELS})"),
@@ -285,8 +291,8 @@ ORACLE = {
     "error_patterns": sql(f"SELECT target || ' -> ' || predicted AS pattern, field, value, count(*) AS n, (SELECT count(*) FROM vd WHERE vd.target = fv.target AND vd.predicted = fv.predicted) AS n_errors FROM fv WHERE target IN {LEVELS} AND predicted IN {LEVELS} AND target <> predicted GROUP BY target, predicted, field, value"),
     "alignment_means": _align("SELECT * FROM am"),
     "alignment_direction": _align("SELECT feature, count(*) AS n_labels, CASE WHEN count(*) < 2 THEN 'insufficient_labels' WHEN bool_and(coalesce(step >= 0, true)) AND bool_and(coalesce(step <= 0, true)) THEN 'flat_or_tied' WHEN bool_and(coalesce(step >= 0, true)) THEN 'monotonic_increasing_with_label' WHEN bool_and(coalesce(step <= 0, true)) THEN 'monotonic_decreasing_with_label' ELSE 'mixed_or_non_monotonic' END AS direction FROM ad GROUP BY feature"),
-    "discordance": _align("SELECT * FROM (SELECT person, label, concat_ws(';', CASE WHEN label = 'none' AND trace_score >= 4 THEN 'no_label_but_trace_score_moderate_or_high' END, CASE WHEN label = 'none' AND (p_active >= 4 OR p_direct >= 3 OR p_repetitive >= 3) THEN 'no_label_but_active_or_repetitive_video_signal' END, CASE WHEN label IN ('moderate', 'high') AND trace_score <= 1 THEN 'risk_label_but_trace_score_low' END, CASE WHEN label IN ('moderate', 'high') AND p_active = 0 AND p_repetitive = 0 AND p_stable < 20 THEN 'risk_label_but_low_video_behavior_signal' END) AS flags FROM al) WHERE flags <> ''"),
-    "json_salvage": "SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'mild' WHEN 1 THEN 'high' WHEN 2 THEN 'severe' END AS level, CASE turn % 6 WHEN 2 THEN 'invalid_risk_level' WHEN 3 THEN 'no_json_object' WHEN 4 THEN 'empty_response' WHEN 5 THEN 'no_json_object' END AS problem FROM conversations",
+    "discordance": _align("SELECT * FROM (SELECT person, label, concat_ws(';', CASE WHEN label = 'no_observed_risk' AND trace_score >= 4 THEN 'no_label_but_trace_score_moderate_or_high' END, CASE WHEN label = 'no_observed_risk' AND (p_active >= 4 OR p_direct >= 3 OR p_repetitive >= 3) THEN 'no_label_but_active_or_repetitive_video_signal' END, CASE WHEN label IN ('moderate_risk', 'high_risk') AND trace_score <= 1 THEN 'risk_label_but_trace_score_low' END, CASE WHEN label IN ('moderate_risk', 'high_risk') AND p_active = 0 AND p_repetitive = 0 AND p_stable < 20 THEN 'risk_label_but_low_video_behavior_signal' END) AS flags FROM al) WHERE flags <> ''"),
+    "json_salvage": "SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'mild_risk' WHEN 1 THEN 'high_risk' WHEN 2 THEN 'severe' END AS level, CASE turn % 6 WHEN 2 THEN 'invalid_risk_level:severe' WHEN 3 THEN 'no_json_object_found' WHEN 4 THEN 'no_json_object_found' WHEN 5 THEN 'no_json_object_found' END AS problem FROM conversations",
     "chat_messages": "SELECT conv_id, count(*) AS n_messages, string_agg(role, '>' ORDER BY turn) AS roles, sum(length(text))::bigint AS n_chars FROM conversations GROUP BY conv_id",
     "merge_plan": sql("SELECT coalesce(a.name, b.name) AS path, a.size_bytes AS source_size, b.size AS target_size, CASE WHEN b.name IS NULL THEN 'add' WHEN a.name IS NULL THEN 'keep' WHEN a.size_bytes = b.size THEN 'duplicate' ELSE 'conflict' END AS action FROM (SELECT * FROM cl WHERE clip % 3 <> 0) a FULL JOIN (SELECT name, CASE WHEN person % 2 = 0 THEN size_bytes ELSE size_bytes + 1 END AS size FROM cl WHERE clip % 3 <> 1) b ON a.name = b.name"),
     "bins": sql(f"SELECT event_id, {', '.join(f'{f("(" + x + ")")} AS {k}' for k, (f, x) in BINS.items())}, {r.coarse_minutes('(value * 10)', R)} AS coarse, {r.motion_level('value', '100')} AS motion, {r.level_bin('value', '4.0', '12.0', '24.0')} AS level FROM ev"),

@@ -6,10 +6,13 @@ import io
 import re
 import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -124,15 +127,23 @@ CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"d
 
 def video_header(content: bytes) -> tuple[bool, float | None, int | None, int | None]:
     """Readable, seconds, width and height from the boxes of an MP4 file."""
+    return read_boxes(lambda at, n: content[at : at + n], len(content))
+
+
+def read_boxes(read: Callable[[int, int], bytes], length: int) -> tuple[bool, float | None, int | None, int | None]:
+    """The same from read(place, bytes), of which only the heads of boxes and the two header boxes are asked for."""
     seconds, width, height, seen = None, 0, 0, False
-    todo = [(0, len(content), 0)]
+    todo = [(0, length, 0)]
     while todo:
         at, end, depth = todo.pop()
         while at + 8 <= end:
-            size, kind = struct.unpack_from(">I4s", content, at)
+            top = read(at, 16)
+            if len(top) < 8:
+                break
+            size, kind = struct.unpack_from(">I4s", top, 0)
             head = 8
-            if size == 1 and at + 16 <= end:
-                size, head = struct.unpack_from(">Q", content, at + 8)[0], 16
+            if size == 1 and at + 16 <= end and len(top) == 16:
+                size, head = struct.unpack_from(">Q", top, 8)[0], 16
             elif size == 0:
                 size = end - at
             if size < head or at + size > end:
@@ -142,11 +153,13 @@ def video_header(content: bytes) -> tuple[bool, float | None, int | None, int |
             if kind in CONTAINERS and depth < 8:
                 todo.append((body, stop, depth + 1))
             elif kind == b"mvhd" and stop - body >= 20:
-                long = content[body] == 1
-                scale, units = struct.unpack_from(">IQ" if long else ">II", content, body + (20 if long else 12))
-                seconds = units / scale if scale else None
+                data = read(body, 32)
+                long = data[0] == 1
+                if len(data) >= (32 if long else 20):
+                    scale, units = struct.unpack_from(">IQ" if long else ">II", data, 20 if long else 12)
+                    seconds = units / scale if scale else None
             elif kind == b"tkhd" and stop - body >= 8:
-                w, h = (x >> 16 for x in struct.unpack_from(">II", content, stop - 8))
+                w, h = (x >> 16 for x in struct.unpack(">II", read(stop - 8, 8)))
                 if w * h > width * height:
                     width, height = w, h
             at = stop
@@ -154,12 +167,22 @@ def video_header(content: bytes) -> tuple[bool, float | None, int | None, int |
 
 
 def probe_videos(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, readable, seconds, width and height of video files; one task reads one file at a time."""
+    """path, length, readable, seconds, width and height of video files; of each only the heads of its boxes are read.
+
+    Files are opened by their URI (local, HDFS and object stores that pyarrow knows); one that cannot be is not readable.
+    """
+
+    def header(uri: str, length: int) -> tuple[bool, float | None, int | None, int | None]:
+        try:
+            store, name = pyarrow.fs.FileSystem.from_uri(uri if not uri.startswith("file:/") or uri.startswith("file://") else "file://" + uri[5:])
+            with store.open_input_file(name) as f:
+                return read_boxes(lambda at, n: (f.seek(at), f.read(n))[1], length)
+        except (OSError, pyarrow.ArrowException):
+            return False, None, None, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, n, content in zip(b["path"], b["length"], b["content"], strict=True):
-                yield pd.DataFrame([(p, n, *video_header(content))], columns=["path", "length", "readable", "seconds", "width", "height"])
+            yield pd.DataFrame([(p, n, *header(unquote(p), n)) for p, n in zip(b["path"], b["length"], strict=True)], columns=["path", "length", "readable", "seconds", "width", "height"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mp4").load(path)
-    return files.select("path", "length", "content").mapInPandas(run, "path string, length long, readable boolean, seconds double, width int, height int")
+    return files.select("path", "length").mapInPandas(run, "path string, length long, readable boolean, seconds double, width int, height int")

@@ -26,7 +26,7 @@ def label_sheet(events: DataFrame) -> DataFrame:
     """Annotator rows: most name a clip in one of two columns, some a second clip, every fourth a person only."""
     df = clips(events).filter("clip % 2 = 0")
     other = F.format_string("archive/%06d_VID_2000_01_01_00_00_00_%03d", F.col("person"), F.col("clip"))
-    level = F.expr("CASE k4 WHEN 0 THEN 'none' WHEN 1 THEN 'mild' WHEN 2 THEN 'moderate' ELSE 'high' END")
+    level = F.expr("CASE k4 WHEN 0 THEN 'no_observed_risk' WHEN 1 THEN 'mild_risk' WHEN 2 THEN 'moderate_risk' ELSE 'high_risk' END")
     df = df.withColumn("vote", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("k4", (F.col("size_bytes") + F.col("vote") * F.col("n_frames")) % 4)
     by_person = F.col("person") % 4 == 0
     return df.select(

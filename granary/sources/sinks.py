@@ -35,7 +35,9 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A report of few rows as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A report of few rows as a Markdown table; more than `most` rows are refused."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the table has more than {most} rows")
     line = lambda cells: "| " + " | ".join("" if c is None else str(c) for c in cells) + " |"
     return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)])

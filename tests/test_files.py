@@ -6,7 +6,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import manifest, package
+from granary.operators import audits, labels, manifest, narratives, package
+from granary.operators.audits import MUST_BE_FALSE
 from granary.plans import extractors
 from granary.sources import files, sinks
 from granary.streaming.runs import OUT, closed_runs
@@ -98,9 +99,50 @@ def test_registry_and_validation(spark):
     df = spark.sql("SELECT named_struct('schema_version', 'v0', 'surplus', 1, 'quality_summary', named_struct('sufficiency', 'x'), 'privacy', named_struct('raw_video_included', true, 'raw_images_included', false, 'exact_timestamps_included', cast(null as boolean), 'raw_paths_included', false)) AS evidence")
     assert sorted(package.validation_errors(df).first().errors) == sorted([
         "missing section session_metadata", "missing section global_features", "missing field quality_summary.confounding", "unknown section surplus", "wrong schema_version", "privacy flag raw_video_included is not false", "privacy flag exact_timestamps_included is not false",
+        *(f"missing field privacy.{f}" for f in MUST_BE_FALSE if f not in ("raw_video_included", "raw_images_included", "exact_timestamps_included", "raw_paths_included")),
     ])
 
 
+def test_leaks_are_found_by_each_pattern(spark):
+    cases = {
+        "see data/raw/x.json": "raw_data_path", "metadata/x": "raw_data_path", "in /home/u": "raw_data_path", "a \\\\ share": "raw_data_path", "data/": None, "at /mnt/x": None, "000001_VID_2024_01_02_03": "video_directory_id", "1000001_VID_2024_01_02_03": None,
+        "clip_12.mp4": "raw_clip_filename", "clip_1.mp4x": None, "xclip_1.mp4": None, "a.JPG": "image_filename", "b.jpeg!": "image_filename", "c.gif": None, "d.pngs": None, "": None,
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, t string")
+    got = {(r.i, r.pattern) for r in audits.blocked_text(df, "i", "t").collect()}
+    assert got == {(i, p) for i, p in enumerate(cases.values()) if p}
+    assert len(MUST_BE_FALSE) == 13
+
+
+def test_segment_tokens_and_risk_levels(spark):
+    df = spark.createDataFrame([(1, "/v/P-01_VID_2024_01_02_03_04_05_6/x.mp4 b\\x.y_VID_2024_01_02_03_04_05_7")], "row_index int, p string")
+    assert sorted(r.token for r in labels.token_index(df, ["p"]).collect()) == ["P-01_VID_2024_01_02_03_04_05_6", "x.y_VID_2024_01_02_03_04_05_7"]
+    rows = [("否", "重度", "no_observed_risk"), (" 是 ", "轻度", "mild_risk"), ("是", "中度\n", "moderate_risk"), ("是", "重度", "high_risk"), ("是", "", "insufficient_evidence"), (None, "轻度", "insufficient_evidence"), ("是", None, "insufficient_evidence")]
+    df = spark.createDataFrame(rows, "a string, b string, want string")
+    assert all(r.got == r.want for r in df.select("want", labels.risk_level(F.col("a"), F.col("b")).alias("got")).collect())
+
+
+def test_scorer_tries_passing_errors_again():
+    seen, slept = [], []
+
+    def answer(text):
+        seen.append(text)
+        if len(seen) < 3:
+            raise RuntimeError("HTTP 429: slow down")
+        return "ok"
+
+    assert package.answered("x", answer, 2, 1.5, slept.append) == ("ok", None, 3) and slept == [1.5, 3.0]
+    seen.clear()
+    assert package.answered("x", answer, 1, 1.0, slept.append) == (None, "HTTP 429: slow down", 2)
+    assert package.answered("x", lambda t: 1 / 0, 5, 1.0)[2] == 1
+    assert package.budget_parameter("gpt-5-mini") == package.budget_parameter("x/o3-y") == "max_completion_tokens" and package.budget_parameter("m") == "max_tokens"
+
+
+def test_phrases(spark):
+    row = spark.range(1).select(*[narratives.level_phrase(F.lit(x)).alias(str(k)) for k, x in enumerate(("high", "odd", None))], narratives.action_narrative(F.lit("AU4_proxy"), F.lit("x"), F.lit("low")).alias("a"), narratives.action_narrative(F.lit("q"), F.lit("y"), F.lit(None).cast("string")).alias("b")).first()
+    assert tuple(row) == ("observed in most sampled windows", "odd", "None", "Brow-lowering geometry proxy (AU4-like), low intensity", "y, unknown intensity")
+
+
 def test_messages_hold_no_label(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     df = extractors.build("windows_v2")(events).withColumn("target_label", F.lit("high-risk-target"))
@@ -117,3 +159,15 @@ def test_stream_of_states_gives_the_closed_runs_of_the_batch(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("closed_runs").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert OUT.startswith("person") and sorted(tuple(r) for r in spark.table("closed_runs").collect()) == [(1, "a", 0, 1, 2), (1, "b", 2, 3, 2), (2, "c", 0, 0, 1)]
+
+
+def test_idle_persons_runs_are_closed_and_forgotten(spark, tmp_path):
+    schema = "person long, ord long, state string, at timestamp"
+    rows = [[(1, 0, "a", "2024-01-01 00:00:00"), (2, 0, "b", "2024-01-01 00:00:00")], [(2, 1, "b", "2024-01-01 05:00:00")], [(2, 2, "c", "2024-01-01 05:01:00")]]
+    for k, part in enumerate(rows):
+        spark.createDataFrame(part, "person long, ord long, state string, at string").withColumn("at", F.to_timestamp("at")).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = closed_runs(stream, "at", "1 minute", 600_000).writeStream.format("memory").queryName("idle_runs").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    found = sorted(tuple(r) for r in spark.table("idle_runs").collect())
+    assert (1, "a", 0, 0, 1) in found

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from granary.core import rules
 from granary.core.islands import first_seen_mode, gap_tolerant_runs, longest_runs, with_islands
 from granary.core.numbers import py_round, safe_ratio
+from granary.core.ranks import at_ranks, numbered
 from granary.functions import text
 from granary.functions.bins import bin_of, rounded
 from granary.operators.sampling import even_indices, frame_indices, relative_period
@@ -100,4 +101,17 @@ def test_quota_and_text_helpers(spark):
     assert [(r.kind, r.score) for r in got] == [("a", 9), ("a", 8), ("b", 6)]
     row = spark.sql("SELECT '-- My.Data set!' AS a, '..x y-z..' AS b, 'quality_drop' AS c, map('b', 2, 'a', 1) AS m")
     assert tuple(row.select(text.safe_slug(F.col("a")), text.tag_slug(F.col("b")), text.display_name(F.col("c")), text.compact_map(F.col("m"))).first()) == ("my_data_set", "x_y-z", "Quality_Drop", "a=1;b=2")
-    assert rules.RISK_LABELS[0] == "none"
+    assert rules.RISK_LABELS[0] == "no_observed_risk"
+
+
+def test_ranks_equal_those_of_one_ordering(spark):
+    rnd = random.Random(3)
+    ids = [f"p{rnd.randrange(10**6):06d}" for _ in range(3000)]
+    df = spark.createDataFrame([(i,) for i in set(ids)], "k string").repartition(5)
+    assert {r.k: r.n for r in numbered(df, "k", "n", 16).collect()} == {k: i for i, k in enumerate(sorted(set(ids)), 1)}
+    assert numbered(df.limit(0), "k", "n").collect() == []
+    rows = [(k, float(rnd.choice([1, 2, 2, 2, rnd.randrange(1000)]))) for k in "ab" for _ in range(2000)] + [("c", 5.0)]
+    got = {r.k: tuple(r)[1:] for r in at_ranks(spark.createDataFrame(rows, "k string, v double").repartition(4), ["k"], "v", {"x": F.lit(0), "y": F.floor((F.col("total") - 1) / 3), "z": F.col("total") - 1}, 8).collect()}
+    for k in "abc":
+        own = sorted(v for key, v in rows if key == k)
+        assert got[k] == (len(own), own[0], own[(len(own) - 1) // 3], own[-1])
