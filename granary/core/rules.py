@@ -29,6 +29,8 @@ clip_duration = lambda x: labels(x, [("< 10", "<10s"), ("< 30", "10-30s"), ("< 9
 duration_minutes = lambda s: labels(f"{s} / 60.0", [("<= 0", "unknown"), ("< 5", "<5min"), ("< 10", "5-10min"), ("< 20", "10-20min"), ("< 30", "20-30min"), ("< 45", "30-45min")], ">=45min", "unknown")
 coarse_minutes = lambda s, rint=SPARK_RINT: case((f"{s} > 0", f"cast({rint.format(f'{s} / 60.0 / 5.0')} * 5 as bigint)"))
 continuous_duration = lambda m: labels(m, [("<= 0", "none"), ("< 5", "short"), ("< 15", "medium")], "long", "not_computed")
+resolution = lambda w, h: case((f"coalesce({w}, 0) = 0 OR coalesce({h}, 0) = 0", "'unknown'"), (f"{w} * {h} < 640 * 480", "'below_vga'"), (f"{w} * {h} < 1280 * 720", "'vga_to_720p'"), (f"{w} * {h} < 1920 * 1080", "'720p_to_1080p'"), default="'1080p_or_above'")
+fps = lambda x: case((f"coalesce({x}, 0) <= 0", "'unknown'"), (f"{x} < 15", "'<15fps'"), (f"{x} < 24", "'15-24fps'"), (f"{x} <= 30", "'24-30fps'"), default="'>30fps'")
 size_mb = lambda x: labels(x, [("< 5", "<5MB"), ("< 20", "5-20MB"), ("< 50", "20-50MB")], ">=50MB", "unknown")
 face_size = lambda x: labels(x, [(">= 0.18", "very_close"), (">= 0.08", "close"), (">= 0.03", "visible")], "small")
 eye_openness = lambda x: labels(x, [("< 0.18", "low"), ("< 0.23", "reduced")], "open", "not_computed")

@@ -8,42 +8,42 @@ from pyspark.sql import functions as F
 from granary.core.numbers import case, text
 from granary.core.rules import ACTIVE, MEDIUM_UP
 
-#: The texts that records hold.
+#: How often a level of visibility or motion was seen, in words.
 LEVEL_PHRASES = {
-    "very_high": "observed in nearly all sampled windows", "high": "observed in most sampled windows", "medium": "observed in some sampled windows", "low": "observed in a small minority of sampled windows",
-    "none": "not observed in the sampled windows", "not_computed": "unavailable", "motion_confounded": "confounded by broad frame motion", "not_reliably_estimable": "unavailable",
+    "very_high": "seen in almost every window", "high": "seen in most windows", "medium": "seen in part of the windows", "low": "seen in few windows",
+    "none": "never seen", "not_computed": "not known", "motion_confounded": "blurred by movement of the whole frame", "not_reliably_estimable": "not known",
 }
 SENTENCES = {
-    "detected_rapid": "Visible hand landmarks co-occurred with a visible device or screen-like region, and lower-frame motion showed repeated rapid bursts. This supports a repeated touch-input proxy; exact touch type, coordinates, and screen content are not retained.",
-    "detected": "Visible hand landmarks co-occurred with a visible device or screen-like region and local lower-frame motion. This supports a hand-device interaction proxy without retaining touch coordinates.",
-    "possible_rapid": "Limited hand visibility, a visible device or screen-like region, and repeated rapid lower-frame motion appeared together. This is treated as possible repeated touch input, but hand evidence is not strong enough for a direct interaction claim.",
-    "possible": "Limited hand visibility and local motion near a visible device or screen-like region suggest possible device interaction, with reduced certainty because hand visibility is incomplete.",
-    "region_rapid": "The device or screen-like region was visible and lower-frame motion showed repeated rapid bursts, but hands were not visible enough to confirm touch input. Treat this as device-region activity, not confirmed hand-device interaction.",
-    "region_intermittent": "The device or screen-like region was visible with intermittent lower-frame movement, but hand visibility was too weak to confirm touch input.",
-    "region": "A device or screen-like region was visible, but the available hand and motion evidence does not support a reliable interaction claim.",
-    "stable_screen_context": "A device or screen-like region remained visible while global motion was low. This supports a stable viewing-context proxy rather than an active input proxy.",
-    "sustained_screen_oriented_proxy": "Face and device or screen-like region were visible in a relatively stable context, supporting a screen-oriented posture proxy. This is not precise eye tracking.",
-    "motion_confounding": "Broad frame motion was present, so local lower-frame activity may be mixed with posture or camera/context movement.",
-    "quality_drop": "This window was selected because visual quality dropped; behavioral interaction evidence from this window should be treated cautiously.",
-    "no_interaction": "No confirmed device interaction was observed in this window from the available hand, device, and local-motion proxies.",
-    "close_moving": "The face appeared large when visible, consistent with a close-to-screen posture, but broader frame motion may affect posture stability interpretation.",
-    "close": "The face appeared large when visible, consistent with a close-to-screen posture in this sampled window.",
-    "not_close": "The face was visible without a strong close-to-screen proxy in this sampled window.",
-    "no_posture": "Posture could not be reliably summarized because face visibility or face-size evidence was insufficient.",
-    "no_face": "Facial cues were not reliable in this window because FaceMesh was not consistently available.",
-    "screen": "Face and device or screen-like region were jointly visible in a stable enough context to support a screen-oriented posture proxy.",
-    "screen_unsure": "The device or screen-like region was visible, but face visibility or motion conditions were not sufficient for a reliable screen-orientation proxy.",
-    "no_screen": "Screen orientation was not computed reliably for this window.",
-    "motion_both": "Lower-frame motion had repeated bursts, while broad frame motion was also present; interaction interpretation is confounded by global movement.",
-    "motion_bursts": "Lower-frame motion had repeated bursts concentrated near the visible device/screen-like region.",
-    "motion_local": "Lower-frame motion increased near the visible device/screen-like region, but the sampled pattern was not enough to identify a specific touch type.",
-    "motion_global": "Broad frame motion was elevated, so local movement cues should be interpreted cautiously.",
-    "no_motion": "No clear local motion burst was selected in this sampled window.",
+    "detected_rapid": "Hands and a device were in view while the lower frame moved in quick, repeated bursts: evidence of repeated touch input. Neither its kind nor its place nor what the screen showed is kept.",
+    "detected": "Hands and a device were in view while the lower frame moved: evidence that the hands used the device. Where they touched is not kept.",
+    "possible_rapid": "Hands were hardly in view, but a device was, and the lower frame moved in quick, repeated bursts: repeated touch input is possible, not shown.",
+    "possible": "Hands were hardly in view, but something moved near a device: use of the device is possible, and less certain for want of sight of the hands.",
+    "region_rapid": "A device was in view and the lower frame moved in quick, repeated bursts, but no hands confirm touch input: activity of the device's region only.",
+    "region_intermittent": "A device was in view and the lower frame moved now and then, but hands were seen too little to confirm touch input.",
+    "region": "A device was in view, but hands and motion do not show whether it was used.",
+    "stable_screen_context": "A device stayed in view while the frame was calm: a setting for viewing, not for input.",
+    "sustained_screen_oriented_proxy": "Face and device were in view together and calm: the person was turned to the screen. Where the eyes looked is not measured.",
+    "motion_confounding": "The whole frame moved, so motion in its lower part may come from the posture or the camera.",
+    "quality_drop": "This window stands here because the picture was poor; what it shows of behaviour is to be read with care.",
+    "no_interaction": "Hands, device and motion in this window show no use of the device.",
+    "close_moving": "The face filled much of the frame, as close to a screen, but the frame moved as a whole, so the posture is uncertain.",
+    "close": "The face filled much of the frame, as close to a screen.",
+    "not_close": "The face was in view and not close to the screen.",
+    "no_posture": "The face was seen too little to tell the posture.",
+    "no_face": "The mesh of the face was seen too seldom to read it.",
+    "screen": "Face and device were in view together, calm enough to take the person as turned to the screen.",
+    "screen_unsure": "A device was in view, but face or motion do not allow to tell whether the person was turned to it.",
+    "no_screen": "Whether the person was turned to a screen cannot be told.",
+    "motion_both": "The lower frame moved in repeated bursts while the whole frame moved too, which blurs what the bursts mean.",
+    "motion_bursts": "The lower frame moved in repeated bursts near the device.",
+    "motion_local": "The lower frame moved more near the device, without a pattern that tells a kind of touch.",
+    "motion_global": "The whole frame moved, so local motion is to be read with care.",
+    "no_motion": "No burst of local motion stands out.",
 }
-EYES = {"typical": "sampled eye openness appeared typical", "reduced": "sampled eye openness appeared reduced", "low": "sampled eye openness appeared low", "": "eye-openness proxy was not stable enough to summarize"}
-BLINKS = {"elevated_eye_closure": "sparse samples included more eye-closure frames", "reduced_eye_openness": "sparse samples showed reduced eye openness", "stable": "no clear eye-closure change was selected", "": "blink-rate change was not computed"}
-ACTIONS = ("facial geometry proxies were selected", "no dominant facial geometry action proxy was selected")
-ACTION_LABELS = {"AU4_proxy": "Brow-lowering geometry proxy (AU4-like)", "AU25_proxy": "Lips-part geometry proxy (AU25-like)"}
+EYES = {"typical": "the eyes were open as usual", "reduced": "the eyes were open less than usual", "low": "the eyes were hardly open", "": "how far the eyes were open cannot be told"}
+BLINKS = {"elevated_eye_closure": "more samples showed closed eyes", "reduced_eye_openness": "samples showed the eyes less open", "stable": "no change of eye closure stands out", "": "blinking was not measured"}
+ACTIONS = ("actions of the face stand out", "no action of the face stands out")
+ACTION_LABELS = {"AU4_proxy": "Lowered brow (like AU4)", "AU25_proxy": "Parted lips (like AU25)"}
 
 _own = "trigger IN ('device_interaction_evidence', 'device_region_motion_proxy')"
 _rapid, _intermittent = f"({_own} AND motion_pattern = 'rapid_repetitive_local_motion')", f"({_own} AND motion_pattern = 'intermittent_local_motion')"

@@ -24,6 +24,12 @@ def frame_indices(n: Column, samples: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda i: F.least(n - 1, F.rint(first + i * step)).cast("long"))
 
 
+def spread_indices(n: Column, samples: int) -> Column:
+    """Distinct indices of about `samples` of n frames, evenly from the first to the last, as the first generation drew them."""
+    spaced = F.transform(F.sequence(F.lit(0), F.lit(max(samples, 1) - 1)), lambda i: F.rint(i * (n - 1) / F.lit(max(samples - 1, 1))).cast("long"))
+    return F.when((n <= 0) | n.isNull() | F.lit(samples <= 0), F.array().cast("array<long>")).otherwise(F.array_sort(F.array_distinct(spaced)))
+
+
 def with_start_offset(df: DataFrame, keys: list[str], order: str, duration: str, name: str = "start_offset") -> DataFrame:
     """Sum of the durations before each row; null durations count as 0."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("evidence", "records", "packages", "readings")
+MODULES = ("evidence", "records", "packages", "readings", "reports")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -140,7 +140,7 @@ def test_scorer_tries_passing_errors_again():
 
 def test_phrases(spark):
     row = spark.range(1).select(*[narratives.level_phrase(F.lit(x)).alias(str(k)) for k, x in enumerate(("high", "odd", None))], narratives.action_narrative(F.lit("AU4_proxy"), F.lit("x"), F.lit("low")).alias("a"), narratives.action_narrative(F.lit("q"), F.lit("y"), F.lit(None).cast("string")).alias("b")).first()
-    assert tuple(row) == ("observed in most sampled windows", "odd", "None", "Brow-lowering geometry proxy (AU4-like), low intensity", "y, unknown intensity")
+    assert tuple(row) == ("seen in most windows", "odd", "None", "Lowered brow (like AU4), low intensity", "y, unknown intensity")
 
 
 def test_messages_hold_no_label(spark):
