@@ -19,6 +19,19 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType
 
 from granary.llm.common import free_name, windows
 
+#: Code points that the newer tables of `regex` call letters or numerals and those of the tokenizers library
+#: do not, and capitals that Python's tables do not know yet with the distance to their small letters.
+UNKNOWN_YET = (
+    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7cf\\ua7dd\\ua7e2\\ua7f1\\uab6c-\\uab6d\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7"
+    "\\U00010ed9-\\U00010eee\\U00011b0a\\U00011db0-\\U00011ddb\\U00011de0-\\U00011de9\\U00011df1\\U0001246f\\U00012475-\\U0001247f\\U00012550-\\U00012686\\U00016ebb-\\U00016ed3"
+    "\\U00016ff2-\\U00016ff6\\U000187f8-\\U000187ff\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2\\U0001b123-\\U0001b128"
+    "\\U0001b168\\U0001d6a6\\U0001df1f-\\U0001df24\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5"
+    "\\U0001e6e7-\\U0001e6ed\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
+)
+NEW_CAPITALS = {
+    **{c: c + 1 for c in (0x1C89, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA)}, 0xA7CB: 0x264, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
 NEVER = np.iinfo(np.int32).max
 #: Bytes that a kept chunk takes besides its letters and ids.
 ENTRY = 200
@@ -33,6 +46,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+def plain(text: str) -> bool:
+    """Whether all code points lie below 256."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class BpeCodec:
     """Codec of a tokenizer file with BPE, lower-cased NFC text and an end-of-word suffix.
 
@@ -62,6 +84,9 @@ class BpeCodec:
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank_of = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, NEVER).astype(np.int32)
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        # of alternatives, so that the common pattern stays as fast as it is
+        self.odd = regex.compile(f"[{UNKNOWN_YET}]")
+        self.odd_words = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{UNKNOWN_YET}]]+|[\p{{N}}--[{UNKNOWN_YET}]]|[[^\s\p{{L}}\p{{N}}]||[{UNKNOWN_YET}]]+")
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.most, self.known, self.held = most, {}, 0
 
@@ -119,7 +144,7 @@ class BpeCodec:
         return symbols[np.arange(bounds[-1]) + np.repeat(begins - bounds[:-1], size)].astype("<u4"), bounds
 
     def _learn(self, chunks: list[str]) -> None:
-        parts = [self.words.findall(c) for c in chunks]
+        parts = [(self.words if plain(c) or not self.odd.search(c) else self.odd_words).findall(c) for c in chunks]
         words = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
         ids, bounds = self.encode_words(list(words)) if words else (np.zeros(0, "<u4"), np.zeros(1, np.int64))
         raw, b = ids.tobytes(), (bounds * 4).tolist()
@@ -133,6 +158,8 @@ class BpeCodec:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # letters are lowered one by one: no final sigma
         text = text.lower()
+        if not plain(text):
+            text = text.translate(NEW_CAPITALS)
         if re.search("[\x1c-\x1f]", text):
             return [c for c in re.split("[\t-\r \x85\xa0  -     　]+", text) if c]
         return text.split()

@@ -1,4 +1,5 @@
 import random
+import re
 import time
 import zlib
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from granary.llm import queries
-from granary.llm.bpe import BpeCodec, decode_documents, encode_documents, load
+from granary.llm.bpe import NEW_CAPITALS, UNKNOWN_YET, BpeCodec, decode_documents, encode_documents, load
 from granary.llm.common import held_out
 from granary.llm.language_id import UNKNOWN, LanguageModel, Predictor, fit_languages, parts, with_language
 from granary.llm.toxicity import ToxicityModel, fit_toxicity, maximal_segments, with_toxicity
@@ -37,6 +38,13 @@ def test_codec_encodes_and_decodes_as_the_library_does(library):
     assert codec.decode(ids) == [library.decode(x.tolist(), skip_special_tokens=False) for x in ids]
 
 
+def test_code_points_that_unicode_tables_differ_on(library):
+    points = [c for a, b in re.findall(r"(\\[uU][0-9a-f]+)(?:-(\\[uU][0-9a-f]+))?", UNKNOWN_YET) for c in (int(a[2:], 16), int((b or a)[2:], 16))] + list(NEW_CAPITALS) + list(NEW_CAPITALS.values())
+    texts = [form.format(chr(c)) for c in points for form in ("{}", "a{}b", "a{0}{0} 1{0}", "\u00e9{}\u0301")]
+    for text, own, theirs in zip(texts, BpeCodec(load(PATH)).encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.tolist() == theirs.ids, ascii(text)
+
+
 def test_bpe_keeps_rows_and_columns(spark, library):
     df = spark.createDataFrame([(k, t, 7) for k, t in enumerate([*ODD, None, "same", "same"])], "doc_id int, text string, ids int")
     rows = decode_documents(encode_documents(df, PATH), PATH).collect()
