@@ -46,3 +46,25 @@ def counter_text(df: DataFrame, keys: list[str], value: str, name: str) -> DataF
     counted = df.groupBy(*keys, F.coalesce(F.col(value).cast("string"), F.lit("<blank>")).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     entries = F.array_sort(F.collect_list(F.concat_ws("=", "_v", F.col("_n").cast("string"))))
     return counted.groupBy(*keys).agg(F.array_join(entries, ";").alias(name))
+
+
+def modes_in_order(values: Column) -> Column:
+    """The distinct values of a short array as structs (n, before, value): how often each occurs and minus its place among
+    them; the greatest struct is the most frequent value, of equally frequent ones the first."""
+    distinct = F.array_distinct(values)
+    return F.transform(distinct, lambda v, i: F.struct(F.size(F.filter(values, lambda x: x.eqNullSafe(v))).alias("n"), (-i).alias("before"), v.alias("value")))
+
+
+def mode_in_order(order: Column, value: Column) -> Column:
+    """An aggregate: the most frequent value of a group of few rows; of equally frequent ones, the first in order."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), value.alias("v")))), lambda x: x["v"])
+    return F.array_max(modes_in_order(listed))["value"]
+
+
+def run_lengths(df: DataFrame, keys: list[str], order: str, flags: dict[str, Column]) -> DataFrame:
+    """df with the length of the run of flagged rows in which each row lies, 0 on rows that are not flagged."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    df = df.withColumns({f"_f_{n}": F.coalesce(c, F.lit(False)) for n, c in flags.items()})
+    df = df.withColumns({f"_g_{n}": F.sum((~F.col(f"_f_{n}")).cast("long")).over(w) for n in flags})
+    df = df.withColumns({n: F.sum(F.col(f"_f_{n}").cast("long")).over(Window.partitionBy(*keys, f"_g_{n}")) for n in flags})
+    return df.drop(*[f"_{k}_{n}" for n in flags for k in "fg"])

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.core import rules
-from granary.core.islands import first_seen_mode, longest_runs, with_islands
+from granary.core.islands import mode_in_order, modes_in_order, run_lengths, with_islands
 from granary.core.numbers import SPARK_RINT, py_round
-from granary.operators.readings import action_proxies
 from granary.operators.sampling import even_indices
 
 
@@ -42,11 +41,12 @@ def window_summary(frames: DataFrame) -> DataFrame:
         F.count_if(F.col("hand_region").isin("lower_frame", "middle_frame")).alias("near_hands"), F.count_if(F.col("hand_region") == "lower_frame").alias("lower_hands"),
         F.count("eye_openness").alias("n_eyes"), F.count_if("eye_closed").alias("n_closed"), F.avg("eye_openness").alias("eyes_share"),
         F.count_if("face_close").alias("n_close_faces"), F.count_if("several_faces").alias("n_several"), F.count_if("face_visible").alias("n_faces"),
+        *[mode_in_order(F.col("ord"), F.col(q)).alias(q) for q in ("lighting", "blur")],
+        F.array_sort(F.flatten(F.collect_list(F.transform("actions", lambda a: F.struct(F.col("ord").alias("o"), a.alias("a")))))).alias("_actions"),
     )
-    for quality in ("lighting", "blur"):
-        base = base.join(first_seen_mode(df, KEYS, quality, "ord", quality), KEYS)
-    codes = action_proxies(df).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_codes"))
-    base = base.join(codes, KEYS, "left").fillna(0, ["n_codes"])
+    # of the actions of a window's few frames, the three most frequent that a third of the frames hold
+    seen = F.slice(F.sort_array(modes_in_order(F.transform("_actions", lambda x: x["a"])), asc=False), 1, 3)
+    base = base.withColumn("n_codes", F.size(F.filter(seen, lambda x: x["n"] >= F.greatest(F.lit(1), F.floor(F.col("n_frames") / 3))))).drop("_actions")
     layers = [
         {f"{x}_ratio": py_round(f"{x}_share", 3) for x in ("device", "face", "mesh", "hand")} | {"mean_eyes": py_round("eyes_share", 6)},
         {f"{x}_level": rules.ratio_bin(f"{x}_ratio") for x in ("device", "face", "mesh", "hand")}
@@ -86,8 +86,7 @@ def window_states(windows: DataFrame) -> DataFrame:
 def behavior_episodes(states: DataFrame) -> DataFrame:
     """Islands of equal dominant state: extent, id and modal confidence."""
     df = with_islands(states, ["person"], "window_order", ["state"])
-    eps = df.groupBy("person", "island").agg(F.first("state").alias("state"), F.count(F.lit(1)).alias("n_windows"), F.min("window_order").alias("start"), F.max("window_order").alias("end"))
-    eps = eps.join(first_seen_mode(df, ["person", "island"], "state_confidence", "window_order", "confidence"), ["person", "island"])
+    eps = df.groupBy("person", "island").agg(F.first("state").alias("state"), F.count(F.lit(1)).alias("n_windows"), F.min("window_order").alias("start"), F.max("window_order").alias("end"), mode_in_order(F.col("window_order"), F.col("state_confidence")).alias("confidence"))
     return eps.withColumn("episode_id", F.format_string("episode_%d_%02d", "n_windows", "start"))
 
 
@@ -96,17 +95,15 @@ def temporal_summary(states: DataFrame) -> DataFrame:
     w = by_person()
     thirds = F.greatest(F.lit(1), F.floor(F.col("total") / 3))
     ranked = states.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("nth", F.row_number().over(Window.partitionBy("person").orderBy("window_order")))
+    ranked = run_lengths(ranked, ["person"], "window_order", {"longest_passive": F.expr(rules.PASSIVE), "longest_confirmed": F.expr(rules.CONFIRMED)})
+    ranked = with_islands(ranked, ["person"], "window_order", ["state"]).withColumn("longest_repeated", F.count(F.lit(1)).over(Window.partitionBy("person", "island")))
     score = F.col("engagement_score")
     counts = {"n_confirmed": rules.CONFIRMED, "n_possible": rules.POSSIBLE, "n_passive": rules.PASSIVE, "n_weak": rules.WEAK, "n_stable": "device_context = 'stable_device_context'", "n_close": "posture LIKE 'close%'", "n_limited": "state = 'quality_limited_unobservable'", "n_engaged": "engagement_score >= 2"}
     df = ranked.groupBy("person").agg(
         F.count(F.lit(1)).alias("n_windows"), F.max(score).alias("top_score"), F.avg(F.when(F.col("nth") <= thirds, score)).alias("early_mean"), F.avg(F.when(F.col("nth") > F.col("total") - thirds, score)).alias("late_mean"),
-        F.count_distinct("state", "observability", "device_context", "engagement", "rhythm", "posture", "orientation", "eyes", "global_level", "dominance").alias("n_signatures"),
-        *[F.count_if(F.expr(v)).alias(k) for k, v in counts.items()],
+        F.size(F.collect_set(F.struct("state", "observability", "device_context", "engagement", "rhythm", "posture", "orientation", "eyes", "global_level", "dominance"))).cast("long").alias("n_signatures"),
+        *[F.count_if(F.expr(v)).alias(k) for k, v in counts.items()], *[F.max(x).alias(x) for x in ("longest_passive", "longest_confirmed", "longest_repeated")], mode_in_order(F.col("window_order"), F.col("state")).alias("session_state"),
     )
-    runs = longest_runs(states, ["person"], "window_order", {"longest_passive": F.expr(rules.PASSIVE), "longest_confirmed": F.expr(rules.CONFIRMED)})
-    repeated = with_islands(states, ["person"], "window_order", ["state"]).groupBy("person", "island").count().groupBy("person").agg(F.max("count").alias("longest_repeated"))
-    session = first_seen_mode(states, ["person"], "state", "window_order", "session_state")
-    df = df.join(runs, "person").join(repeated, "person").join(session, "person")
     return df.withColumns({"trajectory": F.expr(rules.TRAJECTORY), "interaction_pattern": F.expr(rules.PATTERN)})
 
 
@@ -155,30 +152,40 @@ def _numbered(events: DataFrame) -> DataFrame:
     return events.withColumn("event_id", F.format_string("Event_%02d", F.row_number().over(w)))
 
 
-def interaction_summary(windows: DataFrame, generation: int) -> DataFrame:
-    """Counts of confirmed, possible, strong and region-only windows of each person, and what they amount to."""
+def _interaction_counts() -> dict[str, str]:
     often = f"local_bursts >= {rules.BURSTS_REPEATED}"
-    counts = {
+    return {
         "n_confirmed": f"status = 'detected' AND {often}", "n_possible": f"status IN ('detected', 'possible') AND {often}",
         "n_region": f"status IN ('not_reliable', 'device_region_motion_only') AND region_level IN {rules.ACTIVE} AND {often}",
         "n_strong": f"status IN ('detected', 'possible') AND {often} AND (confidence = 'high' OR hand_level IN {rules.MEDIUM_UP})",
     }
-    df = windows.groupBy("person").agg(*[F.count_if(F.expr(v)).alias(k) for k, v in counts.items()])
-    first = generation < 2
-    return df.withColumns({"intensity": F.expr(rules.INTENSITY_V1 if first else rules.INTENSITY_V2), "repetition": F.expr(rules.REPETITION_V1 if first else rules.REPETITION_V2)})
 
 
-def session_summary(windows: DataFrame) -> DataFrame:
-    """Confounding, orientation, blink and posture readings of each person, by the rules of both generations."""
+def _session_counts() -> dict[str, str]:
     observable = f"device_level IN {rules.MEDIUM_UP} AND (mesh_level IN {rules.MEDIUM_UP} OR face_level IN {rules.MEDIUM_UP})"
-    counts = {
+    return {
         "n_high": "global_level = 'high'", "n_active": f"global_level IN {rules.ACTIVE}", "n_observable": observable, "n_observable_active": f"{observable} AND global_level IN {rules.ACTIVE}",
         "n_observable_high": f"{observable} AND global_level = 'high'", "n_gaze": f"{observable} AND gaze", "n_values": "blink <> 'not_computed'", "n_closed": "blink = 'elevated_eye_closure'", "n_reduced": "blink = 'reduced_eye_openness'",
         "n_posture": "posture_state <> 'not_computed'", "n_close": "posture_state = 'close_to_screen'", "n_several": "several",
     }
-    df = windows.groupBy("person").agg(F.count(F.lit(1)).alias("n_windows"), *[F.count_if(F.expr(v)).alias(k) for k, v in counts.items()])
-    runs = longest_runs(windows, ["person"], "window_order", {"longest_gaze": F.col("gaze")})
-    df = df.join(runs, "person").withColumns(
+
+
+def _counted(counts: dict[str, str]) -> list[Column]:
+    return [F.count_if(F.expr(v)).alias(k) for k, v in counts.items()]
+
+
+def interaction_summary(windows: DataFrame, generation: int) -> DataFrame:
+    """Counts of confirmed, possible, strong and region-only windows of each person, and what they amount to."""
+    df = windows.groupBy("person").agg(*_counted(_interaction_counts()))
+    first = generation < 2
+    return df.withColumns({"intensity": F.expr(rules.INTENSITY_V1 if first else rules.INTENSITY_V2), "repetition": F.expr(rules.REPETITION_V1 if first else rules.REPETITION_V2)})
+
+
+def session_summary(windows: DataFrame) -> DataFrame:
+    """Confounding, orientation, blink and posture readings of each person, by the rules of both generations."""
+    df = run_lengths(windows, ["person"], "window_order", {"longest_gaze": F.col("gaze")})
+    df = df.groupBy("person").agg(F.count(F.lit(1)).alias("n_windows"), *_counted(_session_counts()), F.max("longest_gaze").alias("longest_gaze"))
+    df = df.withColumns(
         {
             "confounding": F.expr(rules.CONFOUNDING(SPARK_RINT)), "orientation_v0": F.expr(rules.ORIENTATION_STATUS("n_observable_active", 0.5, SPARK_RINT)), "orientation_v1": F.expr(rules.ORIENTATION_STATUS("n_observable_high", 0.75, SPARK_RINT)),
             "blink_v0": F.expr(rules.BLINK_V0), "blink_v1": F.expr(rules.BLINK_V1(SPARK_RINT)), "posture_trend": F.expr(rules.POSTURE_TREND), "closure_level": F.expr(rules.count_level("(n_closed + n_reduced)")),
@@ -189,14 +196,13 @@ def session_summary(windows: DataFrame) -> DataFrame:
     return df.withColumns({"gaze_bin": F.when(estimated, F.expr(rules.ratio_bin("gaze_ratio"))), "gaze_duration": F.expr(rules.continuous_duration("gaze_minutes"))})
 
 
-def negative_evidence(windows: DataFrame, events: DataFrame, generation: int = 1) -> DataFrame:
+def negative_evidence(windows: DataFrame, events: DataFrame) -> DataFrame:
     """Sorted tokens of what was not observed for each person, and the balance of evidence."""
-    session = session_summary(windows)
-    interaction = interaction_summary(windows, generation)
+    hands = (F.count_if(F.col("hand_level") != "none") / F.count(F.lit(1))).alias("_hands")
+    df = windows.groupBy("person").agg(F.count(F.lit(1)).alias("n_windows"), *_counted(_session_counts()), *_counted(_interaction_counts()), F.bool_or("stable_screen").alias("any_stable"), hands)
+    df = df.withColumns({"confounding": F.expr(rules.CONFOUNDING(SPARK_RINT)), "orientation_v1": F.expr(rules.ORIENTATION_STATUS("n_observable_high", 0.75, SPARK_RINT)), "hand_share": F.expr(py_round("_hands", 3))})
     picked = events.groupBy("person").agg(F.count(F.lit(1)).alias("n_events"), F.count_if(F.col("strength") == "high").alias("n_strong_events"))
-    screens = windows.groupBy("person").agg(F.bool_or("stable_screen").alias("any_stable"), (F.count_if(F.col("hand_level") != "none") / F.count(F.lit(1))).alias("_hands"))
-    screens = screens.withColumn("hand_share", F.expr(py_round("_hands", 3))).withColumn("hand_observability", F.expr(rules.ratio_bin("hand_share")))
-    df = session.select("person", "orientation_v1", "confounding").join(interaction.select("person", "n_confirmed", "n_strong"), "person").join(picked, "person", "left").join(screens, "person").fillna(0, ["n_events", "n_strong_events"])
+    df = df.withColumn("hand_observability", F.expr(rules.ratio_bin("hand_share"))).join(picked, "person", "left").fillna(0, ["n_events", "n_strong_events"])
     tokens = [
         ("n_events = 0", "no_event_windows_passed_v1_thresholds"), ("n_confirmed = 0", "no_confirmed_hand_device_interaction_proxy"), ("n_strong = 0", "no_strong_repetitive_operation_proxy"),
         ("orientation_v1 <> 'estimated_from_visible_face_and_device'", "no_reliable_sustained_screen_orientation_proxy"), ("hand_observability IN ('none', 'low')", "hand_visibility_limits_touch_interaction_evidence"), (f"confounding IN {rules.ACTIVE}", "global_motion_limits_behavior_interpretation"), ("NOT any_stable", "no_stable_screen_context_window_observed"),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +52,9 @@ def windows_v1(events: DataFrame) -> DataFrame:
 def windows_v2(events: DataFrame, salt: str = "granary") -> DataFrame:
     """Calibrated windows, states, events and facts as nested evidence records.
 
-    Five summaries read the windows, so these are kept in memory or on disk and recomputed where they are lost.
+    Five summaries read the windows; as their plans begin alike, the shuffles below them are done once.
     """
-    w = windows.calibrated(windows.window_summary(active_frames(events))).persist(StorageLevel.MEMORY_AND_DISK)
+    w = windows.calibrated(windows.window_summary(active_frames(events)))
     states = windows.window_states(w)
     summary, picked = windows.temporal_summary(states), windows.events_v1(w)
     facts = package.fact_lists(summary, windows.episode_detectors(summary), picked)

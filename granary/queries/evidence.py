@@ -258,7 +258,7 @@ SPECS: dict[str, tuple] = {
     "orientation_summary": (lambda s, d: w.session_summary(_v0(s, d)), "person n_observable orientation_v0 orientation_v1 gaze_ratio gaze_bin gaze_minutes gaze_duration", "se0"),
     "blink_summary": (lambda s, d: w.session_summary(_v0(s, d)), "person n_values n_closed n_reduced blink_v0 blink_v1 closure_level", "se0"),
     "posture_trend": (lambda s, d: w.session_summary(_v0(s, d)), "person n_posture n_close n_several posture_trend", "se0"),
-    "negative_evidence": (lambda s, d: w.negative_evidence(_v2(s, d), w.events_v1(_v2(s, d)), 2), "person negatives balance", "ne"),
+    "negative_evidence": (lambda s, d: w.negative_evidence(_v2(s, d), w.events_v1(_v2(s, d))), "person negatives balance", "ne"),
 }
 
 
