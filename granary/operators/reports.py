@@ -6,13 +6,14 @@ import json
 from dataclasses import fields, replace
 from typing import TypeVar
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from granary.core import rules
 from granary.core.numbers import py_round
 from granary.operators.evaluation import LEVELS
+from granary.operators.sampling import even_indices
 
 #: What is missing by design and not told to a model.
 HIDDEN_MISSING = (
@@ -146,6 +147,29 @@ def video_histograms(videos: DataFrame) -> DataFrame:
     return videos.select(F.inline(F.array(*each))).groupBy("measure", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+def metadata_fallback(clips: DataFrame, most: int = 16) -> DataFrame:
+    """What a person's videos tell where no frame can be analysed: counts and bins of up to `most` evenly chosen ones.
+
+    clips: person, clip, video_available, seconds, width, height, fps. The shares are of the chosen videos: those whose
+    file is there and those whose header is readable (seconds known).
+    """
+    order = Window.partitionBy("person")
+    df = clips.withColumn("_n", F.count(F.lit(1)).over(order)).withColumn("_at", F.row_number().over(order.orderBy("clip")) - 1)
+    df = df.filter(F.array_contains(even_indices(F.col("_n"), most), F.col("_at").cast("long")))
+    bins = {"durations": rules.clip_duration("seconds"), "resolutions": rules.resolution("width", "height"), "rates": rules.fps("fps")}
+    df = df.withColumns({k: F.when(F.col("video_available"), F.expr(v)).otherwise("unknown") for k, v in bins.items()})
+    listed = [mode_counts(F.collect_list(k)).alias(k) for k in bins]
+    readable = F.col("video_available") & F.col("seconds").isNotNull()
+    df = df.groupBy("person").agg(F.first("_n").alias("n_videos"), F.count(F.lit(1)).alias("n_chosen"), (F.count_if("video_available") / F.count(F.lit(1))).alias("_there"), (F.count_if(readable) / F.count(F.lit(1))).alias("_readable"), *listed)
+    df = df.withColumns({"there_ratio": F.expr(py_round("_there", 3)), "readable_ratio": F.expr(py_round("_readable", 3))}).drop("_there", "_readable")
+    return df.withColumns({"there": F.expr(rules.ratio_bin("there_ratio")), "readable": F.expr(rules.ratio_bin("readable_ratio")), "overall": F.lit("behavior_frame_analysis_unavailable")})
+
+
+def mode_counts(values: Column) -> Column:
+    """Counts of the values of a short array as value=n;… by value."""
+    return F.array_join(F.transform(F.array_sort(F.array_distinct(values)), lambda v: F.concat_ws("=", v, F.size(F.filter(values, lambda x: x == v)).cast("string"))), ";")
+
+
 def policy_counts(events: DataFrame) -> DataFrame:
     """Events by role, and whether the policy keeps them as behaviour events or only as context."""
     kept = F.col("role").isin("strong_behavior_evidence", "behavior_context")

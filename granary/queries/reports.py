@@ -51,6 +51,11 @@ def video_histograms(s, d):
     return reports.video_histograms(sized)
 
 
+def metadata_fallback(s, d):
+    sized = _clips(s, d).withColumns({"width": (F.col("clip") % 5) * 480, "height": (F.col("clip") % 4) * 360, "fps": (F.col("n_frames") * 3 - 3).cast("double")})
+    return reports.metadata_fallback(sized, 5)
+
+
 def nested_clip_labels(s, d):
     c = _clips(s, d).withColumns({"session_uid": F.concat_ws("_s", F.col("person"), F.floor(F.col("clip") / 4)), "clip_uid": F.concat_ws("_c", F.col("person"), F.col("clip"))})
     labelled = c.filter("clip % 3 = 0").select("clip_uid", F.concat(F.lit("label"), F.col("clip") % 2).alias("label"))
@@ -71,7 +76,7 @@ def wide_samples(s, d):
 
 
 QUERIES = {
-    "frame_differences": frame_differences, "point_displacement": point_displacement, "spread_sampling": spread_sampling, "video_histograms": video_histograms, "nested_clip_labels": nested_clip_labels,
+    "frame_differences": frame_differences, "point_displacement": point_displacement, "spread_sampling": spread_sampling, "video_histograms": video_histograms, "metadata_fallback": metadata_fallback, "nested_clip_labels": nested_clip_labels,
     "questionnaire_fields": questionnaire_fields, "wide_samples": wide_samples,
     "state_value_counts": lambda s, d: reports.state_values(_states(s, d)), "common_signatures": lambda s, d: reports.common_signatures(_states(s, d)),
     "policy_counts": lambda s, d: reports.policy_counts(windows.events_v0(windows.window_summary(active_frames(_events(s, d))))),
@@ -80,6 +85,10 @@ QUERIES = {
 }
 
 ALL = CTES | {"cc0": RECORDS["c0"], "cc": RECORDS["cl"].replace("FROM c0", "FROM cc0")}
+ALL |= {
+    "mp": "SELECT *, clip % 5 * 480 AS w, clip % 4 * 360 AS h, n_frames * 3 - 3 AS f, count(*) OVER (PARTITION BY person) AS n, row_number() OVER (PARTITION BY person ORDER BY clip) - 1 AS nth FROM cc",
+    "mq": f"SELECT *, CASE WHEN NOT video_available OR seconds IS NULL THEN 'unknown' WHEN seconds < 10 THEN '<10s' WHEN seconds < 30 THEN '10-30s' WHEN seconds < 90 THEN '30-90s' ELSE '>=90s' END AS durations, CASE WHEN NOT video_available OR w * h = 0 THEN 'unknown' WHEN w * h < 307200 THEN 'below_vga' WHEN w * h < 921600 THEN 'vga_to_720p' WHEN w * h < 2073600 THEN '720p_to_1080p' ELSE '1080p_or_above' END AS resolutions, CASE WHEN NOT video_available OR f <= 0 THEN 'unknown' WHEN f < 15 THEN '<15fps' WHEN f < 24 THEN '15-24fps' WHEN f <= 30 THEN '24-30fps' ELSE '>30fps' END AS rates FROM mp WHERE n <= 5 OR nth IN ({R.format('0 * (n - 1) / 4.0::double')}, {R.format('1 * (n - 1) / 4.0::double')}, {R.format('2 * (n - 1) / 4.0::double')}, {R.format('3 * (n - 1) / 4.0::double')}, {R.format('4 * (n - 1) / 4.0::double')})",
+}
 
 
 def sql(final: str) -> str:
@@ -98,6 +107,12 @@ ORACLE = {
     "point_displacement": sql(f"SELECT person, ord, {py_round('sqrt((x - px) * (x - px) + (y - py) * (y - py)) / 640.0::double', 4, R)} AS displacement, {py_round('sqrt(dx * dx + dy * dy)', 3, R)} AS far FROM (SELECT *, lag(x) OVER c AS px, lag(y) OVER c AS py, CASE WHEN x < 100 THEN 100 - x WHEN x > 300 THEN x - 300 WHEN x IS NOT NULL THEN 0::double END AS dx, CASE WHEN y < 20 THEN 20 - y WHEN y > 60 THEN y - 60 ELSE 0::double END AS dy FROM (SELECT person, ord, ord // 12 AS clip, CASE WHEN k % 7 <> 0 THEN value END AS x, k::double AS y FROM ev) WINDOW c AS (PARTITION BY person, clip ORDER BY ord))"),
     "spread_sampling": sql(f"SELECT person, row_number() OVER (PARTITION BY person ORDER BY i) - 1 AS at, i AS index FROM (SELECT DISTINCT person, {R.format('g * (n - 1) / 29.0::double')}::bigint AS i FROM (SELECT DISTINCT person, n FROM ev), range(30) r(g))"),
     "video_histograms": sql(f"SELECT * FROM (WITH v AS (SELECT *, clip % 5 * 480 AS w, clip % 4 * 360 AS h, n_frames * 3 - 3 AS f, {py_round('size_bytes / 1048576.0::double', 2, R)} AS mb FROM cc) SELECT 'size' AS measure, CASE WHEN mb < 5 THEN '<5MB' WHEN mb < 20 THEN '5-20MB' WHEN mb < 50 THEN '20-50MB' ELSE '>=50MB' END AS bin, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'duration', CASE WHEN seconds IS NULL THEN 'unknown' WHEN seconds < 10 THEN '<10s' WHEN seconds < 30 THEN '10-30s' WHEN seconds < 90 THEN '30-90s' ELSE '>=90s' END, count(*) FROM v GROUP BY ALL UNION ALL SELECT 'resolution', CASE WHEN w * h = 0 THEN 'unknown' WHEN w * h < 307200 THEN 'below_vga' WHEN w * h < 921600 THEN 'vga_to_720p' WHEN w * h < 2073600 THEN '720p_to_1080p' ELSE '1080p_or_above' END, count(*) FROM v GROUP BY ALL UNION ALL SELECT 'fps', CASE WHEN f <= 0 THEN 'unknown' WHEN f < 15 THEN '<15fps' WHEN f < 24 THEN '15-24fps' WHEN f <= 30 THEN '24-30fps' ELSE '>30fps' END, count(*) FROM v GROUP BY ALL)"),
+    "metadata_fallback": sql(
+        "SELECT f.*, CASE WHEN there_ratio >= 0.9 THEN 'very_high' WHEN there_ratio >= 0.75 THEN 'high' WHEN there_ratio >= 0.5 THEN 'medium' WHEN there_ratio > 0 THEN 'low' ELSE 'none' END AS there, CASE WHEN readable_ratio >= 0.9 THEN 'very_high' WHEN readable_ratio >= 0.75 THEN 'high' WHEN readable_ratio >= 0.5 THEN 'medium' WHEN readable_ratio > 0 THEN 'low' ELSE 'none' END AS readable, 'behavior_frame_analysis_unavailable' AS overall FROM ("
+        f"SELECT q.person, any_value(n) AS n_videos, count(*) AS n_chosen, {py_round('count(*) FILTER (video_available) / count(*)', 3, R)} AS there_ratio, {py_round('count(*) FILTER (video_available AND seconds IS NOT NULL) / count(*)', 3, R)} AS readable_ratio, "
+        + ", ".join(f"(SELECT string_agg(b || '=' || c, ';' ORDER BY b) FROM (SELECT {k} AS b, count(*) AS c FROM mq z WHERE z.person = q.person GROUP BY ALL)) AS {k}" for k in ("durations", "resolutions", "rates"))
+        + " FROM mq q GROUP BY q.person) f"
+    ),
     "nested_clip_labels": sql("SELECT person, count(DISTINCT clip // 4) AS n_sessions, to_json(list(CASE WHEN clip % 3 = 0 THEN 'label' || (clip % 2) ELSE '-' END ORDER BY (person || '_s' || (clip // 4)), clip)) AS labels FROM cc GROUP BY person"),
     "questionnaire_fields": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 4 ELSE 1 END::bigint AS n_fields, left(sha256(CASE WHEN event_id % 3 = 0 THEN '[\"IP\",\"k\",\"性别\",\"班级\"]' ELSE '[\"k\"]' END), 16) AS signature, left(sha256(CASE WHEN event_id % 3 = 0 THEN '{\"性别\": 1, \"IP\": \"x\", \"k\": 2, \"班级\": ' || event_id || '}' ELSE props END), 16) AS digest, CASE WHEN event_id % 3 = 0 THEN 'collection_metadata;demographic_fields;school_or_class_context' ELSE '' END AS categories FROM events WHERE event_id % 3 < 2",
     "wide_samples": sql("SELECT person, max(n)::varchar AS n, max(k)::varchar AS top_k, '-' AS absent, count(*) FILTER (event_type = 'click') AS n_click, count(*) FILTER (event_type = 'error') AS n_error, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'signup') AS n_signup, count(*) FILTER (event_type = 'view') AS n_view FROM ev GROUP BY person"),

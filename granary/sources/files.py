@@ -7,6 +7,7 @@ import re
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import unquote
 from xml.etree import ElementTree
 
@@ -51,6 +52,30 @@ def segments(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, parsed.filter("NOT valid").select("folder").distinct()
 
 
+def segment_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files directly in segment folders below root, with the root; nothing deeper than the first segment folder of a
+    path counts, so a segment within a segment is not one."""
+    files = list_files(spark, root)
+    below = F.split(F.regexp_replace("path", ".*" + re.escape(root.rstrip("/")) + "/", ""), "/")
+    first = F.array_position(F.transform(below, lambda p: p.rlike("_VID_")), True)
+    return files.filter((first == 0) | (first == F.size(below) - 1)).withColumn("root", F.lit(root))
+
+
+def scan_roots(spark: SparkSession, roots: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Segments of all roots in order of person, session, clip and root, and one row for each root: persons, sessions,
+    clips, and folders that are no segments."""
+    found, invalid = [], []
+    for root in roots:
+        good, bad = segments(segment_files(spark, root))
+        found.append(good.withColumn("root", F.lit(root)))
+        invalid.append(bad.withColumn("root", F.lit(root)))
+    union = lambda tables: reduce(DataFrame.unionByName, tables)
+    everything, strange = union(found), union(invalid)
+    sums = everything.groupBy("root").agg(F.count_distinct("person_raw").alias("n_persons"), F.count_distinct("session_key").alias("n_sessions"), F.count(F.lit(1)).alias("n_clips"))
+    summary = sums.join(strange.groupBy("root").agg(F.count(F.lit(1)).alias("n_invalid")), "root", "full_outer").fillna(0)
+    return everything.orderBy("person_raw", "session_key", "clip_index", "root"), summary
+
+
 def resolved_paths(wanted: DataFrame, files: DataFrame, old: str, new: str) -> DataFrame:
     """wanted (path) with found: the listed file at the path, else at the path with its prefix replaced, else null."""
     have = files.select(F.col("path").alias("found")).distinct()

@@ -8,6 +8,8 @@ from granary.core import rules
 from granary.operators import motion, reports
 from granary.operators.sampling import spread_indices
 from granary.operators.temporal import CONFIG
+from granary.plans import listeners
+from granary.sources import files
 
 
 def test_config_takes_known_fields_and_their_types(spark, tmp_path):
@@ -97,3 +99,25 @@ def test_triggers_of_windows_by_hand(spark):
         df = spark.createDataFrame([row])
         fired = [t for t, _, c in rules.EVENTS_V0 if df.select(F.expr(c).alias("x")).first().x]
         assert fired == [name]
+
+
+def test_listeners_hear_what_their_rules_say(spark):
+    plain = {**WINDOW, "n_codes": 0, "blink": "not_computed", "region_level": "low"}
+    df = spark.createDataFrame([plain, {**plain, "window_order": 2, "blur": "low", "n_codes": 2}, {**plain, "person": 2, "gaze": True}])
+    got = {(r.person, r.window_order, r.trigger) for r in listeners.heard(df).collect()}
+    assert got == {(1, 2, "quality_drop"), (1, 2, "facial_au_trend"), (2, 1, "sustained_screen_oriented_proxy")}
+    own = listeners.RuleListener("own", 9, "late AND gaze")
+    context = spark.createDataFrame([(1, True), (2, True)], "person long, late boolean")
+    assert [r.person for r in listeners.heard(df, [own], context).collect()] == [2]
+    with pytest.raises(ValueError, match="one name"):
+        listeners.heard(df, [own, own])
+
+
+def test_scans_of_roots_stop_at_segments(spark, tmp_path):
+    for root, names in (("a", ["b1/p1_VID_2024_01_02_03_04_05_007", "b1/p1_VID_2024_01_02_03_04_05_007/p9_VID_2024_01_02_03_04_05_001", "p2_VID_2024_01_02_03_04_05_001"]), ("b", ["x/p1_VID_2024_01_02_03_04_05_003", "x/p_1_VID_odd"])):
+        for n in names:
+            (tmp_path / root / n).mkdir(parents=True, exist_ok=True)
+            (tmp_path / root / n / "usage.json").write_text("[]")
+    found, summary = files.scan_roots(spark, [f"{tmp_path}/a", f"{tmp_path}/b"])
+    assert [(r.person_raw, r.clip_index) for r in found.collect()] == [("p1", 3), ("p1", 7), ("p2", 1)]
+    assert sorted(tuple(r)[1:] for r in summary.collect()) == [(1, 1, 1, 1), (2, 2, 2, 0)]
