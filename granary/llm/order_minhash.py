@@ -220,13 +220,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts, n_texts = settled(first.join(marked.select("place", "n", "keys"), "place"), at_most=n_rows)
 
     entries = texts.select("place", "n", F.explode("keys").alias("bucket"))
-    heads, n_heads = settled(entries.groupBy("bucket").agg(F.min(F.struct("place", "n")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1"), 100_000)
+    heads, n_heads = settled(entries.groupBy("bucket").agg(F.min("place").alias("head"), F.min_by("n", "place").alias("head_n"), F.count(F.lit(1)).alias("size")).filter("size > 1"), 100_000)
     shared = likely_in(entries, heads, n_heads, "bucket")
     filled, n_filled = settled(join_groups(shared, heads, "bucket", F.col("size"), n_texts * bands), 100_000)
 
     fit = lambda n, m: F.least(n, m) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR
-    star = filled.filter((F.col("place") != F.col("head.place")) & fit(F.col("n"), F.col("head.n")))
-    star, n_star = settled(star.select(F.col("place").alias("a"), F.col("head.place").alias("b")).distinct(), 100_000, n_filled)
+    star = filled.filter((F.col("place") != F.col("head")) & fit(F.col("n"), F.col("head_n")))
+    star, n_star = settled(star.select(F.col("place").alias("a"), F.col("head").alias("b")).distinct(), 100_000, n_filled)
 
     def kmers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(k)

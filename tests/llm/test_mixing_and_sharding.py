@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from granary.llm import queries
+from granary.llm import mixing, queries
 from granary.llm.mixing import apportion, mix, mix_plan, source_targets
 from granary.llm.sharding import assign_shards, range_of
 
@@ -83,6 +83,16 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
     assert mix(df.limit(0)).collect() == [] and mix_plan(df.limit(0)).collect() == []
 
 
+def test_plans_for_many_sources_and_few_shards_take_alike(spark, monkeypatch):
+    df = documents(spark).repartition(3).cache()
+    taken = lambda **how: sorted((r.doc_id, r.taken) for r in mix_plan(df, shard_words=2000, **how).collect())
+    sent = taken()
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    assert taken() == sent
+    total, few = sum(n for _, n in sent), taken(max_shards=3)
+    assert abs(sum(n for _, n in few) - total) <= 0.02 * total
+
+
 def test_range_of_compares_both_parts():
     cuts = np.array([(1, 5), (1, 9), (3, 0)])
     keys = [(0, 9), (1, 4), (1, 5), (1, 8), (1, 9), (2, 0), (3, -1), (3, 0), (4, 0)]
