@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
@@ -19,43 +18,51 @@ from granary.llm.language_id import words_of
 PARTS = ("context", "bias", "group", "group_bias", "word", "word_bias")
 
 
+class Hashes(dict):
+    """Words to their CRC-32, by which they are known from then on; words met are kept, `most` at once."""
+
+    def __init__(self, most: int = 200_000):
+        super().__init__()
+        self.most = most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = h = crc32(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        parts = [np.fromiter(map(self.__getitem__, words), "<u4", len(words)) for words in words_of(text or "")]
+        return np.concatenate(parts) if parts else np.zeros(0, "<u4")
+
+
 @dataclass
 class Vocabulary:
-    """The most frequent words by rank, then hashed bins for all others; `padding` stands beyond a text's ends."""
+    """Tokens: the most frequent hashes of words by rank, then bins that share out all others; `padding` stands beyond a
+    text's ends."""
 
-    words: dict[str, int]
+    hashes: np.ndarray
     counts: np.ndarray
     groups: int
     per_group: int
 
+    def __post_init__(self):
+        self.rank = np.argsort(self.hashes)
+        self.sorted = np.append(self.hashes[self.rank], 0).astype(np.uint32)
+        self.rank = np.append(self.rank, 0)
+
     @property
     def padding(self) -> int:
         return self.groups * self.per_group
 
-    def numbers(self) -> Numbers:
-        return Numbers(self.words, self.padding)
-
-
-class Numbers(dict):
-    """Words to tokens; words beyond the vocabulary are kept as they are met, `most` at once."""
-
-    def __init__(self, words: dict[str, int], padding: int, most: int = 200_000):
-        super().__init__(words)
-        self.vocabulary, self.bins, self.most = words, padding - len(words), most
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.vocabulary)
-        self[word] = at = len(self.vocabulary) + self.bin_of(word)
-        return at
-
-    def bin_of(self, word: str) -> int:
-        return crc32(word.encode("utf-8", "surrogatepass")) % self.bins
+    @property
+    def bins(self) -> int:
+        return self.padding - len(self.hashes)
 
-    def tokens(self, text: str | None) -> np.ndarray:
-        parts = [np.fromiter(map(self.__getitem__, words), "<u2", len(words)) for words in words_of(text or "")]
-        return np.concatenate(parts) if parts else np.zeros(0, "<u2")
+    def tokens(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.sorted[:-1], hashes)
+        known = (self.sorted[at] == hashes) & (at < len(self.hashes))
+        return np.where(known, self.rank[at], len(self.hashes) + hashes % np.uint32(self.bins)).astype("<u2")
 
 
 class WindowNetwork:
@@ -193,58 +200,61 @@ class WindowNetwork:
             at += size
 
 
-def count_words(docs: DataFrame, text_col: str = "text", groups: int = 64, per_group: int = 96, bins: int = 256) -> Vocabulary:
-    """Vocabulary of groups times per_group tokens from the counts of all words of all documents.
+def with_hashes(docs: DataFrame, text_col: str = "text", hashes_col: str = "hashes") -> DataFrame:
+    """docs with the words of the whole text, as runs of letters, in place of it: their CRC-32 as little-endian unsigned
+    32-bit integers. Words of one CRC-32 are one word."""
+
+    @F.pandas_udf("binary")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashes = Hashes()
+        for texts in batches:
+            yield pd.Series([hashes.of(t).tobytes() for t in texts], dtype=object)
+
+    kept = [f"`{c}`" for c in docs.columns if c.lower() not in (text_col.lower(), hashes_col.lower())]
+    return docs.select(*kept, encode(F.col(text_col).cast("string")).alias(hashes_col))
+
+
+def count_words(hashed: DataFrame, hashes_col: str = "hashes", groups: int = 64, per_group: int = 96, bins: int = 256) -> Vocabulary:
+    """Vocabulary of groups times per_group tokens from the counts of all words of all documents (hashed as by with_hashes).
 
     A bin's count is the sum over all words outside the vocabulary that hash into it.
     """
+    if groups * per_group >= 1 << 16:
+        raise ValueError("the vocabulary has more tokens than 16 bits can number")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter[str] = Counter()
-        out = lambda: pd.DataFrame({"word": list(found), "n": list(found.values())}).astype({"word": str, "n": "int64"})
+        held, size = [], 0
         for b in batches:
-            for text in b["text"]:
-                for words in words_of(text or ""):
-                    found.update(words)
-                if len(found) > 300_000:
-                    yield out()
-                    found.clear()
-        yield out()
-
-    counts = cut(docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    rows = counts.orderBy(F.desc("n"), "word").limit(groups * per_group - bins).collect()
-    known = np.array([r["n"] for r in rows], np.float64)
-    vocabulary = Vocabulary({r["word"]: k for k, r in enumerate(rows)}, np.concatenate([known, np.zeros(groups * per_group - len(rows))]), groups, per_group)
-    numbers = vocabulary.numbers()
-    for r in counts.groupBy((F.crc32(F.col("word").cast("binary")) % numbers.bins).alias("bin")).agg(F.sum("n").alias("n")).collect():
+            for x in b["hashes"]:
+                held.append(x)
+                size += len(x)
+                if size >= 8 << 20:
+                    yield table(held)
+                    held, size = [], 0
+        yield table(held)
+
+    def table(held: list[bytes]) -> pd.DataFrame:
+        found, n = np.unique(np.frombuffer(b"".join(held), "<u4"), return_counts=True)
+        return pd.DataFrame({"hash": found.astype(np.int64), "n": n.astype(np.int64)})
+
+    counts = cut(hashed.select(F.col(hashes_col).alias("hashes")).mapInPandas(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")))
+    rows = counts.orderBy(F.desc("n"), "hash").limit(groups * per_group - bins).collect()
+    vocabulary = Vocabulary(np.array([r["hash"] for r in rows], np.uint32), np.zeros(groups * per_group), groups, per_group)
+    vocabulary.counts[: len(rows)] = [r["n"] for r in rows]
+    for r in counts.groupBy((F.col("hash") % vocabulary.bins).alias("bin")).agg(F.sum("n").alias("n")).collect():
         vocabulary.counts[len(rows) + r["bin"]] = r["n"]
     for r in rows:
-        vocabulary.counts[len(rows) + numbers.bin_of(r["word"])] -= r["n"]
+        vocabulary.counts[len(rows) + r["hash"] % vocabulary.bins] -= r["n"]
     return vocabulary
 
 
-def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
-    """docs with the tokens of the whole text in place of it: little-endian unsigned 16-bit integers as binary."""
-    if vocabulary.padding >= 1 << 16:
-        raise ValueError("the vocabulary has more tokens than 16 bits can number")
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        numbers = sent.value.numbers()
-        for texts in batches:
-            yield pd.Series([numbers.tokens(t).tobytes() for t in texts], dtype=object)
-
-    kept = [f"`{c}`" for c in docs.columns if c.lower() not in (text_col.lower(), tokens_col.lower())]
-    return docs.select(*kept, encode(F.col(text_col).cast("string")).alias(tokens_col))
-
-
 def _laid_out(texts: list[bytes], vocabulary: Vocabulary, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts in one row with padding around each, the places of their tokens, and each text's number of tokens."""
-    gap = np.full(side, vocabulary.padding, "<u2")
-    found = [np.frombuffer(t, "<u2") for t in texts]
-    row = np.concatenate([gap, *(x for t in found for x in (t, gap))])
-    return row, np.flatnonzero(row != vocabulary.padding), np.fromiter(map(len, found), np.int64, len(found))
+    """The tokens of all texts in one row with padding around each, their places, and each text's number of tokens."""
+    sizes = np.fromiter((len(t) // 4 for t in texts), np.int64, len(texts))
+    row = np.full(int(sizes.sum()) + side * (len(texts) + 1), vocabulary.padding, "<u2")
+    at = np.arange(int(sizes.sum())) + side * np.repeat(np.arange(1, len(texts) + 1), sizes)
+    row[at] = vocabulary.tokens(np.frombuffer(b"".join(texts), "<u4"))
+    return row, at, sizes
 
 
 def _averaged(copies: Iterator[tuple[int, bytes, bytes]], rows: int, width: int, head: int, places: int) -> tuple[int, bytes, bytes]:
@@ -262,8 +272,8 @@ def _averaged(copies: Iterator[tuple[int, bytes, bytes]], rows: int, width: int,
     return n, weight.astype(np.float32).tobytes(), total.astype(np.float32).tobytes()
 
 
-def fit_network(tokens: DataFrame, vocabulary: Vocabulary, tokens_col: str = "tokens", rounds: int = 1, batch: int = 4096, speed: float = 0.15, per_copy: int = 1_000_000, fan_in: int = 8) -> WindowNetwork:
-    """Network trained on every token of every text (tokens as with_tokens makes them) in each round.
+def fit_network(hashed: DataFrame, vocabulary: Vocabulary, hashes_col: str = "hashes", rounds: int = 1, batch: int = 8192, speed: float = 0.15, per_copy: int = 1_000_000, fan_in: int = 8) -> WindowNetwork:
+    """Network trained on every token of every text (hashed as by with_hashes) in each round.
 
     In each round every partition trains a copy of the network on its own texts; partitions are joined, without
     a shuffle, while they hold less than per_copy tokens on average. Copies are averaged on executors fan_in by
@@ -272,11 +282,11 @@ def fit_network(tokens: DataFrame, vocabulary: Vocabulary, tokens_col: str = "to
     network = WindowNetwork(vocabulary)
     rows, head, width = vocabulary.padding + 1, network.p["context"].size, sum(network.p[k].size for k in PARTS)
     places = len(network.offsets)
-    copies = max(1, min(tokens.rdd.getNumPartitions(), int(vocabulary.counts.sum()) // per_copy))
-    tokens = tokens.select(F.col(tokens_col).alias("tokens")).coalesce(copies)
+    copies = max(1, min(hashed.rdd.getNumPartitions(), int(vocabulary.counts.sum()) // per_copy))
+    hashed = hashed.select(F.col(hashes_col).alias("hashes")).coalesce(copies)
     schema = "part int, n long, counts binary, network binary"
     for k in range(rounds):
-        sent = tokens.sparkSession.sparkContext.broadcast((network, vocabulary, k))
+        sent = hashed.sparkSession.sparkContext.broadcast((network, vocabulary, k))
 
         def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             start, words, turn = sent.value
@@ -286,9 +296,9 @@ def fit_network(tokens: DataFrame, vocabulary: Vocabulary, tokens_col: str = "to
             rng = np.random.default_rng(turn)
             counts, held, size, used = np.zeros(words.padding + 1, np.float32), [], 0, 0
             for b in batches:
-                for text in b["tokens"]:
+                for text in b["hashes"]:
                     held.append(text)
-                    size += len(text) // 2
+                    size += len(text) // 4
                     if size >= 16 * batch:
                         used += _train_on(own, held, words, batch, speed, seen, rng, counts)
                         held, size = [], 0
@@ -300,7 +310,7 @@ def fit_network(tokens: DataFrame, vocabulary: Vocabulary, tokens_col: str = "to
             n, counts, flat = _averaged(zip(group["n"], group["counts"], group["network"], strict=True), rows, width, head, places)
             return pd.DataFrame({"part": [int(group["part"].iloc[0]) // fan_in], "n": [n], "counts": [counts], "network": [flat]})
 
-        found, left = tokens.mapInPandas(train, schema).withColumn("part", F.spark_partition_id()), copies
+        found, left = hashed.mapInPandas(train, schema).withColumn("part", F.spark_partition_id()), copies
         while left > fan_in:
             found, left = found.groupBy(F.floor(F.col("part") / fan_in)).applyInPandas(average, schema), -(-left // fan_in)
         trained = sorted(tuple(r) for r in found.collect())
@@ -323,13 +333,13 @@ def _train_on(network: WindowNetwork, texts: list[bytes], vocabulary: Vocabulary
     return len(places)
 
 
-def with_pseudo_likelihood(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
+def with_pseudo_likelihood(docs: DataFrame, network: WindowNetwork, vocabulary: Vocabulary, text_col: str = "text", hashes_col: str | None = None) -> DataFrame:
     """docs with n_tokens, pll and pll_per_token (columns of these names are replaced).
 
     pll: the sum over all tokens of the whole text of log P(token | its neighbours on both sides); pll_per_token its
     mean. Texts without words (null and empty ones too) have 0 tokens and 0.0 for both. Words are runs of letters.
     Repeated rows score alike; an empty table gives an empty result; very long texts are scored a few thousand tokens
-    at a time. With tokens_col, docs has the tokens of with_tokens, and text_col is not read. The network, of fixed
+    at a time. With hashes_col, docs has the hashes of with_hashes, and text_col is not read. The network, of fixed
     size, is sent to the executors; nothing is shuffled.
     """
     sent = docs.sparkSession.sparkContext.broadcast((network, vocabulary))
@@ -337,18 +347,18 @@ def with_pseudo_likelihood(docs: DataFrame, network: WindowNetwork, vocabulary:
     @F.pandas_udf("n long, pll double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         net, words = sent.value
-        numbers = words.numbers() if tokens_col is None else None
+        hashes = Hashes() if hashes_col is None else None
         for given in batches:
             rows = []
             for k in range(0, len(given), 64):
                 texts = given.iloc[k : k + 64]
-                rows += _scores(net, words, [numbers.tokens(t).tobytes() for t in texts] if numbers is not None else [t or b"" for t in texts])
+                rows += _scores(net, words, [hashes.of(t).tobytes() for t in texts] if hashes is not None else [t or b"" for t in texts])
             yield pd.DataFrame(rows, columns=["n", "pll"])
 
     scored = free_name(docs, "_score_")
     kept = [f"`{c}`" for c in docs.columns if c.lower() not in ("n_tokens", "pll", "pll_per_token")]
     n, pll = F.col(f"{scored}.n"), F.col(f"{scored}.pll")
-    given = F.col(text_col).cast("string") if tokens_col is None else F.col(tokens_col)
+    given = F.col(text_col).cast("string") if hashes_col is None else F.col(hashes_col)
     return docs.select(*kept, score(given).alias(scored)).select(*kept, n.alias("n_tokens"), pll.alias("pll"), F.when(n > 0, pll / n).otherwise(0.0).alias("pll_per_token"))
 
 
@@ -366,10 +376,10 @@ def _scores(network: WindowNetwork, vocabulary: Vocabulary, texts: list[bytes],
 def score_corpus(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
     """docs, with n_tokens, pll and pll_per_token in place of text, by a network trained on all of docs.
 
-    The text is read twice: to count all words, and to write its tokens to the checkpoint folder, from which the
-    network learns and scores.
+    The text is read once, to write the hashes of its words to the checkpoint folder; from there words are counted, and
+    the network learns and scores.
     """
-    words = count_words(docs, text_col)
-    name = free_name(docs, "_tokens")
-    tokens = cut(with_tokens(docs, words, text_col, name))
-    return with_pseudo_likelihood(tokens, fit_network(tokens, words, name, **how), words, tokens_col=name).drop(name)
+    name = free_name(docs, "_hashes")
+    hashed = cut(with_hashes(docs, text_col, name))
+    words = count_words(hashed, name)
+    return with_pseudo_likelihood(hashed, fit_network(hashed, words, name, **how), words, hashes_col=name).drop(name)

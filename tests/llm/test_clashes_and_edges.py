@@ -11,14 +11,14 @@ from granary.llm.exact_dedup import keep_first_copies
 from granary.llm.language_id import fit_languages, with_language
 from granary.llm.mixing import mix, mix_plan
 from granary.llm.order_minhash import keep_one_of_each, near_duplicates
-from granary.llm.pseudo_likelihood import count_words, fit_network, score_corpus, with_pseudo_likelihood, with_tokens
+from granary.llm.pseudo_likelihood import count_words, fit_network, score_corpus, with_hashes, with_pseudo_likelihood
 from granary.llm.sharding import assign_shards
 from granary.llm.toxicity import fit_toxicity, with_toxicity
 from granary.llm.url_filters import filter_urls
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 HELPERS = (
-    "_language_", "_toxicity_", "_score_", "_tokens", "_bytes", "_rows", "_at", "_r", "_range", "_h", "_i", "_row", "_rank", "_own", "_found", "_hits", "_fits", "_url", "_place", "_times", "_copy", "_uid", "_key", "_text", "_word", "_bit", "_mask", "_salt", "place", "h", "i", "r",
+    "_language_", "_toxicity_", "_score_", "_hashes", "_bytes", "_rows", "_at", "_r", "_range", "_h", "_i", "_row", "_rank", "_own", "_found", "_hits", "_fits", "_url", "_place", "_times", "_copy", "_uid", "_key", "_text", "_word", "_bit", "_mask", "_salt", "place", "h", "i", "r",
 )
 TEXTS = ["a plain text of a few words", "a plain text of a few words", None, "", "12 !!", "one more text that is not like it", "very long words " * 40_000]
 
@@ -29,8 +29,9 @@ def table(spark):
 
 
 def network(df):
-    v = count_words(df, groups=4, per_group=16, bins=16)
-    return fit_network(with_tokens(df, v), v), v
+    hashed = with_hashes(df)
+    v = count_words(hashed, groups=4, per_group=16, bins=16)
+    return fit_network(hashed, v), v
 
 
 OPERATORS = {

@@ -6,7 +6,7 @@ import numpy as np
 from granary.llm.anisotropic import Quantiser, nearest
 from granary.llm.components import connected
 from granary.llm.order_minhash import Shingler, aligned, alignment, bucket_keys, keep_one_of_each, links_among, near_duplicates, sketches
-from granary.llm.pseudo_likelihood import Vocabulary, WindowNetwork, _averaged, _scores, count_words, fit_network, score_corpus, with_pseudo_likelihood, with_tokens
+from granary.llm.pseudo_likelihood import Hashes, Vocabulary, WindowNetwork, _averaged, _scores, count_words, fit_network, score_corpus, with_hashes, with_pseudo_likelihood
 
 
 def test_search_meets_recall_and_leaves_out_what_is_no_vector(spark):
@@ -187,7 +187,7 @@ def slow_log_p(net, context, target):
 
 
 def test_network_is_a_distribution_and_its_gradients_are_right():
-    v = Vocabulary({"a": 0}, np.arange(1.0, 13.0), 3, 4)
+    v = Vocabulary(np.array([7], np.uint32), np.arange(1.0, 13.0), 3, 4)
     net = WindowNetwork(v, hidden=6)
     rng = np.random.default_rng(2)
     for k in ("group", "word"):
@@ -217,31 +217,31 @@ def test_scores_equal_brute_force_cover_whole_texts_and_learn_order(spark):
     rnd = random.Random(9)
     text = lambda n=60: " ".join(rnd.choice(["red fox runs fast", "blue bird sings loud", "old tree stands still"]) for _ in range(n))
     df = spark.createDataFrame([(k, text(), 3) for k in range(150)] + [(900, None, 1), (901, "", 1), (902, "12 ..", 1), (903, text(9000), 1), (904, "same words", 1), (904, "same words", 1)], "doc_id long, text string, pll int").repartition(3).cache()
-    v = count_words(df, groups=4, per_group=16, bins=16)
-    tokens = with_tokens(df, v)
-    net = fit_network(tokens, v, batch=64, rounds=2, per_copy=20_000, fan_in=2)
+    hashed = with_hashes(df)
+    v = count_words(hashed, groups=4, per_group=16, bins=16)
+    net = fit_network(hashed, v, batch=64, rounds=2, per_copy=20_000, fan_in=2)
     scored = with_pseudo_likelihood(df, net, v).collect()
     rows = {r.doc_id: r for r in scored}
     assert len(scored) == 156 and rows[0].n_tokens == 240 and (rows[900].n_tokens, rows[900].pll, rows[901].pll_per_token, rows[902].n_tokens) == (0, 0.0, 0.0, 0)
     assert rows[903].n_tokens == 36_000 and len({r.pll for r in scored if r.doc_id == 904}) == 1
-    numbers = v.numbers()
+    hashes = Hashes(most=3)
     for r in (rows[0], rows[77], rows[904]):
-        row = [v.padding] * 2 + numbers.tokens(r.text).tolist() + [v.padding] * 2
+        row = [v.padding] * 2 + v.tokens(hashes.of(r.text)).tolist() + [v.padding] * 2
         want = sum(slow_log_p(net, [row[i - 2], row[i - 1], row[i + 1], row[i + 2]], row[i]) for i in range(2, len(row) - 2))
         assert abs(want - r.pll) < 1e-4 * r.n_tokens
-    from_tokens = {r.doc_id: r.pll for r in with_pseudo_likelihood(tokens, net, v, tokens_col="tokens").collect()}
-    assert all(abs(from_tokens[k] - rows[k].pll) < 1e-4 * max(1, rows[k].n_tokens) for k in rows)
+    from_hashes = {r.doc_id: r.pll for r in with_pseudo_likelihood(hashed, net, v, hashes_col="hashes").collect()}
+    assert all(abs(from_hashes[k] - rows[k].pll) < 1e-4 * max(1, rows[k].n_tokens) for k in rows)
     words = rows[0].text.split()
     rnd.shuffle(words)
-    own, mixed = _scores(net, v, [numbers.tokens(t).tobytes() for t in (rows[0].text, " ".join(words))])
+    own, mixed = _scores(net, v, [hashes.of(t).tobytes() for t in (rows[0].text, " ".join(words))])
     assert own[1] > mixed[1] + 50
     assert with_pseudo_likelihood(df.limit(0), net, v).collect() == []
-    assert count_words(df.limit(0), groups=2, per_group=8, bins=8).words == {} and score_corpus(df.limit(0)).collect() == []
+    assert len(count_words(hashed.limit(0), groups=2, per_group=8, bins=8).hashes) == 0 and score_corpus(df.limit(0)).collect() == []
 
 
 def test_trained_on_all_tokens_it_beats_the_unigram_of_the_same_tokens(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    v = count_words(docs)
+    v = count_words(with_hashes(docs))
     rows = score_corpus(docs).agg({"pll": "sum", "n_tokens": "sum"}).first()
     n = rows["sum(n_tokens)"]
     assert n == v.counts.sum()
@@ -251,10 +251,10 @@ def test_trained_on_all_tokens_it_beats_the_unigram_of_the_same_tokens(spark):
 
 def test_bins_start_at_the_counts_of_the_words_in_them(spark):
     texts = ["aa bb " * 50 + " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" * (1 + k % 3) for k in range(500)), "aa É é É", None]
-    v = count_words(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), groups=2, per_group=8, bins=14)
-    numbers, want = v.numbers(), np.zeros(16)
-    assert len(v.words) == 2
-    np.add.at(want, np.concatenate([numbers.tokens(t) for t in texts]), 1)
+    v = count_words(with_hashes(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)), groups=2, per_group=8, bins=14)
+    hashes, want = Hashes(), np.zeros(16)
+    assert v.hashes.tolist() == hashes.of("aa bb").tolist()
+    np.add.at(want, np.concatenate([v.tokens(hashes.of(t)) for t in texts]), 1)
     assert v.counts.tolist() == want.tolist() and v.counts[2:].sum() == 503
 
 
@@ -263,16 +263,16 @@ def test_all_tokens_train_whatever_stands_between_them(spark):
     words = ["".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
     texts = [[rnd.choice(words) for _ in range(400)] for _ in range(10)]
     by = {sep: spark.createDataFrame([(sep.join(t),) for t in texts], "text string").coalesce(1) for sep in " \t\n"}
-    v = count_words(by[" "], groups=8, per_group=48, bins=16)
-    nets = {sep: fit_network(with_tokens(df, v), v, batch=256) for sep, df in by.items()}
-    known = len(v.words)
+    v = count_words(with_hashes(by[" "]), groups=8, per_group=48, bins=16)
+    nets = {sep: fit_network(with_hashes(df), v, batch=256) for sep, df in by.items()}
+    known = len(v.hashes)
     changed = nets[" "].p["context"] != WindowNetwork(v).p["context"]
     assert known >= 290 and changed[:, :known].any(axis=2).all()
     assert all(np.array_equal(nets[" "].p[k], nets[sep].p[k]) for sep in "\t\n" for k in nets[" "].p)
 
 
 def test_copies_are_averaged_as_a_tree_by_what_each_has_seen(spark):
-    v = Vocabulary({"a": 0}, np.arange(1.0, 13.0), 3, 4)
+    v = Vocabulary(np.array([7], np.uint32), np.arange(1.0, 13.0), 3, 4)
     rng = np.random.default_rng(4)
     width, rows, head = sum(x.size for x in WindowNetwork(v, hidden=2).p.values()), 13, 4 * 13 * 2
     copies = [(n, rng.integers(0, 9, rows).astype(np.float32), rng.normal(size=width).astype(np.float32)) for n in (5, 1, 7, 3)]
