@@ -62,18 +62,28 @@ def unpivoted(rows: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
     return rows.select(*keep, F.inline(F.array(*each)))
 
 
+def _counter(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Counts by value of a column for each field and value as value=n;…; null reads None."""
+    summed = df.groupBy("field", "value", F.coalesce(column, F.lit("None")).alias("_k")).agg(F.sum("_n").alias("_n"))
+    return summed.groupBy("field", "value").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "_k", F.col("_n").cast("string")))), ";").alias(name))
+
+
 def crosstab(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """For each field and value: rows, valid predictions, accuracy and the first ten sample ids.
+    """For each field and value: rows, counts of targets and of predictions, valid predictions, accuracy and the first
+    ten sample ids.
 
-    Counts are combined before they are shuffled; of ids each task passes on ten for a value at most.
+    Rows are counted by field, value, target and prediction before they are shuffled, and all else comes from these
+    counts; of ids each task passes on ten for a value at most.
     """
     long = unpivoted(rows, fields, ["sample_id", "target", "predicted"])
+    cells = long.groupBy("field", "value", "target", "predicted").agg(F.count(F.lit(1)).alias("_n"))
     ok = F.coalesce(F.col("target").isin(LEVELS) & F.col("predicted").isin(LEVELS), F.lit(False))
-    counts = long.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("n_valid"), F.count_if(ok & (F.col("target") == F.col("predicted"))).alias("n_right"))
+    held = lambda c: F.sum(F.when(c, F.col("_n")).otherwise(0))
+    counts = cells.groupBy("field", "value").agg(F.sum("_n").alias("n"), held(ok).alias("n_valid"), held(ok & (F.col("target") == F.col("predicted"))).alias("n_right"))
     first = long.select("field", "value", "sample_id").withColumn("_nth", F.row_number().over(Window.partitionBy("field", "value").orderBy("sample_id"))).filter("_nth <= 10")
     ids = first.groupBy("field", "value").agg(F.array_sort(F.collect_list("sample_id")).alias("_ids"))
-    df = counts.join(ids, ["field", "value"])
-    return df.select("field", "value", "n", "n_valid", F.when(F.col("n_valid") > 0, F.expr(py_round("n_right / nullif(n_valid, 0)", 4))).alias("accuracy"), F.array_join("_ids", ";").alias("preview"))
+    df = counts.join(ids, ["field", "value"]).join(_counter(cells, "target", "targets"), ["field", "value"]).join(_counter(cells, "predicted", "predictions"), ["field", "value"])
+    return df.select("field", "value", "n", "targets", "predictions", "n_valid", F.when(F.col("n_valid") > 0, F.expr(py_round("n_right / nullif(n_valid, 0)", 4))).alias("accuracy"), F.array_join("_ids", ";").alias("preview"))
 
 
 def distribution(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -31,10 +31,10 @@ RULES = (
 
 
 def fact_lists(summary: DataFrame, detectors: DataFrame, events: DataFrame) -> DataFrame:
-    """Four lists of sentences for each person: positive, weak, counter and limits, from counts of states and events."""
+    """Five lists of sentences for each person: positive, weak, counter, limits and auxiliary, from counts of states and events."""
     fired = detectors.groupBy("person").agg(F.array_sort(F.collect_list(F.struct("detector", "role", "strength", "n_windows"))).alias("fired"))
-    strong = events.groupBy("person").agg(F.count_if(F.col("trigger") == "device_interaction_evidence").alias("n_interaction_events"), F.count_if(F.col("trigger") == "quality_drop").alias("n_quality_events"))
-    df = summary.join(fired, "person", "left").join(strong, "person", "left").fillna(0, ["n_interaction_events", "n_quality_events"])
+    strong = events.groupBy("person").agg(F.count_if(F.col("trigger") == "device_interaction_evidence").alias("n_interaction_events"), F.count_if(F.col("trigger") == "quality_drop").alias("n_quality_events"), F.count_if(F.col("trigger") == "facial_au_trend").alias("n_face_events"), F.count_if(F.col("trigger") == "blink_rate_change").alias("n_blink_events"))
+    df = summary.join(fired, "person", "left").join(strong, "person", "left").fillna(0, ["n_interaction_events", "n_quality_events", "n_face_events", "n_blink_events"])
     when = lambda cond, text, *cols: F.when(F.expr(cond), F.format_string(text, *map(F.col, cols)))
     by_role = lambda role: F.transform(F.filter(F.coalesce("fired", F.array().cast("array<struct<detector:string,role:string,strength:string,n_windows:bigint>>")), lambda d: d["role"] == role), lambda d: F.format_string("%s held over %d windows (%s).", d["detector"], d["n_windows"], d["strength"]))
     lists = {
@@ -42,6 +42,7 @@ def fact_lists(summary: DataFrame, detectors: DataFrame, events: DataFrame) -> D
         "weak": F.concat(F.array_compact(F.array(when("n_possible > 0", "Interaction was possible in %d windows.", "n_possible"), when("n_passive > 0", "The screen was faced in %d windows.", "n_passive"), when("n_weak > 0", "Only the device region moved in %d windows.", "n_weak"))), by_role("weak_proxy_evidence")),
         "counter": F.concat(F.array_compact(F.array(when("n_confirmed = 0", "No window confirms interaction."))), by_role("counter_evidence")),
         "limits": F.array_compact(F.array(when("n_limited > 0", "%d windows could not be judged.", "n_limited"), when("n_quality_events > 0", "%d selected events are drops in quality.", "n_quality_events"))),
+        "auxiliary": F.array_compact(F.array(when("n_close > 0", "The face was close to the screen in %d windows.", "n_close"), when("n_face_events > 0", "%d selected events show actions of the face.", "n_face_events"), when("n_blink_events > 0", "%d selected events show a change of blinking.", "n_blink_events"))),
     }
     return df.select("person", *[c.alias(n) for n, c in lists.items()])
 
@@ -61,7 +62,7 @@ def evidence_records(session: DataFrame, interaction: DataFrame, summary: DataFr
         F.struct(F.col("intensity").alias("interaction_intensity"), "repetition", "confounding", F.col("orientation_v1").alias("orientation"), F.col("blink_v1").alias("blink"), "posture_trend", "trajectory", "interaction_pattern", "session_state").alias("global_features"),
         F.coalesce("events", F.array().cast("array<struct<window_order:bigint,trigger:string,event_id:string>>")).alias("events"),
         F.struct(F.expr(rules.sufficiency("n_windows", "(cast(n_windows - n_limited as double) / n_windows)")).alias("sufficiency"), "confounding").alias("quality_summary"),
-        F.struct("positive", "weak", "counter", "limits").alias("facts"),
+        F.struct("positive", "weak", "counter", "limits", "auxiliary").alias("facts"),
         F.struct(*[none.alias(f) for f in SECTIONS["privacy"]]).alias("privacy"),
     )
     df = df.select(alias().alias("sample_id"), evidence.alias("evidence"))

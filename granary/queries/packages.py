@@ -26,7 +26,7 @@ def _records(s, d):
 
 def evidence_fact_counts(s, d):
     f = F.col("evidence.facts")
-    return _records(s, d).select("sample_id", *[F.size(f[k]).cast("long").alias(f"n_{k}") for k in ("positive", "weak", "counter", "limits")], F.array_join(f["positive"], " ").alias("positive"), F.array_join(f["counter"], " ").alias("counter"))
+    return _records(s, d).select("sample_id", *[F.size(f[k]).cast("long").alias(f"n_{k}") for k in ("positive", "weak", "counter", "limits", "auxiliary")], F.array_join(f["positive"], " ").alias("positive"), F.array_join(f["counter"], " ").alias("counter"))
 
 
 def evidence_package(s, d):
@@ -83,7 +83,7 @@ KIND = "CASE WHEN hand_near AND hand_burst THEN 'hand_device_interaction_burst'
 ALIAS = "('ANON_' || upper(left(sha256('granary:' || {}::varchar), 10)))"
 ORACLE = {
     "evidence_fact_counts": sql(
-        f"SELECT {ALIAS.format('person')} AS sample_id, (n_confirmed > 0)::bigint + ({_nev('device_interaction_evidence')} > 0)::bigint + {_ndet('strong_behavior_evidence')} AS n_positive, (n_possible > 0)::bigint + (n_passive > 0)::bigint + (n_weak > 0)::bigint + {_ndet('weak_proxy_evidence')} AS n_weak, (n_confirmed = 0)::bigint + {_ndet('counter_evidence')} AS n_counter, (n_limited > 0)::bigint + ({_nev('quality_drop')} > 0)::bigint AS n_limits, "
+        f"SELECT {ALIAS.format('person')} AS sample_id, (n_confirmed > 0)::bigint + ({_nev('device_interaction_evidence')} > 0)::bigint + {_ndet('strong_behavior_evidence')} AS n_positive, (n_possible > 0)::bigint + (n_passive > 0)::bigint + (n_weak > 0)::bigint + {_ndet('weak_proxy_evidence')} AS n_weak, (n_confirmed = 0)::bigint + {_ndet('counter_evidence')} AS n_counter, (n_limited > 0)::bigint + ({_nev('quality_drop')} > 0)::bigint AS n_limits, (n_close > 0)::bigint + ({_nev('facial_au_trend')} > 0)::bigint + ({_nev('blink_rate_change')} > 0)::bigint AS n_auxiliary, "
         f"concat_ws(' ', CASE WHEN n_confirmed > 0 THEN 'Hand and device moved together in ' || n_confirmed || ' windows.' END, CASE WHEN {_nev('device_interaction_evidence')} > 0 THEN {_nev('device_interaction_evidence')} || ' selected events show interaction.' END, {_det('strong_behavior_evidence')}) AS positive, concat_ws(' ', CASE WHEN n_confirmed = 0 THEN 'No window confirms interaction.' END, {_det('counter_evidence')}) AS counter FROM ts"
     ),
     "evidence_package": sql(

@@ -286,7 +286,7 @@ ORACLE = {
     "label_metrics": sql(f"SELECT label, support, tp, called, {py_round('p0', 4, R)} AS precision, {py_round('r0', 4, R)} AS recall, {py_round('f0', 4, R)} AS f1 FROM lm"),
     "macro_f1": sql(f"SELECT n_valid, {py_round('a', 4, R)} AS accuracy, {py_round('m', 4, R)} AS macro_f1 FROM ov"),
     "majority_baseline": sql(f"SELECT n_valid, {py_round('j', 4, R)} AS majority_accuracy, {_signed('(a - j)')} AS gain FROM ov"),
-    "feature_crosstab": sql(f"SELECT field, value, count(*) AS n, coalesce(count_if(ok), 0)::bigint AS n_valid, CASE WHEN count_if(ok) > 0 THEN {py_round('count_if(ok AND target = predicted) / count_if(ok)', 4, R)} END AS accuracy, string_agg(CASE WHEN nth <= 10 THEN sample_id::varchar END, ';' ORDER BY sample_id) AS preview FROM ct GROUP BY field, value"),
+    "feature_crosstab": sql(f"SELECT field, value, count(*) AS n, coalesce(count_if(ok), 0)::bigint AS n_valid, CASE WHEN count_if(ok) > 0 THEN {py_round('count_if(ok AND target = predicted) / count_if(ok)', 4, R)} END AS accuracy, string_agg(CASE WHEN nth <= 10 THEN sample_id::varchar END, ';' ORDER BY sample_id) AS preview, (SELECT string_agg(k || '=' || c, ';' ORDER BY k || '=' || c) FROM (SELECT coalesce(target, 'None') AS k, count(*) AS c FROM fv WHERE fv.field = ct.field AND fv.value = ct.value GROUP BY 1)) AS targets, (SELECT string_agg(k || '=' || c, ';' ORDER BY k || '=' || c) FROM (SELECT coalesce(predicted, 'None') AS k, count(*) AS c FROM fv WHERE fv.field = ct.field AND fv.value = ct.value GROUP BY 1)) AS predictions FROM ct GROUP BY field, value"),
     "feature_distribution": sql("SELECT field, value, count(*) AS n FROM fv GROUP BY ALL"),
     "error_patterns": sql(f"SELECT target || ' -> ' || predicted AS pattern, field, value, count(*) AS n, (SELECT count(*) FROM vd WHERE vd.target = fv.target AND vd.predicted = fv.predicted) AS n_errors FROM fv WHERE target IN {LEVELS} AND predicted IN {LEVELS} AND target <> predicted GROUP BY target, predicted, field, value"),
     "alignment_means": _align("SELECT * FROM am"),
