@@ -40,8 +40,8 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     """docs with size, shard and slot (columns of these names are replaced); shards have nearly equal bytes.
 
     size: UTF-8 bytes of the text (null: none) plus 1. The key is (hash of the text, hash of the id and place), so
-    equal texts are neighbours. Key samples drawn by size give splitters for `ranges` ranges (64 a shard, 4096 at
-    least, more where a range would exceed 64 MB, 65536 at most); a range whose bytes exceed twice the mean is
+    equal texts are neighbours. Key samples drawn by size give splitters for `ranges` ranges (64 a shard, more where
+    a range would exceed 64 MB, 65536 at most); a range whose bytes exceed twice the mean is
     subdivided by splitters of a sample of its own, for up to `rounds` rounds or until such ranges hold one key.
     Ranges follow each other through the shards.
 
@@ -60,7 +60,7 @@ def assign_shards(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_c
     keyed = docs.withColumns({row: F.monotonically_increasing_id(), h: F.coalesce(F.xxhash64(text_col), F.lit(0)), "size": size}).withColumn(i, F.xxhash64(F.col(id_col).cast("string"), row))
     keys = cut(keyed.select("size", F.col(h).alias("h"), F.col(i).alias("i")))
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    ranges = ranges or max(4096, 64 * n_shards, min(65536, total >> 26))
+    ranges = ranges or max(64 * n_shards, min(65536, total >> 26))
     large = np.array(sorted(x["h"] for x in keys.groupBy("h").agg(F.sum("size").alias("n")).filter(F.col("n") * 16 * n_shards > total).collect()), np.int64)
     cuts = _splitters(_sample(keys, total, ranges * points, seed), ranges)
 
