@@ -156,23 +156,26 @@ def links_among(comps: np.ndarray, rows: list[np.ndarray], side: np.ndarray) ->
     width = int((count > 1).sum())
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for at in range(0, width, 4096):
-        lo, hi = np.searchsorted(column, [at, at + 4096])
-        held = np.zeros((len(rows), min(4096, width - at)), np.float32)
+    for at in range(0, width, 1024):
+        lo, hi = np.searchsorted(column, [at, at + 1024])
+        held = np.zeros((len(rows), min(1024, width - at)), np.float32)
         held[owner[lo:hi], column[lo:hi] - at] = 1
         common += held @ held.T
-    both = sizes[:, None] + sizes[None, :]
-    fit = ((NUMERATOR + DENOMINATOR) * common >= NUMERATOR * both) & (comps[:, None] != comps[None, :]) & ((side[:, None] == 0) | (side[None, :] == 0))
     out = []
-    for i, j in np.argwhere(np.triu(fit, 1)).tolist():
-        a, b = root(int(comps[i])), root(int(comps[j]))
-        if a != b and alignment(rows[i], rows[j]):
-            parent[max(a, b)] = min(a, b)
-            out.append((i, j))
+    for lo in range(0, len(rows), 256):
+        at = slice(lo, lo + 256)
+        both = sizes[at, None] + sizes[None, :]
+        fit = ((NUMERATOR + DENOMINATOR) * common[at] >= NUMERATOR * both) & (comps[at, None] != comps[None, :]) & ((side[at, None] == 0) | (side[None, :] == 0))
+        for i, j in np.argwhere(np.triu(fit, lo + 1)).tolist():
+            i += lo
+            a, b = root(int(comps[i])), root(int(comps[j]))
+            if a != b and alignment(rows[i], rows[j]):
+                parent[max(a, b)] = min(a, b)
+                out.append((i, j))
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, bands: int = 34, mins: int = 6, block_kmers: int = 1_500_000, block_rows: int = 4000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, bands: int = 34, mins: int = 6, block_kmers: int = 1_000_000, block_rows: int = 1500) -> DataFrame:
     """For every row of docs: _place, _class, id_col, class_id, class_size. Near copies share a class.
 
     Words are runs of letters, digits and _ in lower case. Texts of equal words are copies; texts without words are
