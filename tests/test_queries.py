@@ -31,3 +31,14 @@ def test_query_equals_its_sql(spark, name):
 def test_entry_gives_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_statistics_of_null_keys_and_values_equal_their_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE events AS SELECT * FROM (VALUES ('a', 1.0), ('a', NULL), ('a', 3.0), ('a', 4.0), (NULL, 1.0), (NULL, 5.0), ('b', NULL), ('b', NULL), ('c', 2.5)) t(event_type, value)")
+    con.execute("CREATE OR REPLACE TABLE events AS SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-01' AS ts, 1::bigint AS user_id, event_type, value::double AS value, '{\"k\": 1}' AS props FROM events")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = all_queries()["descriptive_stats"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({all_oracle_sql()['descriptive_stats']})").fetchall()
+    assert len(want) == 4
+    assert sorted(str(tuple(map(plain, r))) for r in got.collect()) == sorted(str(tuple(map(plain, r))) for r in want)

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 from statistics import median
 
 import pytest
@@ -115,3 +118,21 @@ def test_ranks_equal_those_of_one_ordering(spark):
     for k in "abc":
         own = sorted(v for key, v in rows if key == k)
         assert got[k] == (len(own), own[0], own[(len(own) - 1) // 3], own[-1])
+
+
+ON_EXECUTORS = """
+from pyspark.sql import SparkSession, functions as F
+from granary.core.ranks import at_ranks
+
+conf = {"spark.driver.memory": "1g", "spark.executor.memory": "600m", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"}
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config(map=conf).getOrCreate()
+df = spark.range(30000).select((F.col("id") % 3).alias("k"), F.col("id").cast("double").alias("v"))
+print([tuple(r) for r in at_ranks(df, ["k"], "v", {"x": F.floor(F.col("total") / 4), "z": F.col("total") - 1}).orderBy("k").collect()])
+spark.stop()
+"""
+
+
+def test_ranks_where_executors_send_pieces_in_any_order(tmp_path):
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))} | {"SPARK_LOCAL_IP": "127.0.0.1", "SPARK_WORKER_DIR": str(tmp_path), "SPARK_LOCAL_DIRS": str(tmp_path)}
+    ran = subprocess.run([sys.executable, "-c", ON_EXECUTORS], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=env)
+    assert ran.stdout.splitlines()[-1:] == [str([(k, 10000, 7500.0 + k, 29997.0 + k) for k in range(3)])], ran.stderr[-2000:]
